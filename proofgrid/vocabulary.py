@@ -13,7 +13,7 @@ OUTCOMES = ("detected", "visible", "blind", "error", "skipped")
 STATUSES = ("pass", "fail", "unexpected_pass", "error", "skipped")
 RULE_STATUSES = ("experimental", "test", "production", "deprecated", "unsupported")
 CONFIDENCES = ("low", "medium", "high")
-PRIORITIES = ("critical", "high", "medium", "low")
+PRIORITIES = ("critical", "high", "medium", "low", "informational")
 DELTA_KINDS = ("regression", "slower", "new", "removed", "improvement", "unchanged")
 BEAT_STATES = ("silent", "late", "alive")
 GATES = (
