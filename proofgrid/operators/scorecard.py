@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,10 @@ def grade(total: Column) -> Column:
     return out
 
 
-def score_rules(rules: DataFrame, history: DataFrame, known_tests: DataFrame | None = None) -> DataFrame:
-    """Score every rule in every run of the history.
+def score_rules(
+    rules: DataFrame, history: DataFrame, rule_names: Sequence[str], known_tests: DataFrame | None = None
+) -> DataFrame:
+    """Score every rule (of `rule_names`, the library) in every run of the history.
 
     `rules`: rule, id, status, expected, max_latency, enabled, tests, unused_selections,
     unknown_keys and the four static scores robustness, telemetry_score, attack_score,
@@ -57,9 +61,9 @@ def score_rules(rules: DataFrame, history: DataFrame, known_tests: DataFrame | N
         F.max(c("baseline_hits") > 0).alias("noisy"),
     )
     # Rules without a case in a run are scored too: no result.
-    runs = history.select("run_id").distinct().withColumn("_all", F.lit(1))
-    every = runs.join(rules.withColumn("_all", F.lit(1)), "_all").drop("_all")
-    df = every.join(seen, ["run_id", "rule"], "left")
+    library = F.array(*[F.lit(name) for name in rule_names])
+    every = history.select("run_id").distinct().select("run_id", F.explode(library).alias("rule"))
+    df = every.join(rules, "rule").join(seen, ["run_id", "rule"], "left")
     if known_tests is not None:
         missing = (
             rules.select("rule", F.explode("tests").alias("test_id"))
