@@ -11,7 +11,7 @@ once by `discover_paths`; after that every lookup is a plain column expression.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +49,7 @@ class Item:
     """One scalar seen by a matcher."""
 
     text: Column
+    lower: Column
     number: Column
     null: Column
 
@@ -66,6 +67,7 @@ class Located:
     filled: Column
     text: Column
     any_item: Callable[[Callable[[Item], Column]], Column]
+    item: Item | None = None
 
 
 def _never(_: Callable[[Item], Column]) -> Column:
@@ -85,7 +87,7 @@ def _typed_item(column: Column, dtype: T.DataType) -> Item:
         number = column.cast("double")
     else:
         number = number_from_text(text)
-    return Item(F.coalesce(text, F.lit("")), number, column.isNull())
+    return Item(text, F.lower(text), number, column.isNull())
 
 
 def _typed(column: Column, dtype: T.DataType) -> Located:
@@ -95,15 +97,16 @@ def _typed(column: Column, dtype: T.DataType) -> Located:
             column.isNull() | (F.size(column) == 0),
             column.isNotNull(),
             F.to_json(column),
-            lambda test: F.exists(column, lambda x: test(_typed_item(x, dtype.elementType))),
+            lambda test: F.exists(column, lambda x: test(_filled_text(_typed_item(x, dtype.elementType)))),
         )
     item = _typed_item(column, dtype)
     return Located(
         column.isNotNull(),
         column.isNull() | (item.text == ""),
         column.isNotNull(),
-        column.cast("string"),
+        item.text,
         lambda test: test(item),
+        item,
     )
 
 
@@ -113,20 +116,34 @@ def _variant_text(value: Column) -> Column:
 
 def _variant_item(value: Column) -> Item:
     text = _variant_text(value)
-    return Item(F.coalesce(text, F.lit("")), number_from_text(text), F.is_variant_null(value))
+    return Item(text, F.lower(text), number_from_text(text), F.is_variant_null(value))
+
+
+def _filled_text(item: Item) -> Item:
+    """A null member of a list compares as empty text."""
+    text, lower = (F.coalesce(c, F.lit("")) for c in (item.text, item.lower))
+    return Item(text, lower, item.number, item.null)
 
 
 def _variant(value: Column, may_be_list: bool) -> Located:
+    scalar = _variant_item(value)
     filled = value.isNotNull() & ~F.coalesce(F.is_variant_null(value), F.lit(False))
     blank = ~filled | (_variant_text(value) == "") | (F.schema_of_variant(value) == "ARRAY<VOID>")
 
     def any_item(test: Callable[[Item], Column]) -> Column:
         if not may_be_list:
-            return test(_variant_item(value))
+            return test(scalar)
         items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
-        return F.exists(items, lambda x: test(_variant_item(x)))
+        return F.exists(items, lambda x: test(_filled_text(_variant_item(x))))
 
-    return Located(value.isNotNull(), F.coalesce(blank, F.lit(True)), filled, _variant_text(value), any_item)
+    return Located(
+        value.isNotNull(),
+        F.coalesce(blank, F.lit(True)),
+        filled,
+        scalar.text,
+        any_item,
+        None if may_be_list else scalar,
+    )
 
 
 @dataclass(frozen=True)
@@ -140,6 +157,7 @@ class EventFields:
     columns: dict[str, T.DataType] = field(default_factory=dict)
     document: str | None = None
     paths: frozenset[tuple[str, ...]] = frozenset()
+    ready: dict[str, Located] = field(default_factory=dict)
 
     @classmethod
     def of(
@@ -157,6 +175,8 @@ class EventFields:
     # -- lookup ------------------------------------------------------------
 
     def locate(self, name: str) -> Located:
+        if name in self.ready:
+            return self.ready[name]
         typed = self._typed_column(name)
         if typed is not None:
             return typed
@@ -217,6 +237,36 @@ class EventFields:
         nested = F.flatten(F.transform(members, lambda x: self._occurrences(x, rest)))
         return F.coalesce(nested, F.array().cast("array<variant>"))
 
+    def project(self, df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, EventFields]:
+        """Compute the named fields once, as columns that many predicates then share.
+
+        Each scalar field becomes columns for its text, lower-case text and number; the ones
+        no predicate reads are pruned away again.
+        """
+        extra: dict[str, Column] = {}
+        ready: dict[str, Located] = {}
+        for i, name in enumerate(dict.fromkeys(names)):
+            found = self.locate(name)
+            if found.item is None:
+                continue
+            made = {
+                "present": found.present,
+                "blank": found.blank,
+                "filled": found.filled,
+                "text": found.item.text,
+                "lower": found.item.lower,
+                "number": found.item.number,
+                "null": found.item.null,
+            }
+            column = {part: F.col(f"_f{i}_{part}") for part in made}
+            extra |= {f"_f{i}_{part}": c for part, c in made.items()}
+            item = Item(column["text"], column["lower"], column["number"], column["null"])
+            ready[name] = Located(
+                column["present"], column["blank"], column["filled"], column["text"],
+                lambda test, item=item: test(item), item,
+            )
+        return df.select("*", *[c.alias(n) for n, c in extra.items()]), replace(self, ready={**self.ready, **ready})
+
     # -- whole-row search --------------------------------------------------
 
     def texts(self) -> Column:

@@ -86,7 +86,9 @@ def observe(
     if baseline is not None:
         asks.append(ask("noise", hit, baseline.key.cast("string") if attribution else F.lit(""), baseline.lo, baseline.hi))
     requests = cases.select("case_id", F.inline(F.array(*asks))).filter(F.col("tag").isNotNull())
-    counted = count_in_windows(events, requests, ["tag", "owner"], bucket_seconds=bucket_seconds)
+    counted = count_in_windows(
+        events, requests, ["tag", "owner"], ["case_id", "measure"], bucket_seconds=bucket_seconds
+    )
     value = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     seen = counted.groupBy("case_id").agg(
         value("hit", "hits").alias("detection_hits"),

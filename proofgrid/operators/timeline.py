@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,12 +48,19 @@ def running(
     values: Sequence[Running],
     width: int = BUCKET_SECONDS * 1_000_000,
 ) -> DataFrame:
-    """Add running values over `order` (a bigint, unique per key) for every key."""
+    """Add running values over `order` (a bigint, unique per key) for every key.
+
+    Rows without a key or order value have no place on a timeline and are dropped. (Saying
+    so here also keeps the branches below identical up to their shared shuffle, which Spark
+    then runs once.)
+    """
     named = {v.name: f"_in_{v.name}" for v in values}
-    base = df.select(
-        "*",
-        F.floor(F.col(order) / F.lit(width)).cast("bigint").alias(_BUCKET),
-        *[v.value.alias(named[v.name]) for v in values],
+    placed = reduce(and_, [F.col(c).isNotNull() for c in (*keys, order)])
+    bucket = F.col(order) - F.pmod(F.col(order), F.lit(width).cast("bigint"))
+    base = (
+        df.filter(placed)
+        .select("*", bucket.alias(_BUCKET), *[v.value.alias(named[v.name]) for v in values])
+        .filter(F.col(_BUCKET).isNotNull())
     )
     part = [*keys, _BUCKET]
     up = Window.partitionBy(*part).orderBy(F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -95,8 +104,8 @@ def running(
         "last": lambda a, b: F.coalesce(a, b),
         "next": lambda a, b: F.coalesce(a, b),
     }
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(part)]
-    return inside.join(carried, same, "left").select(
+    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(part)]
+    return inside.join(carried, same).select(
         *df.columns,
         *[combine[v.kind](F.col(named[v.name]), F.col(f"_out_{v.name}")).alias(v.name) for v in values],
     )
@@ -116,20 +125,25 @@ def count_in_windows(
     events: DataFrame,
     windows: DataFrame,
     keys: Sequence[str],
+    ids: Sequence[str],
     at: str = "us",
     start: str = "lo",
     end: str = "hi",
     bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """Add to every window the number of its key's events in [start, end] and the first one.
+    """For every window, the number of its key's events in [start, end] and the first one.
 
-    Result columns: all of `windows`, ``hits`` and ``first_us`` (NULL without hits).
+    `ids` names the columns that identify a window. Result columns: `ids`, ``hits`` and
+    ``first_us`` (NULL without hits).
     """
-    points = windows.select(*keys, F.explode(F.array(F.col(start), F.col(end))).alias("at"))
+    sides = F.array(
+        F.struct(F.lit(True).alias("opens"), F.col(start).alias("at")),
+        F.struct(F.lit(False).alias("opens"), F.col(end).alias("at")),
+    )
+    points = windows.select(*ids, *[k for k in keys if k not in ids], F.inline(sides))
     # Rows combine on the way into the shuffle, so a moment that many windows share is one row.
-    line = moments(events, keys, at, points)
     answers = running(
-        line,
+        moments(events, keys, at, points),
         keys,
         "at",
         [
@@ -138,17 +152,17 @@ def count_in_windows(
         ],
         bucket_seconds * 1_000_000,
     )
-    left = answers.select(
-        *keys, F.col("at").alias(start), (F.col("upto") - F.col("n")).alias("_below"), "next_at"
-    )
-    right = answers.select(*keys, F.col("at").alias(end), F.col("upto").alias("_upto"))
-    counted = windows.join(left, [*keys, start], "left").join(right, [*keys, end], "left")
-    hits = F.coalesce(F.col("_upto") - F.col("_below"), F.lit(0))
-    return counted.select(
-        *windows.columns,
-        hits.alias("hits"),
-        F.when(hits > 0, F.col("next_at")).alias("first_us"),
+    counted = (
+        points.join(answers, [*keys, "at"])
+        .groupBy(*ids)
+        .agg(
+            F.max(F.when(~F.col("opens"), F.col("upto"))).alias("_upto"),
+            F.max(F.when(F.col("opens"), F.col("upto") - F.col("n"))).alias("_below"),
+            F.max(F.when(F.col("opens"), F.col("next_at"))).alias("_next"),
+        )
     )
+    hits = F.col("_upto") - F.col("_below")
+    return counted.select(*ids, hits.alias("hits"), F.when(hits > 0, F.col("_next")).alias("first_us"))
 
 
 def first_in_windows(
@@ -169,8 +183,10 @@ def first_in_windows(
     Only the first `limit` events of one moment can ever be among them.
     """
     at_moment = Window.partitionBy(*keys, at).orderBy(F.col(tie))
+    placed = reduce(and_, [F.col(c).isNotNull() for c in (*keys, at)])
     kept = (
-        events.withColumn("_place", F.row_number().over(at_moment))
+        events.filter(placed)
+        .withColumn("_place", F.row_number().over(at_moment))
         .filter(F.col("_place") <= limit)
     )
     starts = windows.select(*keys, F.col(start).alias("at"))
@@ -247,7 +263,7 @@ def attribute_events(
     ranges = owned_ranges(windows, keys, start, end, tie, bucket_seconds)
     owner = F.struct(F.col(end).alias("_hi"), *[F.col(c) for c in payload])
     marks = ranges.select(*keys, F.col("own_lo").alias("at"), owner.alias("_owner"))
-    asked = events.select(*keys, F.col(at).alias("at")).distinct()
+    asked = events.select(*keys, F.col(at).alias("at"))
     line = (
         asked.withColumn("_owner", F.lit(None).cast(marks.schema["_owner"].dataType))
         .unionByName(marks)

@@ -37,7 +37,7 @@ def test_against_brute_force(spark, seed):
         w: sorted((us, e) for e, k, us in events if k == key and lo <= us <= hi)
         for w, key, lo, hi in windows
     }
-    got = {r["window_id"]: (r["hits"], r["first_us"]) for r in count_in_windows(ev, wi, ["key"]).collect()}
+    got = {r["window_id"]: (r["hits"], r["first_us"]) for r in count_in_windows(ev, wi, ["key"], ["window_id"]).collect()}
     assert got == {w: (len(v), v[0][0] if v else None) for w, v in inside.items()}
 
     first = {}
@@ -58,5 +58,5 @@ def test_against_brute_force(spark, seed):
 def test_timestamps_before_epoch_and_small_buckets(spark):
     ev = spark.createDataFrame([(1, "a", -3_000_000), (2, "a", 0), (3, "a", 5_000_000)], "event_id int, key string, us bigint")
     wi = spark.createDataFrame([(1, "a", -3_000_000, 0), (2, "a", 1, 9_000_000), (3, "a", 6_000_000, 7_000_000)], "window_id int, key string, lo bigint, hi bigint")
-    got = {r["window_id"]: (r["hits"], r["first_us"]) for r in count_in_windows(ev, wi, ["key"], bucket_seconds=1).collect()}
+    got = {r["window_id"]: (r["hits"], r["first_us"]) for r in count_in_windows(ev, wi, ["key"], ["window_id"], bucket_seconds=1).collect()}
     assert got == {1: (2, -3_000_000), 2: (1, 5_000_000), 3: (0, None)}
