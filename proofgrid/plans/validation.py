@@ -147,12 +147,12 @@ n AS (SELECT *, list_filter([
     CASE WHEN outcome = 'blind' THEN 'no telemetry of the required type arrived in the test window' END,
     CASE WHEN confidence = 'medium' THEN 'result set was truncated; latency is a lower bound' END,
     CASE WHEN baseline_hits > 0 THEN 'the same logic matched ' || baseline_hits || ' event(s) in the quiet window' END
-  ], x -> x IS NOT NULL) AS l FROM res WHERE latency IS NULL OR latency <= max_latency
+  ], lambda x: x IS NOT NULL) AS l FROM res WHERE latency IS NULL OR latency <= max_latency
   UNION ALL SELECT *, list_filter([
     CASE WHEN confidence = 'medium' THEN 'result set was truncated; latency is a lower bound' END,
     'detected after ' || printf('%.0f', latency) || 's against a ' || printf('%.0f', max_latency) || 's budget',
     CASE WHEN baseline_hits > 0 THEN 'the same logic matched ' || baseline_hits || ' event(s) in the quiet window' END
-  ], x -> x IS NOT NULL) AS l FROM res WHERE latency > max_latency)
+  ], lambda x: x IS NOT NULL) AS l FROM res WHERE latency > max_latency)
 SELECT case_id, confidence, len(l) AS n_notes, array_to_string(l, ' / ') AS notes FROM n"""
 
 
@@ -176,7 +176,7 @@ def run_summary(spark, sf_dir):
 
 SUMMARY_SQL = with_results(
     """
-SELECT s.*, p50 AS latency_p50, p95 AS latency_p95 FROM (
+SELECT s.*, t.techniques_total, t.techniques_covered, p50 AS latency_p50, p95 AS latency_p95 FROM (
 SELECT day, count(*) AS total,
   """
     + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in V.OUTCOMES)
@@ -193,7 +193,7 @@ FROM res GROUP BY day) s LEFT JOIN pct ON g = s.day
 JOIN (SELECT day, count(DISTINCT technique) AS techniques_total,
              count(DISTINCT technique) FILTER (outcome = 'detected') AS techniques_covered
       FROM res JOIN attack USING (rule) GROUP BY day) t USING (day)
-""".replace("SELECT s.*,", "SELECT s.*, t.techniques_total, t.techniques_covered,"),
+""",
     PERCENTILE_CTE.format(key="day"),
 )
 
