@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from proofgrid.plans import coverage, history, predicates, validation
+from proofgrid.plans import coverage, history, predicates, streams, validation
 from proofgrid.plans.telemetry import Query
 
 QUERIES: dict[str, Query] = {
-    name: query for module in (predicates, validation, coverage, history) for name, query in module.QUERIES.items()
+    name: query for module in (predicates, validation, coverage, history, streams) for name, query in module.QUERIES.items()
 }

@@ -51,7 +51,7 @@ def content(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     regions = table(spark, sf_dir, "region")
     reference = regions.select(
         F.format_string("T%04d", F.col("r_regionkey") + 1000).alias("technique"),
-        F.concat(F.lit("Region "), F.initcap("r_name")).alias("name"),
+        F.concat(F.lit("Region "), F.col("r_name")).alias("name"),
         F.array(F.lower("r_name"), F.lit("discovery")).alias("tactics"),
     )
     return {
@@ -75,7 +75,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 def tactic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "region").select(
-        F.lower("r_name").alias("tactic"), F.initcap("r_name").alias("name"), F.col("r_regionkey").cast("int").alias("order")
+        F.lower("r_name").alias("tactic"), F.col("r_name").alias("name"), F.col("r_regionkey").cast("int").alias("order")
     )
     return coverage.tactic_coverage(techniques(spark, sf_dir), names, content(spark, sf_dir)["tactic_targets"])
 
@@ -88,7 +88,7 @@ cs AS (SELECT o_orderpriority AS rule, CAST(o_orderkey AS VARCHAR) AS test_id, c
   CASE o_orderstatus WHEN 'F' THEN 'detected' WHEN 'O' THEN 'visible' ELSE 'blind' END AS outcome,
   printf('T%04d.%03d', n_regionkey + 1000, n_nationkey) AS technique, printf('T%04d', n_regionkey + 1000) AS parent,
   n_nationkey % 2 = 0 AS own, lower(r_name) AS region,
-  'Region ' || upper(r_name[1]) || lower(r_name[2:]) AS name
+  'Region ' || r_name AS name
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey),
 f AS (SELECT technique, parent, name, region, bool_or(own) AS own, count(*) FILTER (outcome = 'detected') AS detected,
@@ -116,7 +116,7 @@ g AS (SELECT tactic, string_agg(technique, ',' ORDER BY technique) AS techniques
   sum(blind)::BIGINT AS blind, sum(scoreable)::BIGINT AS scoreable FROM m GROUP BY tactic),
 tac AS (SELECT g.*, g.detected / g.scoreable::DOUBLE AS dr, (g.scoreable - g.blind) / g.scoreable::DOUBLE AS vr,
   coalesce(ta.detected, 0.7) AS target_detected, coalesce(ta.visible, 0.9) AS target_visible,
-  coalesce(ta.priority, 'medium') AS priority, coalesce(upper(r_name[1]) || lower(r_name[2:]), g.tactic) AS name,
+  coalesce(ta.priority, 'medium') AS priority, coalesce(r_name, g.tactic) AS name,
   coalesce(r_regionkey, 99)::INTEGER AS "order"
   FROM g LEFT JOIN ta ON ta.tactic = g.tactic LEFT JOIN region ON lower(r_name) = g.tactic)"""
 TACTIC_SELECT = """tactic, techniques, detected, blind, scoreable, round(dr, 9) AS detection_rate, round(vr, 9) AS visibility_rate,
