@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
 from proofgrid.functions.scalars import redact
-from proofgrid.operators.timeline import attribute_events
+from proofgrid.operators.timeline import TIE_BUCKET, Running, attribute_events, running
 
 
 def window_span(windows: DataFrame, keys: Sequence[str] = (), start: str = "lo", end: str = "hi") -> DataFrame:
@@ -86,7 +86,7 @@ def rebase(events: DataFrame, anchors: DataFrame, baseline_us: Column | None = N
     )
 
 
-def result_cap(events: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
+def result_cap(events: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
     """Kept, total and truncation per search key for a result cap, from counts alone."""
     total = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     return total.withColumns(
@@ -94,9 +94,14 @@ def result_cap(events: DataFrame, keys: Sequence[str], order: Sequence[str], cap
     )
 
 
-def capped_events(events: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
-    """The first `cap` events of each search key in corpus order."""
-    from pyspark.sql import Window
+def capped_events(events: DataFrame, keys: Sequence[str], order: str, cap: int) -> DataFrame:
+    """The first `cap` events of each search key by `order`, a bigint unique per key.
 
-    place = Window.partitionBy(*keys).orderBy(*order)
-    return events.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= cap)
+    Up to a thousand, Spark keeps only `cap` rows per key on each map side. Beyond that the
+    events are numbered bucket by bucket, so that no task receives all events of a key.
+    """
+    if cap <= 1000:
+        place = Window.partitionBy(*keys).orderBy(order)
+        return events.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= cap)
+    numbered = running(events, keys, order, [Running("place", "sum", F.lit(1))], TIE_BUCKET)
+    return numbered.filter(F.col("place") <= cap)

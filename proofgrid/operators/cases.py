@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
 from proofgrid.functions.scalars import case_id
-from proofgrid.operators.rules import Ruleset, probe_keys
+from proofgrid.operators.rules import Ruleset, probe_keys, tag_codes
 from proofgrid.operators.timeline import BUCKET_SECONDS, count_in_windows
 
 
@@ -67,34 +67,43 @@ def observe(
     Counts are exact. `result_cap` only sets the truncation flags that a capped search
     would have reported; nothing is dropped.
     """
-    own = F.col(attribution).cast("string") if attribution else F.lit("")
-    events = marked.select("tag", own.alias("owner"), "us")
-    probes = probe_keys(ruleset)
-    probe_of = F.create_map(*[p for rule, key in probes.items() for p in (F.lit(rule), F.lit(key))])
-
-    def ask(measure: str, tag: Column, key: Column, lo: Column, hi: Column) -> Column:
-        return F.struct(
-            F.lit(measure).alias("measure"), tag.alias("tag"), key.alias("owner"), lo.alias("lo"), hi.alias("hi")
-        )
-
-    hit = F.concat(F.lit("hit:"), F.col("rule"))
-    probe = F.element_at(probe_of, F.col("rule"))
+    keys = ["tag"] + (["owner"] if attribution else [])
+    owner = {"owner": F.col(attribution)} if attribution else {}
+    events = marked.select("tag", *[c.alias(n) for n, c in owner.items()], "us")
+    codes, probes = tag_codes(ruleset), probe_keys(ruleset)
+
+    def code_of(names: dict[str, str | None]) -> Column:
+        known = [(rule, codes[name]) for rule, name in names.items() if name is not None]
+        table = F.create_map(*[F.lit(part) for pair in known for part in pair]) if known else None
+        return F.lit(None).cast("int") if table is None else F.try_element_at(table, F.col("rule"))
+
+    def ask(measure: str, tag: Column, lo: Column, hi: Column, key: Column | None) -> Column:
+        parts = [F.lit(measure).alias("measure"), tag.alias("tag"), lo.alias("lo"), hi.alias("hi")]
+        return F.struct(*parts, *([key.alias("owner")] if attribution else []))
+
+    own = owner.get("owner")
+    hit = code_of({r.name: f"hit:{r.name}" for r in ruleset.rules})
     asks = [
-        ask("hit", hit, own, F.col("lo"), F.col("hi")),
-        ask("probe", probe, own, F.col("lo"), F.col("hi")),
+        ask("hit", hit, F.col("lo"), F.col("hi"), own),
+        ask("probe", code_of(probes), F.col("lo"), F.col("hi"), own),
     ]
     if baseline is not None:
-        asks.append(ask("noise", hit, baseline.key.cast("string") if attribution else F.lit(""), baseline.lo, baseline.hi))
+        asks.append(ask("noise", hit, baseline.lo, baseline.hi, baseline.key))
     requests = cases.select("case_id", F.inline(F.array(*asks))).filter(F.col("tag").isNotNull())
-    counted = count_in_windows(
-        events, requests, ["tag", "owner"], ["case_id", "measure"], bucket_seconds=bucket_seconds
-    )
-    value = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
-    seen = counted.groupBy("case_id").agg(
-        value("hit", "hits").alias("detection_hits"),
-        value("hit", "first_us").alias("first_us"),
-        value("probe", "hits").alias("telemetry_hits"),
-        value("noise", "hits").alias("baseline_hits"),
+    seen = count_in_windows(
+        events,
+        requests,
+        keys,
+        ["case_id"],
+        bucket_seconds=bucket_seconds,
+        label="measure",
+        labels=("hit", "probe", "noise"),
+    ).select(
+        "case_id",
+        F.col("hits_hit").alias("detection_hits"),
+        F.col("first_us_hit").alias("first_us"),
+        F.col("hits_probe").alias("telemetry_hits"),
+        F.col("hits_noise").alias("baseline_hits"),
     )
     out = cases.join(seen, "case_id", "left")
     over = (

@@ -62,7 +62,8 @@ def running(
         .select("*", bucket.alias(_BUCKET), *[v.value.alias(named[v.name]) for v in values])
         .filter(F.col(_BUCKET).isNotNull())
     )
-    part = [*keys, _BUCKET]
+    # The bucket leads: it tells most rows apart, so sorts rarely look at the other keys.
+    part = [_BUCKET, *keys]
     up = Window.partitionBy(*part).orderBy(F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*part).orderBy(F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*part).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -130,17 +131,24 @@ def count_in_windows(
     start: str = "lo",
     end: str = "hi",
     bucket_seconds: int = BUCKET_SECONDS,
+    label: str | None = None,
+    labels: Sequence[str] = (),
 ) -> DataFrame:
     """For every window, the number of its key's events in [start, end] and the first one.
 
     `ids` names the columns that identify a window. Result columns: `ids`, ``hits`` and
     ``first_us`` (NULL without hits).
+
+    Several windows of one id can be asked together: `label` is the column that tells them
+    apart and `labels` its values; the result then has ``hits_<label>`` and
+    ``first_us_<label>`` (NULL for a window that was not asked).
     """
     sides = F.array(
         F.struct(F.lit(True).alias("opens"), F.col(start).alias("at")),
         F.struct(F.lit(False).alias("opens"), F.col(end).alias("at")),
     )
-    points = windows.select(*ids, *[k for k in keys if k not in ids], F.inline(sides))
+    named = [*ids, *([label] if label else [])]
+    points = windows.select(*named, *[k for k in keys if k not in named], F.inline(sides))
     # Rows combine on the way into the shuffle, so a moment that many windows share is one row.
     answers = running(
         moments(events, keys, at, points),
@@ -152,17 +160,23 @@ def count_in_windows(
         ],
         bucket_seconds * 1_000_000,
     )
-    counted = (
-        points.join(answers, [*keys, "at"])
-        .groupBy(*ids)
-        .agg(
-            F.max(F.when(~F.col("opens"), F.col("upto"))).alias("_upto"),
-            F.max(F.when(F.col("opens"), F.col("upto") - F.col("n"))).alias("_below"),
-            F.max(F.when(F.col("opens"), F.col("next_at"))).alias("_next"),
-        )
-    )
-    hits = F.col("_upto") - F.col("_below")
-    return counted.select(*ids, hits.alias("hits"), F.when(hits > 0, F.col("_next")).alias("first_us"))
+    below = F.col("upto") - F.col("n")
+    picks, results = [], []
+    for name in labels if label else [""]:
+        tail = f"_{name}" if name else ""
+        asked = F.col(label) == name if label else F.lit(True)
+        picks += [
+            F.max(F.when(asked & ~F.col("opens"), F.col("upto"))).alias(f"_upto{tail}"),
+            F.max(F.when(asked & F.col("opens"), below)).alias(f"_below{tail}"),
+            F.max(F.when(asked & F.col("opens"), F.col("next_at"))).alias(f"_next{tail}"),
+        ]
+        hits = F.col(f"_upto{tail}") - F.col(f"_below{tail}")
+        results += [
+            hits.alias(f"hits{tail}"),
+            F.when(hits > 0, F.col(f"_next{tail}")).alias(f"first_us{tail}"),
+        ]
+    # Exploded windows are larger than Spark estimates, so they must not be broadcast on a guess.
+    return points.hint("merge").join(answers, [*keys, "at"]).groupBy(*ids).agg(*picks).select(*ids, *results)
 
 
 def first_in_windows(

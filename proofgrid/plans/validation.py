@@ -11,6 +11,7 @@ from proofgrid.operators.cases import plan_cases
 from proofgrid.operators.quantiles import exact_percentiles
 from proofgrid.operators.rules import match_rules
 from proofgrid.operators.timeline import attribute_events, first_in_windows
+from proofgrid.session import cut_lineage
 from proofgrid.plans.telemetry import (
     RULES,
     Query,
@@ -171,7 +172,7 @@ pct AS (SELECT g,
 
 def run_summary(spark, sf_dir):
     """One summary per run (day)."""
-    return coverage.run_summary(results(spark, sf_dir), ("day",))
+    return coverage.run_summary(cut_lineage(results(spark, sf_dir)), ("day",))
 
 
 SUMMARY_SQL = with_results(
@@ -220,8 +221,8 @@ SELECT case_id, place, event_id, value FROM (
 def result_cap(spark, sf_dir):
     """Per rule and host: what a search capped at ten events would keep."""
     found = matches(spark, sf_dir, ("event_id", "user_id"))
-    totals = capture.result_cap(found, ["rule", "user_id"], ["event_id"], 10)
-    kept = capture.capped_events(found, ["rule", "user_id"], ["event_id"], 10).groupBy("rule", "user_id").agg(
+    totals = capture.result_cap(found, ["rule", "user_id"], 10)
+    kept = capture.capped_events(found, ["rule", "user_id"], "event_id", 10).groupBy("rule", "user_id").agg(
         F.max("event_id").alias("last_kept")
     )
     return totals.join(kept, ["rule", "user_id"])
@@ -262,7 +263,7 @@ SETTINGS = gates.GateSettings(
 
 
 def gate_rows(spark, sf_dir):
-    found = results(spark, sf_dir)
+    found = cut_lineage(results(spark, sf_dir))
     out = gates.evaluate_gates(found, SETTINGS, noise=noise.noise_findings(found, accepted_noise(spark)))
     return out.select(
         "gate", "applicable", "passed", "n", "accepted", "target", F.round("actual", 9).alias("actual"),
