@@ -65,6 +65,11 @@ def field_population(
     )
 
 
+def unmapped_sources(sources: Sequence[Source]) -> list[str]:
+    """Sources without a scope: a capture cannot contain them and replays them as blind."""
+    return sorted(s.id for s in sources if not s.scope)
+
+
 def rule_fields_by_source(ruleset: Ruleset) -> dict[str, list[str]]:
     wanted: dict[str, list[str]] = {}
     for rule in ruleset.rules:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
+from proofgrid.functions.fields import EventFields
 from proofgrid.functions.scalars import redact
 from proofgrid.operators.timeline import TIE_BUCKET, Running, attribute_events, running
 
@@ -63,6 +64,26 @@ def capture_profile(recorded: DataFrame, risky_fields: Sequence[str] = ()) -> Da
     )
 
 
+def summary(fields: EventFields, names: Sequence[str], limit: int = 6) -> Column:
+    """A compact map of an event: the named fields that have a value, else its first flat fields.
+
+    VARIANT documents keep their keys in sorted order, so "first" is by name.
+    """
+    named = F.map_filter(
+        F.create_map(*[part for n in names for part in (F.lit(n), fields.locate(n).text)])
+        if names
+        else F.create_map().cast("map<string,string>"),
+        lambda _, v: v.isNotNull(),
+    )
+    if fields.document is None:
+        flat = F.create_map(*[part for c in fields.columns for part in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+    else:
+        nested = F.try_variant_get(fields.document, "$", "map<string,variant>")
+        scalars = F.map_filter(nested, lambda _, v: ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)<"))
+        flat = F.transform_values(scalars, lambda _, v: F.try_variant_get(v, "$", "string"))
+    return F.when(F.size(named) > 0, named).otherwise(F.map_from_entries(F.slice(F.map_entries(flat), 1, limit)))
+
+
 def source_caps(events: DataFrame, cap: int) -> DataFrame:
     """Which sources a search with this cap would have left incomplete."""
     return events.groupBy("source").agg(F.count(F.lit(1)).alias("events")).withColumn("incomplete", F.col("events") > cap)

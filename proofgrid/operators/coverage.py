@@ -164,6 +164,38 @@ def technique_coverage(
     )
 
 
+def technique_lookup(techniques: DataFrame, reference: DataFrame) -> DataFrame:
+    """Name, tactics and telemetry of techniques; what has no entry takes its parent's.
+
+    `reference` holds technique, name, tactics and telemetry.
+    """
+    columns = ("name", "tactics", "telemetry")
+
+    def entry(prefix: str) -> DataFrame:
+        return reference.select(
+            F.col("technique").alias(f"_{prefix}"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns], F.lit(True).alias(f"{prefix}_found")
+        )
+
+    joined = techniques.join(entry("own"), F.col("technique") == F.col("_own"), "left").join(
+        entry("up"), base_technique(F.col("technique")) == F.col("_up"), "left"
+    )
+    nothing = F.array().cast("array<string>")
+    otherwise = {"name": F.col("technique"), "tactics": nothing, "telemetry": nothing}
+    return joined.select(
+        *techniques.columns,
+        *[
+            F.coalesce(F.when(F.col("own_found"), F.col(f"own_{c}")).otherwise(F.col(f"up_{c}")), otherwise[c]).alias(c)
+            for c in columns
+        ],
+    )
+
+
+def order_cases(cases: DataFrame) -> DataFrame:
+    """Report order: worst outcome first, then most severe, then by rule and test."""
+    rank = V.rank_of(F.col("outcome"), ("blind", "visible", "error", "detected", "skipped"), 9)
+    return cases.orderBy(rank, V.severity_rank(F.col("severity")).desc(), "rule", "test_id")
+
+
 def tactic_coverage(
     techniques: DataFrame,
     tactics: DataFrame,

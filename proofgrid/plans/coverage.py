@@ -157,6 +157,25 @@ def failing(spark, sf_dir):
     return flat(coverage.failing_tactics(tactic_rows(spark, sf_dir)))
 
 
+def technique_names(spark, sf_dir):
+    """Cases per technique with the reference's name, tactics and telemetry (all from parents)."""
+    counted = (
+        cases(spark, sf_dir).select(F.explode("attack.technique").alias("technique")).groupBy("technique").agg(F.count(F.lit(1)).alias("cases"))
+    )
+    reference = content(spark, sf_dir)["reference"].withColumn(
+        "telemetry", F.when(F.endswith("technique", F.lit("1")), F.array(F.lit("web"))).otherwise(F.array(F.lit("app"), F.lit("web")))
+    )
+    return flat(coverage.technique_lookup(counted, reference))
+
+
+NAMES_SQL = """
+SELECT printf('T%04d.%03d', n_regionkey + 1000, n_nationkey) AS technique, count(*) AS cases, 'Region ' || r_name AS name,
+  lower(r_name) || ',discovery' AS tactics, CASE WHEN n_regionkey = 1 THEN 'web' ELSE 'app,web' END AS telemetry
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+GROUP BY n_regionkey, n_nationkey, r_name
+"""
+
+
 def coverage_index(spark, sf_dir):
     """Rules (priorities) indexed by the techniques their cases touch."""
     return audit.index_by(
@@ -193,6 +212,7 @@ QUERIES = {
             f"SELECT {TACTIC_SELECT} FROM tac WHERE scoreable > 0 AND NOT (dr >= target_detected AND vr >= target_visible)", TACTIC_CTE
         ),
     ),
+    "technique_names": Query(technique_names, NAMES_SQL),
     "layer_rows": Query(layer, with_techniques(LAYER_SQL)),
     "rule_index": Query(
         coverage_index,

@@ -209,6 +209,25 @@ def evidence_topk(spark, sf_dir):
     )
 
 
+def evidence_summary(spark, sf_dir):
+    """Matching events shortened to the rule's fields, or to the first flat fields."""
+    events = telemetry(spark, sf_dir)
+    fields = telemetry_fields(events)
+    brief = events.filter(F.col("event_type").isin("error", "view")).select(
+        "event_id",
+        F.when(F.col("event_type") == "error", capture.summary(fields, ["K", "value", "CommandLine"]))
+        .otherwise(capture.summary(fields, ["CommandLine"]))
+        .alias("summary"),
+    )
+    entries = F.transform(F.map_entries("summary"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return brief.select("event_id", F.array_join(entries, ";").alias("summary"))
+
+
+EVIDENCE_SUMMARY_SQL = """
+SELECT event_id, CASE event_type WHEN 'error' THEN 'K=' || json_extract_string(props, '$.k') || ';value=' || CAST(value AS VARCHAR)
+  ELSE 'k=' || json_extract_string(props, '$.k') END AS summary FROM events WHERE event_type IN ('error', 'view')
+"""
+
 EVIDENCE_SQL = with_results(
     """
 SELECT case_id, place, event_id, value FROM (
@@ -337,6 +356,7 @@ QUERIES = {
     ),
     "run_summary": Query(run_summary, SUMMARY_SQL),
     "evidence_topk": Query(evidence_topk, EVIDENCE_SQL),
+    "evidence_summary": Query(evidence_summary, EVIDENCE_SUMMARY_SQL),
     "result_cap": Query(
         result_cap,
         with_events(

@@ -97,7 +97,10 @@ def reference_tables(spark: SparkSession, path: str | Path) -> tuple[DataFrame,
     """(techniques, tactics) of the reference mapping."""
     doc = _document(path)
     techniques = [
-        (str(k), str((v or {}).get("name") or k), [str(t) for t in (v or {}).get("tactics") or []])
+        (
+            str(k), str((v or {}).get("name") or k),
+            [str(t) for t in (v or {}).get("tactics") or []], [str(t) for t in (v or {}).get("telemetry") or []],
+        )
         for k, v in (doc.get("techniques") or {}).items()
     ]
     tactics = [
@@ -105,7 +108,7 @@ def reference_tables(spark: SparkSession, path: str | Path) -> tuple[DataFrame,
         for k, v in (doc.get("tactics") or {}).items()
     ]
     return (
-        spark.createDataFrame(techniques, "technique string, name string, tactics array<string>"),
+        spark.createDataFrame(techniques, "technique string, name string, tactics array<string>, telemetry array<string>"),
         spark.createDataFrame(tactics, "tactic string, name string, order int"),
     )
 
