@@ -26,6 +26,8 @@ class Query(NamedTuple):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Times without a zone are UTC, whatever the session was started with.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

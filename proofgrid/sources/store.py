@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofgrid.operators import history
+from proofgrid.operators.coverage import run_summary
+from proofgrid.operators.gates import run_passed
 
 # The history tables; all but runs belong to a run.
 TABLES = (
@@ -142,3 +144,71 @@ def write_run_document(path: str, parts: Mapping[str, DataFrame], mode: str = "e
     """
     for name, df in parts.items():
         df.write.mode(mode).json(f"{path.rstrip('/')}/{name}")
+
+
+def run_tables(
+    cases: DataFrame,
+    run: Mapping[str, object],
+    gates: DataFrame,
+    noise: DataFrame,
+    techniques: DataFrame,
+    rules: DataFrame,
+    evidence: DataFrame | None = None,
+    scores: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """The history tables of one classified run, ready for `RunStore.save`.
+
+    `run` gives profile, backend, mode, started_at and finished_at. `evidence` has case_id,
+    place (from 1) and document; `scores` rule, total and grade. Pass a stored case table:
+    several of the results read it.
+    """
+    started, finished = (F.lit(run.get(k)).cast("timestamp") for k in ("started_at", "finished_at"))
+    passed = run_passed(gates).select(F.col("passed").alias("gates_passed"), F.lit(1).alias("_one"))
+    summary = run_summary(cases).withColumn("_one", F.lit(1)).join(passed, "_one").drop("_one")
+    facts = {k: F.lit(run.get(k)).cast("string") for k in ("profile", "backend", "mode", "operator", "git_ref")}
+    runs = summary.withColumns(
+        {
+            **facts,
+            "started_at": started,
+            "finished_at": finished,
+            "duration_s": (F.unix_micros(finished) - F.unix_micros(started)) / F.lit(1e6),
+        }
+    )
+    hidden = [c for c in ("attack", "tests", "techniques", "tactics", "lo", "hi") if c in cases.columns]
+    attack = (
+        cases.select("case_id", F.posexplode("attack").alias("pos", "ref"))
+        .filter(F.col("ref.technique") != "")
+        .groupBy("case_id", F.col("ref.technique").alias("technique"))
+        .agg(F.max_by("ref.tactic", "pos").alias("tactic"))
+    )
+    body = [c for c in ("executed", "mode", "started_us", "finished_us", "exit_code", "emulation_error") if c in cases.columns]
+    emulations = cases.filter(F.col("started_us").isNotNull()).groupBy("test_id").agg(
+        F.min_by(F.struct(*body), "case_id").alias("e")
+    ).select("test_id", "e.*")
+    failed = gates.filter(F.col("applicable") & ~F.col("passed")).select(
+        F.col("position").cast("bigint").alias("id"), F.lit("gate").alias("kind"), F.col("gate").alias("name"), F.lit("high").alias("severity"),
+        F.lit(None).cast("string").alias("rule"), F.concat(F.col("n").cast("string"), F.lit(" offender(s)")).alias("message"),
+        F.to_json(F.struct("offenders")).alias("detail"),
+    )
+    # At most one finding per rule, so numbering them is small work.
+    worst = Window.partitionBy(F.lit(0)).orderBy(F.col("excess").desc(), "rule")
+    loud = noise.select(
+        (F.row_number().over(worst) + 100).cast("bigint").alias("id"), F.lit("noise").alias("kind"), F.col("rule").alias("name"), "severity", "rule",
+        F.format_string("%s: %d baseline hit(s), %d accepted - %d over", "rule", "hits", "allowance", "excess").alias("message"),
+        F.to_json(F.struct("rule", "hits", "allowance", "excess", "severity", "profile", "outcome")).alias("detail"),
+    )
+    used = rules.join(cases.select("rule").distinct(), "rule", "left_semi").select("rule", "fingerprint", "status", "severity")
+    if scores is not None:
+        used = used.join(scores.select("rule", F.col("total").alias("score"), "grade"), "rule", "left")
+    out = {
+        "runs": runs,
+        "cases": cases.drop(*hidden),
+        "case_attack": attack,
+        "emulations": emulations,
+        "coverage_snapshots": techniques.drop("errored", "skipped", "rules", "missing_telemetry"),
+        "findings": failed.unionByName(loud),
+        "rule_snapshots": used,
+    }
+    if evidence is not None:
+        out["evidence"] = evidence.select("case_id", (F.col("place") - 1).alias("ordinal"), "document")
+    return out

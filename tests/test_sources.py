@@ -5,12 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from proofgrid.operators import capture
+from proofgrid.operators import capture, coverage, gates, noise
 from proofgrid.operators.replay import replay
 from proofgrid.operators.rules import Rule, RuleError
 from proofgrid.sources import content, corpus, read_events, register_source
 from proofgrid.sources.exports import unwrap
-from proofgrid.sources.store import RunStore, write_run_document
+from proofgrid.sources.store import RunStore, run_tables, write_run_document
+from proofgrid.session import cut_lineage
 
 RULES = {
     "handle.yml": """
@@ -140,6 +141,37 @@ def test_replay_gives_the_three_states(spark, workspace):
     assert only.count() == 2
 
 
+def test_a_replayed_run_is_stored(spark, workspace, tmp_path):
+    events = corpus.read_corpus(spark, str(workspace / "corpora"))
+    ruleset, _ = content.load_ruleset(workspace / "rules", workspace / "sources.yml")
+    tests = content.tests_table(spark, content.load_tests(workspace / "tests"))
+    out = cut_lineage(replay(events, corpus.corpus_fields(events), ruleset, tests, 1_700_000_000_000_000))
+    layout = "detected double, visible double, priority string"
+    techniques = coverage.technique_coverage(
+        out,
+        spark.createDataFrame([("T1003", "Dumping", ["credential-access"])], "technique string, name string, tactics array<string>"),
+        spark.createDataFrame([], f"technique string, {layout}"),
+        spark.createDataFrame([], f"tactic string, {layout}"),
+        spark.createDataFrame([], "technique string, reason string"),
+    )
+    accepted = spark.createDataFrame([], "profile string, rule string, max_hits int")
+    loud = noise.noise_findings(out, accepted)
+    checked = gates.evaluate_gates(out, gates.GateSettings(fail_on_noise=True), noise=loud)
+    run = {"profile": "p", "backend": "corpus", "mode": "replay", "started_at": "2026-03-01 10:00:00", "finished_at": "2026-03-01 10:00:30"}
+    store = RunStore(spark, str(tmp_path / "runs"))
+    kept = spark.createDataFrame([("x", 1, "{}")], "case_id string, place int, document string")
+    store.save("run-1", run["started_at"], run_tables(out, run, checked, loud, techniques, ruleset.table(spark), kept))
+    row = store.read("runs").first()
+    assert (row["total"], row["detected"], row["visible"], row["blind"], row["skipped"]) == (5, 2, 1, 1, 1)
+    assert row["duration_s"] == 30 and row["gates_passed"] is False and row["latency_p50"] == 205.5
+    found = {r["kind"]: (r["name"], r["message"]) for r in store.findings("run-1").collect()}
+    assert found == {"gate": ("noise-budget", "1 offender(s)"), "noise": ("handle", "handle: 1 baseline hit(s), 0 accepted - 1 over")}
+    loaded = {(r["rule"], r["test_id"]): r for r in store.load_cases("run-1").collect()}
+    assert loaded["handle", "dump"]["attack"][0]["tactic"] == "credential-access" and loaded["handle", "dump"]["emulation"]["mode"] == "replay"
+    assert loaded["handle", "ghost"]["emulation"] is None
+    assert store.read("rule_snapshots").count() == 4 and store.read("coverage_snapshots").count() == 2
+
+
 def test_bad_lines(spark, tmp_path):
     folder = tmp_path / "c" / "s"
     folder.mkdir(parents=True)
