@@ -275,19 +275,17 @@ def attribute_events(
     `payload` names the window columns added to the event.
     """
     ranges = owned_ranges(windows, keys, start, end, tie, bucket_seconds)
-    owner = F.struct(F.col(end).alias("_hi"), *[F.col(c) for c in payload])
-    marks = ranges.select(*keys, F.col("own_lo").alias("at"), owner.alias("_owner"))
-    asked = events.select(*keys, F.col(at).alias("at"))
+    # Only the number of the owning window travels on the timeline.
+    marks = ranges.select(*keys, F.col("own_lo").alias("at"), F.col(tie).alias("mark"))
     line = (
-        asked.withColumn("_owner", F.lit(None).cast(marks.schema["_owner"].dataType))
+        events.select(*keys, F.col(at).alias("at"), F.lit(None).cast("bigint").alias("mark"))
         .unionByName(marks)
         .groupBy(*keys, "at")
-        .agg(F.first("_owner", ignorenulls=True).alias("_owner"))
-    )
-    answers = running(
-        line, keys, "at", [Running("_found", "last", F.col("_owner"))], bucket_seconds * 1_000_000
-    ).filter(F.col("at") <= F.col("_found._hi"))
-    return events.join(
-        answers.select(*keys, F.col("at").alias(at), *[F.col(f"_found.{c}").alias(c) for c in payload]),
-        [*keys, at],
+        .agg(F.max("mark").alias("mark"))
     )
+    found = running(
+        line, keys, "at", [Running("_owner", "last", F.col("mark"))], bucket_seconds * 1_000_000
+    ).filter(F.col("_owner").isNotNull())
+    named = windows.select(*keys, F.col(tie).alias("_owner"), F.col(end).alias("_hi"), *payload)
+    answers = found.join(named, [*keys, "_owner"]).filter(F.col("at") <= F.col("_hi"))
+    return events.join(answers.select(*keys, F.col("at").alias(at), *payload), [*keys, at])
