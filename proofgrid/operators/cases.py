@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from proofgrid import vocabulary as V
 from proofgrid.functions.scalars import case_id
 from proofgrid.operators.rules import Ruleset, probe_keys, tag_codes
-from proofgrid.operators.timeline import BUCKET_SECONDS, count_in_windows
+from proofgrid.operators.timeline import BUCKET_SECONDS, count_in_windows, within_span
 
 
 def plan_cases(rules: DataFrame, tests: DataFrame | None = None, wanted_tests: Sequence[str] = (), run: Column | None = None) -> DataFrame:
@@ -57,6 +57,7 @@ def observe(
     attribution: str | None = None,
     result_cap: int | None = None,
     bucket_seconds: int = BUCKET_SECONDS,
+    prune: bool = False,
 ) -> DataFrame:
     """Add detection_hits, telemetry_hits, baseline_hits, first_us and truncation to cases.
 
@@ -65,7 +66,8 @@ def observe(
     attribution every event in a window counts, as on a live platform.
 
     Counts are exact. `result_cap` only sets the truncation flags that a capped search
-    would have reported; nothing is dropped.
+    would have reported; nothing is dropped. `prune` reads only the time span the windows
+    cover, for cases that touch a small part of a long history.
     """
     keys = ["tag"] + (["owner"] if attribution else [])
     owner = {"owner": F.col(attribution)} if attribution else {}
@@ -90,6 +92,8 @@ def observe(
     if baseline is not None:
         asks.append(ask("noise", hit, baseline.lo, baseline.hi, baseline.key))
     requests = cases.select("case_id", F.inline(F.array(*asks))).filter(F.col("tag").isNotNull())
+    if prune:
+        events = within_span(events, requests)
     seen = count_in_windows(
         events,
         requests,

@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
+from proofgrid.operators import coverage, gates, noise, scorecard
 from proofgrid.operators import history as H
-from proofgrid.operators import scorecard
 from proofgrid.plans.telemetry import RULES, Query, results, table, with_results
 from proofgrid.session import cut_lineage
 
 
-def case_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def case_history(spark: SparkSession, sf_dir: str, classified: DataFrame | None = None) -> DataFrame:
     """Last result of every (run, rule, host). Written once: several steps read it."""
     segments = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("profile")
     )
-    found = results(spark, sf_dir).join(segments, "user_id")
+    found = (results(spark, sf_dir) if classified is None else classified).join(segments, "user_id")
     columns = ("outcome", "status", "latency", "severity", "baseline_hits", "started_us")
     last = found.groupBy(
         F.concat_ws("/", "profile", "day").alias("run_id"), "profile", "day", "rule", F.col("user_id").cast("string").alias("test_id")
@@ -216,7 +216,80 @@ FROM (SELECT run_id, round(avg(total), 1) AS average, """
     SCORE_CTE,
 )
 
+# Content for the full gate evaluation.
+GATE_TARGETS = (("impact", 0.8, 0.95, "high"), ("collection", 0.05, 0.1, "critical"), ("credential-access", 0.9, 0.99, "critical"))
+FULL = gates.GateSettings(
+    min_severity="medium", min_detection_rate=0.01, min_visibility_rate=0.9, fail_on_noise=True, fail_on_latency_breach=True,
+    fail_on_coverage_target=True,
+)
+
+
+def gates_full(spark, sf_dir):
+    """All eight gates at once: regressions of every run, noise without allowance, tactic targets."""
+    found = cut_lineage(results(spark, sf_dir))
+    layout = "detected double, visible double, priority string"
+    targets = spark.createDataFrame(GATE_TARGETS, f"tactic string, {layout}")
+    techniques = coverage.technique_coverage(
+        found,
+        spark.createDataFrame([("T1003", "Dumping", ["credential-access"])], "technique string, name string, tactics array<string>"),
+        spark.createDataFrame([], f"technique string, {layout}"),
+        targets,
+        spark.createDataFrame([], "technique string, reason string"),
+    )
+    tactics = coverage.tactic_coverage(
+        techniques, spark.createDataFrame([("impact", "Impact", 3), ("collection", "Collection", 2)], "tactic string, name string, order int"), targets
+    )
+    past = case_history(spark, sf_dir, found)
+    # The gates read these twice, to count and to name.
+    deltas = cut_lineage(H.diff_history(past, H.previous_runs(runs_of(past))))
+    tactics = cut_lineage(tactics)
+    loud = noise.noise_findings(found, spark.createDataFrame([], "profile string, rule string, max_hits int"))
+    out = gates.evaluate_gates(found, FULL, deltas, tactics, loud)
+    return out.select("gate", "applicable", "passed", "n", "accepted", F.array_join("offenders", ",").alias("offenders"))
+
+
+GATES_FULL_SQL = with_results(
+    """
+SELECT g.gate, true AS applicable,
+  CASE WHEN g.target IS NULL THEN coalesce(s.n, 0) = 0 ELSE r.actual >= g.target OR coalesce(s.n, 0) = 0 END AS passed,
+  coalesce(s.n, 0) AS n, coalesce(a.n, 0) AS accepted,
+  coalesce(CASE WHEN coalesce(s.n, 0) > 0 THEN s.offenders WHEN r.actual < g.target OR g.gate = 'coverage-targets' THEN a.offenders END, '') AS offenders
+FROM (VALUES ('no-errors', NULL), ('expectations-met', NULL), ('no-regressions', NULL), ('detection-rate', 0.01::DOUBLE),
+      ('visibility-rate', 0.9::DOUBLE), ('noise-budget', NULL), ('latency-budget', NULL), ('coverage-targets', NULL)) g(gate, target)
+LEFT JOIN side s ON s.gate = g.gate LEFT JOIN side a ON a.gate = g.gate || '/accepted'
+LEFT JOIN (SELECT 'detection-rate' AS gate, count(*) FILTER (outcome = 'detected') / count(*)::DOUBLE AS actual FROM res
+           UNION ALL SELECT 'visibility-rate', count(*) FILTER (outcome <> 'blind') / count(*)::DOUBLE FROM res) r ON r.gate = g.gate""",
+    HIST,
+    DIFF,
+    f"""
+target(tactic, d, v, priority) AS (VALUES {", ".join(f"('{t}', {d}::DOUBLE, {v}::DOUBLE, '{p}')" for t, d, v, p in GATE_TARGETS)}),
+att AS (SELECT res.*, attack.technique, attack.tactic AS own, attack.pos FROM res JOIN attack USING (rule)),
+tech AS (SELECT technique, count(*) FILTER (outcome = 'detected') AS detected, count(*) FILTER (outcome = 'blind') AS blind, count(*) AS scoreable
+  FROM att GROUP BY 1),
+first AS (SELECT technique, own FROM (SELECT *, row_number() OVER (PARTITION BY technique ORDER BY rule, test_id, pos) AS n FROM att) WHERE n = 1),
+tac AS (SELECT coalesce(own, CASE WHEN split_part(technique, '.', 1) = 'T1003' THEN 'credential-access' END, 'unmapped') AS tactic,
+  sum(detected) / sum(scoreable)::DOUBLE AS dr, (sum(scoreable) - sum(blind)) / sum(scoreable)::DOUBLE AS vr
+  FROM tech JOIN first USING (technique) GROUP BY 1),
+critical AS (SELECT tactic, CASE priority WHEN 'critical' THEN 0 ELSE 1 END * 1000 + CASE tactic WHEN 'impact' THEN 3 WHEN 'collection' THEN 2 ELSE 99 END AS a,
+  tactic IN (SELECT own FROM att WHERE outcome IN ('visible', 'blind') AND status <> 'pass' AND own IS NOT NULL) AS drift
+  FROM tac JOIN target USING (tactic) WHERE (dr < d OR vr < v) AND priority IN ('critical', 'high')),
+marks AS (
+  SELECT 'expectations-met' AS gate, rule || '/' || test_id AS o, 0::DOUBLE AS a, rule AS b, test_id AS c FROM res WHERE status = 'fail' AND s_rank >= 2
+  UNION ALL SELECT 'no-regressions', rule || '/' || test_id, 0, rule || '/' || test_id, '' FROM deltas WHERE kind = 'regression' AND severity IN ('medium', 'high', 'critical')
+  UNION ALL SELECT 'detection-rate', rule || '/' || test_id, 0, rule, test_id FROM res WHERE outcome = 'visible' AND status <> 'pass'
+  UNION ALL SELECT 'detection-rate/accepted', rule || '/' || test_id, 0, rule, test_id FROM res WHERE outcome = 'visible' AND status = 'pass'
+  UNION ALL SELECT 'visibility-rate', rule || '/' || test_id, 0, rule, test_id FROM res WHERE outcome = 'blind' AND status <> 'pass'
+  UNION ALL SELECT 'visibility-rate/accepted', rule || '/' || test_id, 0, rule, test_id FROM res WHERE outcome = 'blind' AND status = 'pass'
+  UNION ALL SELECT 'latency-budget', rule || '/' || test_id, 0, rule, test_id FROM res WHERE latency > max_latency AND s_rank >= 2
+  UNION ALL SELECT 'coverage-targets' || CASE WHEN drift THEN '' ELSE '/accepted' END, tactic, a, tactic, '' FROM critical
+  UNION ALL SELECT 'noise-budget', rule, -baseline_hits, rule, '' FROM
+    (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY test_id, case_id) AS n FROM res WHERE baseline_hits > 0) WHERE n = 1 AND s_rank >= 2),
+side AS (SELECT gate, max(t) AS n, string_agg(o, ',' ORDER BY n) FILTER (n <= 20) AS offenders FROM
+  (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY a, b, c) AS n, count(*) OVER (PARTITION BY gate) AS t FROM marks) GROUP BY gate)""",
+)
+
 QUERIES = {
+    "gates_full": Query(gates_full, GATES_FULL_SQL),
     "run_diff": Query(run_diff, RUN_DIFF_SQL),
     "diff_counts": Query(diff_counts, DIFF_COUNTS_SQL),
     "previous_run": Query(previous_run, with_results("SELECT run_id, profile, previous_run_id FROM prev", HIST)),

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from proofgrid.operators.cases import classify, plan_cases, search_window
+from proofgrid.functions.fields import EventFields
+from proofgrid.operators.cases import Baseline, classify, observe, plan_cases, search_window
+from proofgrid.operators.rules import Rule, Ruleset, Source, measure_rules
 
 LAYOUT = (
     "case_id string, expected string, max_latency double, skip_reason string, run_skip_reason string, mode string, "
@@ -113,3 +115,29 @@ def test_window(spark, budget, after):
     lo, hi = search_window(F.lit(1_000_000_000), F.lit(1_010_000_000), F.lit(budget))
     row = spark.range(1).select(lo.alias("lo"), hi.alias("hi")).first()
     assert (row.lo, row.hi) == (880_000_000, 1_010_000_000 + after * 1_000_000)
+
+
+def test_observe_counts_hits_probes_and_noise(spark):
+    library = Ruleset(
+        (
+            Rule.from_document({"title": "Err", "telemetry": ["log"], "detection": {"s": {"kind": "error"}, "condition": "s"}}),
+            Rule.from_document({"title": "No scope", "detection": {"s": {"kind": "info"}, "condition": "s"}}),
+        ),
+        {"log": Source("log", {"kind": ["error", "info"]})},
+    )
+    rows = [(10, "a", "error"), (20, "a", "info"), (30, "b", "error"), (31, "a", "error"), (500, "a", "error"), (5, "a", "error")]
+    events = spark.createDataFrame(rows, "us bigint, host string, kind string")
+    marked = measure_rules(events, library, EventFields.of(events, columns=["kind"]), ["us", "host"])
+    cases = spark.createDataFrame(
+        [("c1", "err", "a", 10, 40), ("c2", "err", "b", 0, 20), ("c3", "no-scope", "a", 0, 100)],
+        "case_id string, rule string, host string, lo bigint, hi bigint",
+    )
+    quiet = Baseline(F.lit(0), F.lit(9), F.col("host"))
+    for prune in (False, True):
+        got = {
+            r["case_id"]: (r["detection_hits"], r["first_us"], r["telemetry_hits"], r["baseline_hits"], r["detection_truncated"])
+            for r in observe(cases, marked, library, quiet, "host", result_cap=1, prune=prune).collect()
+        }
+        assert got == {"c1": (2, 10, 3, 1, True), "c2": (0, None, 0, 0, False), "c3": (1, 20, None, 0, False)}
+    live = {r["case_id"]: r["detection_hits"] for r in observe(cases, marked, library).collect()}
+    assert live == {"c1": 3, "c2": 2, "c3": 1}

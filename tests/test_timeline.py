@@ -8,6 +8,7 @@ from proofgrid.operators.timeline import (
     attribute_events,
     count_in_windows,
     first_in_windows,
+    within_span,
 )
 
 
@@ -60,3 +61,12 @@ def test_timestamps_before_epoch_and_small_buckets(spark):
     wi = spark.createDataFrame([(1, "a", -3_000_000, 0), (2, "a", 1, 9_000_000), (3, "a", 6_000_000, 7_000_000)], "window_id int, key string, lo bigint, hi bigint")
     got = {r["window_id"]: (r["hits"], r["first_us"]) for r in count_in_windows(ev, wi, ["key"], ["window_id"], bucket_seconds=1).collect()}
     assert got == {1: (2, -3_000_000), 2: (1, 5_000_000), 3: (0, None)}
+
+
+def test_span_keeps_what_windows_can_see(spark):
+    ev = spark.createDataFrame([(i, "a", i * 1_000_000) for i in range(20)], "event_id int, key string, us bigint")
+    wi = spark.createDataFrame([(1, "a", 4_000_000, 6_000_000), (2, "a", 9_000_000, 9_500_000)], "window_id int, key string, lo bigint, hi bigint")
+    kept = within_span(ev, wi)
+    assert sorted(r["event_id"] for r in kept.collect()) == [4, 5, 6, 7, 8, 9]
+    count = lambda e: {tuple(r) for r in count_in_windows(e, wi, ["key"], ["window_id"]).collect()}
+    assert count(kept) == count(ev) == {(1, 3, 4_000_000), (2, 1, 9_000_000)}
