@@ -36,28 +36,28 @@ def field_population(
     `wanted` names extra (rule) fields per source. One scan and one aggregate row cover all
     sources and fields; the row is then opened into lines.
     """
-    pairs = [
-        (s.id, name, selection(fields, s.scope))
-        for s in sources
-        if s.scope
-        for name in dict.fromkeys([*s.fields, *wanted.get(s.id, ())])
-    ]
-    scopes = {s: scope for s, _, scope in pairs}
-    counts = [F.count_if(scope).alias(f"n{i}") for i, scope in enumerate(scopes.values())]
-    filled = [
-        F.count_if(scope & ~fields.locate(name).blank).alias(f"f{i}") for i, (_, name, scope) in enumerate(pairs)
-    ]
-    one = events.agg(*counts, *filled)
-    place = {s: i for i, s in enumerate(scopes)}
+    scoped = [s for s in sources if s.scope]
+    pairs = [(s.id, name) for s in scoped for name in dict.fromkeys([*s.fields, *wanted.get(s.id, ())])]
+    names = list(dict.fromkeys(name for _, name in pairs))
+    scope_at = {s.id: F.col(f"s{i}") for i, s in enumerate(scoped)}
+    filled_at = {name: F.col(f"f{i}") for i, name in enumerate(names)}
+    tested = events.select(
+        *[selection(fields, s.scope).alias(f"s{i}") for i, s in enumerate(scoped)],
+        *[(~fields.locate(name).blank).alias(f"f{i}") for i, name in enumerate(names)],
+    )
+    one = tested.agg(
+        *[F.count_if(c).alias(f"n_{s}") for s, c in scope_at.items()],
+        *[F.count_if(scope_at[s] & filled_at[name]).alias(f"p{i}") for i, (s, name) in enumerate(pairs)],
+    )
     lines = F.array(
         *[
             F.struct(
                 F.lit(s).alias("source"),
                 F.lit(name).alias("field"),
-                F.col(f"n{place[s]}").alias("events"),
-                F.col(f"f{i}").alias("filled"),
+                F.col(f"`n_{s}`").alias("events"),
+                F.col(f"p{i}").alias("filled"),
             )
-            for i, (s, name, _) in enumerate(pairs)
+            for i, (s, name) in enumerate(pairs)
         ]
     )
     return one.select(F.inline(lines)).withColumns(

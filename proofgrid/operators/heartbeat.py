@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
 from proofgrid.functions.fields import EventFields
-from proofgrid.functions.predicates import selection
+from proofgrid.functions.predicates import selection, selection_fields
 from proofgrid.operators.rules import Source
 
 
 def observations(events: DataFrame, sources: Sequence[Source], fields: EventFields, host: Column, at: str = "us") -> DataFrame:
     """(source, host, us) for every source an event belongs to, from one scan for all sources."""
-    names = [F.when(selection(fields, s.scope), F.lit(s.id)) for s in sources if s.scope]
+    scoped = [s for s in sources if s.scope]
+    events, fields = fields.project(events, [n for s in scoped for n in selection_fields(s.scope)])
+    names = [F.when(selection(fields, s.scope), F.lit(s.id)) for s in scoped]
     return events.select(
         F.explode(F.array_compact(F.array(*names))).alias("source"), host.alias("host"), F.col(at).alias("us")
     ).filter(F.col("host").isNotNull() & F.col("us").isNotNull())

@@ -117,9 +117,12 @@ def case_progress(
     """
 
     def fold(batch: DataFrame) -> DataFrame:
+        # Only cases whose window meets the batch's time span are looked at.
+        first, last = batch.agg(F.min("us"), F.max("us")).first()
+        near = cases.filter((F.col("hi") >= F.lit(first)) & (F.col("lo") <= F.lit(last)))
         keep = ["us"] + ([attribution] if attribution else [])
         marked = measure_rules(batch, ruleset, fields_of(batch), keep)
-        seen = observe(cases, marked, ruleset, attribution=attribution)
+        seen = observe(near, marked, ruleset, attribution=attribution)
         touched = seen.filter((F.col("detection_hits") > 0) | (F.col("telemetry_hits") > 0))
         return touched.select("case_id", "detection_hits", "telemetry_hits", "first_us")
 

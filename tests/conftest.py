@@ -17,7 +17,8 @@ def spark():
         "local[8]",
         **{
             "spark.ui.enabled": "false",
-            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.shuffle.partitions": "3",
             "spark.driver.memory": "8g",
             "spark.sql.streaming.stateStore.providerClass": STREAM_STATE_STORE,
         },
