@@ -156,13 +156,13 @@ def classify(observed: DataFrame, strict_compat: bool = False) -> DataFrame:
     skip = F.coalesce(
         c("run_skip_reason"),
         c("skip_reason"),
-        F.when(c("started_us").isNull(), F.lit("emulation produced no result")),
-        F.when(c("mode") == "dry-run", F.lit("dry run: no behaviour was emulated, so no conclusion can be drawn")),
+        F.when(c("started_us").isNull(), F.lit("the test did not run")),
+        F.when(c("mode") == "dry-run", F.lit("dry run: nothing was executed to detect")),
     )
     error = F.coalesce(
-        F.concat(F.lit("emulation failed: "), F.nullif(c("emulation_error"), F.lit(""))),
-        F.concat(F.lit("detection query failed: "), c("detection_error")),
-        F.when(c("detection_hits").isNull(), F.lit("detection query was never run")),
+        F.concat(F.lit("test failed: "), F.nullif(c("emulation_error"), F.lit(""))),
+        F.concat(F.lit("rule query failed: "), c("detection_error")),
+        F.when(c("detection_hits").isNull(), F.lit("rule query missing")),
     )
     ran = skip.isNull() & error.isNull()
     hits = c("detection_hits") > 0
@@ -226,16 +226,16 @@ def classify(observed: DataFrame, strict_compat: bool = False) -> DataFrame:
             *[
                 F.when(c("_skip").isNull() & c("_error").isNull() & when, text)
                 for when, text in (
-                    (probe_failed, F.concat(F.lit("telemetry probe failed ("), c("telemetry_error"), F.lit("); treated as unavailable"))),
-                    (~hits & ~c("_probe"), F.lit("no telemetry probe: a detection gap cannot be told from a visibility gap")),
-                    ((c("outcome") == "visible") & c("_probe"), F.concat(c("telemetry_hits").cast("string"), F.lit(" telemetry event(s) arrived but the rule matched none of them"))),
-                    (c("outcome") == "blind", F.lit("no telemetry of the required type arrived in the test window")),
-                    (c("_cut"), F.lit("result set was truncated; latency is a lower bound")),
-                    (c("_replay"), F.lit("replayed from a recorded corpus, not executed live")),
-                    (F.coalesce(c("exit_code") != 0, false), F.concat(F.lit("emulation exited "), c("exit_code").cast("string"))),
+                    (probe_failed, F.concat(F.lit("probe failed ("), c("telemetry_error"), F.lit("), taken as absent"))),
+                    (~hits & ~c("_probe"), F.lit("no probe: rule gap and source gap look alike")),
+                    ((c("outcome") == "visible") & c("_probe"), F.concat(c("telemetry_hits").cast("string"), F.lit(" source event(s) seen, none matched by the rule"))),
+                    (c("outcome") == "blind", F.lit("no source event seen in the test window")),
+                    (c("_cut"), F.lit("results were capped, so the latency is uncertain")),
+                    (c("_replay"), F.lit("replay of a recording, nothing executed")),
+                    (F.coalesce(c("exit_code") != 0, false), F.concat(F.lit("test exit code "), c("exit_code").cast("string"))),
                     (breached, F.concat(F.lit("detected after "), seconds(c("latency")), F.lit("s against a "), seconds(c("max_latency")), F.lit("s budget"))),
-                    (c("baseline_error").isNotNull(), F.concat(F.lit("baseline query failed: "), c("baseline_error"))),
-                    (c("baseline_error").isNull() & F.coalesce(c("baseline_hits") > 0, false), F.concat(F.lit("the same logic matched "), c("baseline_hits").cast("string"), F.lit(" event(s) in the quiet window"))),
+                    (c("baseline_error").isNotNull(), F.concat(F.lit("quiet-window query failed: "), c("baseline_error"))),
+                    (c("baseline_error").isNull() & F.coalesce(c("baseline_hits") > 0, false), F.concat(c("baseline_hits").cast("string"), F.lit(" quiet-window hit(s)"))),
                 )
             ],
         )

@@ -70,10 +70,10 @@ def delta_kind(before: Column, after: Column, before_latency: Column, after_late
 
 def delta_note(kind: Column, after: Column) -> Column:
     return (
-        F.when((kind == "regression") & (after == "blind"), F.lit("telemetry stopped arriving"))
-        .when((kind == "regression") & (after == "visible"), F.lit("telemetry arrives but the rule no longer matches"))
-        .when(kind == "new", F.lit("no prior result"))
-        .when(kind == "slower", F.lit("still detected, but much slower"))
+        F.when((kind == "regression") & (after == "blind"), F.lit("source went dark"))
+        .when((kind == "regression") & (after == "visible"), F.lit("source present, rule no longer matches"))
+        .when(kind == "new", F.lit("first result of this case"))
+        .when(kind == "slower", F.lit("detected much later than before"))
         .when(kind == "removed", F.lit("no longer planned"))
         .otherwise(F.lit(""))
     )

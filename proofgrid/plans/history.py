@@ -67,9 +67,9 @@ def run_diff(spark, sf_dir):
 RUN_DIFF_SQL = with_results(
     """
 SELECT run_id, rule, test_id, kind, "before", "after", before_latency, after_latency, severity,
-  CASE WHEN kind = 'regression' AND "after" = 'blind' THEN 'telemetry stopped arriving'
-       WHEN kind = 'regression' THEN 'telemetry arrives but the rule no longer matches'
-       WHEN kind = 'new' THEN 'no prior result' WHEN kind = 'slower' THEN 'still detected, but much slower'
+  CASE WHEN kind = 'regression' AND "after" = 'blind' THEN 'source went dark'
+       WHEN kind = 'regression' THEN 'source present, rule no longer matches'
+       WHEN kind = 'new' THEN 'first result of this case' WHEN kind = 'slower' THEN 'detected much later than before'
        WHEN kind = 'removed' THEN 'no longer planned' ELSE '' END AS note
 FROM deltas WHERE kind <> 'unchanged'""",
     HIST,

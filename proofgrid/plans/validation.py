@@ -144,15 +144,15 @@ def confidence_notes(spark, sf_dir):
 
 NOTES_SQL = """,
 n AS (SELECT *, list_filter([
-    CASE WHEN outcome = 'visible' THEN telemetry_hits || ' telemetry event(s) arrived but the rule matched none of them' END,
-    CASE WHEN outcome = 'blind' THEN 'no telemetry of the required type arrived in the test window' END,
-    CASE WHEN confidence = 'medium' THEN 'result set was truncated; latency is a lower bound' END,
-    CASE WHEN baseline_hits > 0 THEN 'the same logic matched ' || baseline_hits || ' event(s) in the quiet window' END
+    CASE WHEN outcome = 'visible' THEN telemetry_hits || ' source event(s) seen, none matched by the rule' END,
+    CASE WHEN outcome = 'blind' THEN 'no source event seen in the test window' END,
+    CASE WHEN confidence = 'medium' THEN 'results were capped, so the latency is uncertain' END,
+    CASE WHEN baseline_hits > 0 THEN baseline_hits || ' quiet-window hit(s)' END
   ], lambda x: x IS NOT NULL) AS l FROM res WHERE latency IS NULL OR latency <= max_latency
   UNION ALL SELECT *, list_filter([
-    CASE WHEN confidence = 'medium' THEN 'result set was truncated; latency is a lower bound' END,
+    CASE WHEN confidence = 'medium' THEN 'results were capped, so the latency is uncertain' END,
     'detected after ' || printf('%.0f', latency) || 's against a ' || printf('%.0f', max_latency) || 's budget',
-    CASE WHEN baseline_hits > 0 THEN 'the same logic matched ' || baseline_hits || ' event(s) in the quiet window' END
+    CASE WHEN baseline_hits > 0 THEN baseline_hits || ' quiet-window hit(s)' END
   ], lambda x: x IS NOT NULL) AS l FROM res WHERE latency > max_latency)
 SELECT case_id, confidence, len(l) AS n_notes, array_to_string(l, ' / ') AS notes FROM n"""
 

@@ -194,7 +194,7 @@ def run_tables(
     worst = Window.partitionBy(F.lit(0)).orderBy(F.col("excess").desc(), "rule")
     loud = noise.select(
         (F.row_number().over(worst) + 100).cast("bigint").alias("id"), F.lit("noise").alias("kind"), F.col("rule").alias("name"), "severity", "rule",
-        F.format_string("%s: %d baseline hit(s), %d accepted - %d over", "rule", "hits", "allowance", "excess").alias("message"),
+        F.format_string("%s has %d quiet-window hit(s), %d more than accepted", "rule", "hits", "excess").alias("message"),
         F.to_json(F.struct("rule", "hits", "allowance", "excess", "severity", "profile", "outcome")).alias("detail"),
     )
     used = rules.join(cases.select("rule").distinct(), "rule", "left_semi").select("rule", "fingerprint", "status", "severity")

@@ -90,7 +90,7 @@ def test_confidence_and_latency(spark):
     assert rows[1]["first_us"] == -5 and rows[1]["noisy"]
     assert rows[3]["breached"] and any("301s against a 300s" in n for n in rows[3]["notes"])
     assert rows[4]["baseline_hits"] == 0
-    assert any("exited 3" in n for n in rows[5]["notes"])
+    assert any("exit code 3" in n for n in rows[5]["notes"])
 
 
 def test_strict_compat_truncates_probe(spark):

@@ -165,7 +165,7 @@ def test_a_replayed_run_is_stored(spark, workspace, tmp_path):
     assert (row["total"], row["detected"], row["visible"], row["blind"], row["skipped"]) == (5, 2, 1, 1, 1)
     assert row["duration_s"] == 30 and row["gates_passed"] is False and row["latency_p50"] == 205.5
     found = {r["kind"]: (r["name"], r["message"]) for r in store.findings("run-1").collect()}
-    assert found == {"gate": ("noise-budget", "1 offender(s)"), "noise": ("handle", "handle: 1 baseline hit(s), 0 accepted - 1 over")}
+    assert found == {"gate": ("noise-budget", "1 offender(s)"), "noise": ("handle", "handle has 1 quiet-window hit(s), 1 more than accepted")}
     loaded = {(r["rule"], r["test_id"]): r for r in store.load_cases("run-1").collect()}
     assert loaded["handle", "dump"]["attack"][0]["tactic"] == "credential-access" and loaded["handle", "dump"]["emulation"]["mode"] == "replay"
     assert loaded["handle", "ghost"]["emulation"] is None
