@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +31,17 @@ def build_session(app: str = "proofgrid", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="proofgrid-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
     Only when the session names none (plain local tests) is a temporary folder chosen.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="proofgrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

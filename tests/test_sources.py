@@ -114,6 +114,8 @@ def test_content(workspace):
     changed = Rule.from_document({"title": "Handle opened", "detection": {"selection": {"a": 1}, "condition": "selection"}})
     again = Rule.from_document({"title": "Other words", "detection": {"selection": {"a": 1}, "condition": "selection"}})
     assert changed.fingerprint == again.fingerprint != by["handle"].fingerprint
+    odd = {"title": "x", "detection": {"a": {"Path": ["C:\\Users\\*", "C:\\Temp*"], "b|re": "\\w\\*"}, "condition": "a"}}
+    assert Rule.from_document(odd).escaped_stars == ("C:\\Users\\*",)
     for bad in ({"title": "x"}, {"title": "x", "detection": {"condition": "a"}}, {"title": "x", "detection": {"a": {"b|zz": 1}, "condition": "a"}},
                 {"title": "x", "attack": ["T12"], "detection": {"a": {"b": 1}, "condition": "a"}}):
         with pytest.raises(RuleError):
