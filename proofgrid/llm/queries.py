@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import lines, sharding
+from proofgrid.llm import bpe, lines, quality, sharding
 from proofgrid.llm.texts import sha256_hex, whole
 
 SHARDS = 24
@@ -27,6 +27,24 @@ def op5_shard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule counts and the classifier's verdict for every text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = quality.judge(docs, quality.train(docs, table(spark, folder, "labels")))
+    return out.drop("text", "p_quality")
+
+
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Encode, then decode again."""
+    out = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text")).drop("text"))
+    return out.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        sha256_hex(F.array_join(F.col("token_ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        sha256_hex(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that stand in an earlier document are dropped."""
     out = lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
@@ -45,5 +63,5 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from m group by doc_id
 """
 
-QUERIES = {"op5_shard": op5_shard, "op9_line_dedup": op9_line_dedup}
+QUERIES = {"op5_shard": op5_shard, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup}
 SQL = {"op9_line_dedup": OP9_SQL}
