@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import bpe, lines, quality, sharding
+from proofgrid.llm import bpe, decontamination, lines, quality, secrets, sharding
 from proofgrid.llm.texts import sha256_hex, whole
 
 SHARDS = 24
@@ -15,6 +15,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets by rules and entropy."""
+    out = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    of = lambda rank: F.filter("secrets", lambda s: s["rank"] == rank)
+    return out.select(
+        "doc_id",
+        *[F.size(of(rank)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(secrets.KINDS[:3])],
+        sha256_hex(secrets.listed(F.filter("secrets", lambda s: s["rank"] < 3))).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = decontamination.contamination(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
+        F.when(F.col("d") != decontamination.LAST_ID, F.col("d")).alias("doc_id"),
+        "n_words",
+        "n_hit",
+        "n_items",
+        decontamination.item_list(F.col("items")).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op5_shard(spark: SparkSession, folder: str) -> DataFrame:
     """Shards of near-equal bytes; equal texts stand together."""
     text = whole(F.col("text"))
@@ -63,5 +89,8 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from m group by doc_id
 """
 
-QUERIES = {"op5_shard": op5_shard, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_shard": op5_shard, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup}
 SQL = {"op9_line_dedup": OP9_SQL}
