@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import bpe, decontamination, lines, quality, secrets, sharding
+from proofgrid.llm import bpe, decontamination, jaccard, lines, quality, secrets, sharding
 from proofgrid.llm.texts import sha256_hex, whole
 
 SHARDS = 24
@@ -71,6 +71,11 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents that share 80% of their five-word shingles."""
+    return jaccard.jaccard_components(table(spark, folder, "documents").select("doc_id", "text")).drop("th")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that stand in an earlier document are dropped."""
     out = lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
@@ -92,5 +97,5 @@ from m group by doc_id
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_decontaminate": op3_decontaminate,
-    "op5_shard": op5_shard, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup}
+    "op5_shard": op5_shard, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op9_line_dedup": op9_line_dedup}
 SQL = {"op9_line_dedup": OP9_SQL}
