@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import bpe, decontamination, jaccard, lines, quality, secrets, sharding
+from proofgrid.llm import bpe, decontamination, jaccard, lines, quality, secrets, sharding, warc
 from proofgrid.llm.texts import sha256_hex, whole
 
 SHARDS = 24
@@ -27,6 +27,12 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives of all pages, read back in splits."""
+    files = warc.write_archives(table(spark, folder, "pages").select("page_id", "url", "html"), warc.archive_folder(spark))
+    return warc.read_archives(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -96,6 +102,7 @@ from m group by doc_id
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op5_shard": op5_shard, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op9_line_dedup": op9_line_dedup}
 SQL = {"op9_line_dedup": OP9_SQL}
