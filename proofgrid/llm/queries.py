@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import bpe, decontamination, jaccard, lines, quality, secrets, sharding, warc
+from proofgrid.llm import bpe, decontamination, jaccard, lines, lm, quality, secrets, sharding, warc
 from proofgrid.llm.texts import sha256_hex, whole
 
 SHARDS = 24
@@ -47,6 +47,14 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all texts under a model of the training texts."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    out = lm.score(docs, model).withColumn("held_out", lm.held_out(F.col("doc_id")))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_shard(spark: SparkSession, folder: str) -> DataFrame:
     """Shards of near-equal bytes; equal texts stand together."""
     text = whole(F.col("text"))
@@ -104,5 +112,6 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
+    "op4_lm_score": op4_lm_score,
     "op5_shard": op5_shard, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op9_line_dedup": op9_line_dedup}
 SQL = {"op9_line_dedup": OP9_SQL}
