@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import bpe, decontamination, jaccard, lines, lm, quality, secrets, sharding, warc
-from proofgrid.llm.texts import sha256_hex, whole
+from proofgrid.llm import bpe, decontamination, jaccard, lines, lm, pii, quality, secrets, sharding, warc
+from proofgrid.llm.texts import joined, sha256_hex, whole
 
 SHARDS = 24
 
@@ -96,6 +96,20 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data by rules and the trained tagger."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = pii.find_personal_data(docs, pii.train(docs)).drop("text")
+    listed = lambda spans: joined(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    of = lambda rank: F.filter("personal", lambda s: s["rank"] == rank)
+    return out.select(
+        "doc_id",
+        *[F.size(of(rank)).cast("long").alias(f"n_{kind}") for rank, kind in enumerate(pii.KINDS)],
+        sha256_hex(listed(F.filter("personal", lambda s: s["rank"] < len(pii.KINDS)))).alias("base_sha256"),
+        listed(F.col("personal")).alias("spans"),
+    )
+
+
 OP9_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 l as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos from d),
@@ -113,5 +127,11 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op4_lm_score": op4_lm_score,
-    "op5_shard": op5_shard, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op9_line_dedup": op9_line_dedup}
+    "op5_shard": op5_shard,
+    "op6_quality": op6_quality,
+    "op7_bpe": op7_bpe,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_pii": op10_pii,
+}
 SQL = {"op9_line_dedup": OP9_SQL}
