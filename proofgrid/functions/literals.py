@@ -7,6 +7,9 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+
 # The dash spellings that command lines accept for one another
 # (hyphen, slash, en dash, em dash, horizontal bar).
 DASHES = "-/\u2013\u2014\u2015"
@@ -109,16 +112,26 @@ def warn_escaped_star(text: str) -> bool:
 
 # ------------------------------------------------------- regular expressions
 
-_GROUP_NAME = re.compile(r"\(\?P<([^>]+)>|\(\?P=([^)]+)\)")
-_ONLY_PYTHON = re.compile(r"\(\?\(|\[[^\]]*(?:\[|&&)|\\N\{")
+# One step of a pattern: an escaped character, a character class, a named group, a brace, or any other character.
+_STEP = re.compile(
+    r"(?P<escaped>\\.)|\[(?P<negated>\^?)(?P<members>\]?(?:\\.|[^\]\\])*)\]|\(\?P<(?P<named>[^>]+)>|\(\?P=(?P<again>[^)]+)\)"
+    r"|\{(?P<low>\d*)(?P<comma>,?)(?P<high>\d*)\}|(?P<other>.)",
+    re.DOTALL,
+)
+_ONLY_PYTHON = re.compile(r"\(\?\(|\\N\{")
+
+
+def _java_members(members: str) -> str:
+    """The inside of a character class; Java gives meaning to `[`, `&&` and a first `]`, Python takes them as they are."""
+    return re.sub(r"(\\.)|([\[\]&])", lambda m: m[1] or "\\" + m[2], members, flags=re.DOTALL)
 
 
 def java_regex(pattern: str) -> str | None:
     """The pattern for `rlike`, or None when only Python can evaluate it.
 
-    Both engines read most patterns alike. Named groups are respelled, and the flags make
-    `.` stop at newline only and give letters, digits and spaces their Unicode meaning.
-    Raises ValueError for a pattern that is not valid at all.
+    Both engines read most patterns alike. Named groups are respelled; a brace that is no quantifier and special characters
+    in classes are escaped; the flags make `.` stop at newline only and give letters, digits and spaces their Unicode
+    meaning. What Java still can't compile is left to Python. Raises ValueError for a pattern that is not valid at all.
     """
     try:
         re.compile(pattern)
@@ -128,10 +141,33 @@ def java_regex(pattern: str) -> str | None:
         return None
     names: dict[str, str] = {}
 
-    def respell(match: re.Match[str]) -> str:
-        if match[1]:
-            names[match[1]] = f"g{len(names)}"
-            return f"(?<{names[match[1]]}>"
-        return rf"\k<{names[match[2]]}>"
-
-    return "(?iudU)" + _GROUP_NAME.sub(respell, pattern).replace(r"\Z", r"\z")
+    def respell(step: re.Match[str]) -> str:
+        if step["escaped"]:
+            return r"\z" if step["escaped"] == r"\Z" else step["escaped"]
+        if step["members"] is not None:
+            return f"[{step['negated']}{_java_members(step['members'])}]"
+        if step["named"]:
+            names[step["named"]] = f"g{len(names)}"
+            return f"(?<{names[step['named']]}>"
+        if step["again"]:
+            return rf"\k<{names[step['again']]}>"
+        if step["low"] is not None:
+            if step["low"] or step["comma"]:
+                return f"{{{step['low'] or 0}{step['comma']}{step['high']}}}"
+            return r"\{\}"
+        return "\\" + step["other"] if step["other"] in "{}" else step["other"]
+
+    java = "(?iudU)" + _STEP.sub(respell, pattern)
+    return java if _compiles_in_java(java) else None
+
+
+def _compiles_in_java(java: str) -> bool:
+    """True outside a Spark session, where there is no JVM to ask."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return True
+    try:
+        context._jvm.java.util.regex.Pattern.compile(java)
+    except Py4JJavaError:
+        return False
+    return True

@@ -14,7 +14,7 @@ TIME_FIELDS = ("_time", "@timestamp", "timestamp", "TimeGenerated", "UtcTime", "
 # Magnitude above which an epoch number is in that unit.
 EPOCH_UNITS = ((1e17, 1e9), (1e14, 1e6), (1e11, 1e3))
 # Seconds per duration unit.
-UNIT_SECONDS = {"s": 1.0, "m": 60.0, "h": 3600.0, "d": 86400.0, "w": 604800.0}
+UNIT_SECONDS = {"ms": 0.001, "s": 1.0, "m": 60.0, "h": 3600.0, "d": 86400.0, "w": 604800.0}
 
 # ISO date, date and time, or date and hour, with an optional zone.
 _ISO = (
@@ -59,15 +59,19 @@ def event_time(fields: EventFields, names: tuple[str, ...] = TIME_FIELDS) -> Col
     return F.coalesce(*[parse_time(fields.locate(name).text) for name in names])
 
 
+_DURATION = re.compile(r"(\d+(?:\.\d+)?)\s*(ms|[smhdw])?\s*")
+
+
 def seconds_of(value: str | float | None, default: float | None = None) -> float:
-    """Rule-file durations: ``90s``, ``5m``, ``1h30m``, ``1h 30m`` or a bare number."""
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
+    """Rule-file durations: ``90s``, ``500ms``, ``5m``, ``1h30m``, ``1h 30m`` or a bare number of seconds."""
+    if type(value) in (int, float):
         return float(value)
-    text = str("" if value is None else value).strip().lower()
-    step = r"\d+(?:\.\d+)?[smhdw]?"
-    if re.fullmatch(rf"{step}(?:\s*{step})*", text):
-        parts = re.findall(r"(\d+(?:\.\d+)?)([smhdw]?)", text)
-        return sum(float(n) * UNIT_SECONDS[u or "s"] for n, u in parts)
-    if default is not None:
-        return default
-    raise ValueError(f"not a duration: {value!r}")
+    text = str(value if value is not None else "").strip().lower()
+    total, at = 0.0, 0
+    while step := _DURATION.match(text, at):
+        total, at = total + float(step[1]) * UNIT_SECONDS[step[2] or "s"], step.end()
+    if text and at == len(text):
+        return total
+    if default is None:
+        raise ValueError(f"not a duration: {value!r}")
+    return default
