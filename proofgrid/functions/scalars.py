@@ -35,10 +35,6 @@ def redact(document: Column, terms: Sequence[str]) -> Column:
     )
 
 
-def short_hash(*parts: Column, length: int = 8) -> Column:
-    """Deterministic id from its parts."""
-    return F.substr(F.sha2(F.concat_ws("|", *parts), 256), F.lit(1), F.lit(length))
-
-
 def case_id(run: Column, rule: Column, test: Column) -> Column:
-    return short_hash(run, rule, test)
+    """Deterministic id of a case: a whole SHA-256, so that ids stay unique in any number of cases."""
+    return F.sha2(F.concat_ws("|", run, rule, test), 256)

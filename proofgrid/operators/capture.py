@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
 from proofgrid.functions.fields import EventFields
-from proofgrid.functions.scalars import redact
+from proofgrid.functions.scalars import HOST_KEYS, redact
 from proofgrid.operators.timeline import TIE_BUCKET, Running, attribute_events, running
 
 
@@ -39,13 +41,15 @@ def capture(
     """
     timed = events.filter(F.col("us").isNotNull()).dropDuplicates([identity])
     owned = attribute_events(timed, windows, keys, ["test_id", "anchor_us"])
-    kept = F.map_filter(F.col(document), lambda k, _: k != "_time")
+    kept = redact(F.map_filter(F.col(document), lambda k, _: k != "_time"), redact_terms)
+    # The host is read from the redacted document where it has one, so that a hidden name stays hidden.
+    named = [F.nullif(F.try_element_at(kept, F.lit(key)), F.lit("")) for key in HOST_KEYS]
     return owned.select(
         identity,
         F.col("test_id").alias("_test"),
         offset_seconds(F.col("us"), F.col("anchor_us")).alias("_offset"),
-        F.col("host").alias("_host"),
-        redact(kept, redact_terms).alias("document"),
+        F.coalesce(*named, F.col("host")).alias("_host"),
+        kept.alias("document"),
     )
 
 
@@ -116,13 +120,15 @@ def result_cap(events: DataFrame, keys: Sequence[str], cap: int) -> DataFrame:
 
 
 def capped_events(events: DataFrame, keys: Sequence[str], order: str, cap: int) -> DataFrame:
-    """The first `cap` events of each search key by `order`, a bigint unique per key.
+    """The first `cap` events of each search key by `order`, a bigint unique per key. Events without a key or order
+    value belong to no search and are left out.
 
     Up to a thousand, Spark keeps only `cap` rows per key on each map side. Beyond that the
     events are numbered bucket by bucket, so that no task receives all events of a key.
     """
     if cap <= 1000:
         place = Window.partitionBy(*keys).orderBy(order)
-        return events.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= cap)
+        placed = reduce(and_, [F.col(c).isNotNull() for c in (*keys, order)])
+        return events.filter(placed).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= cap)
     numbered = running(events, keys, order, [Running("place", "sum", F.lit(1))], TIE_BUCKET)
     return numbered.filter(F.col("place") <= cap)

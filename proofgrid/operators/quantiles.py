@@ -20,8 +20,9 @@ def exact_percentiles(
     columns to whole percents. One row per key (one row in all without keys).
     """
     unit = float(10**decimals)
-    group = [F.col(k) for k in keys] or [F.lit(0).alias("_all")]
-    names = list(keys) or ["_all"]
+    # A NULL key is a group like any other: inside a struct it compares equal to itself.
+    names = [f"_key{i}" for i in range(max(len(keys), 1))]
+    group = [F.struct(F.col(k).alias("k")).alias(n) for n, k in zip(names, keys)] or [F.struct(F.lit(0).alias("k")).alias(names[0])]
     counted = (
         df.filter(F.col(value).isNotNull())
         .select(*group, F.round(F.col(value) * unit).cast("bigint").alias("_v"))
@@ -43,4 +44,5 @@ def exact_percentiles(
         results.append(
             F.round((low_v * (100 - step) + high_v * step) / F.lit(100.0) / F.lit(unit), decimals).alias(name)
         )
-    return joined.groupBy(*names).agg(*picks).select(*keys, *results)
+    named = [F.col(f"{n}.k").alias(k) for n, k in zip(names, keys)]
+    return joined.groupBy(*names).agg(*picks).select(*named, *results)

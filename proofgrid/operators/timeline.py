@@ -159,7 +159,13 @@ def count_in_windows(
         F.struct(F.lit(False).alias("opens"), F.col(end).alias("at")),
     )
     named = [*ids, *([label] if label else [])]
-    points = windows.select(*named, *[k for k in keys if k not in named], F.inline(sides))
+    # A window without a key, start or end holds nothing, but is answered.
+    placed = reduce(and_, [F.col(c).isNotNull() for c in (*keys, start, end)])
+    shape = [*named, *[k for k in keys if k not in named]]
+    points = windows.filter(placed).select(*shape, F.inline(sides))
+    nowhere = windows.filter(~placed).select(*shape, F.inline(sides)).withColumns(
+        {"n": F.lit(0).cast("bigint"), "upto": F.lit(0).cast("bigint"), "next_at": F.lit(None).cast("bigint")}
+    )
     # Rows combine on the way into the shuffle, so a moment that many windows share is one row.
     answers = running(
         moments(events, keys, at, points),
@@ -187,7 +193,8 @@ def count_in_windows(
             F.when(hits > 0, F.col(f"_next{tail}")).alias(f"first_us{tail}"),
         ]
     # Exploded windows are larger than Spark estimates, so they must not be broadcast on a guess.
-    return points.hint("merge").join(answers, [*keys, "at"]).groupBy(*ids).agg(*picks).select(*ids, *results)
+    found = points.hint("merge").join(answers, [*keys, "at"]).unionByName(nowhere)
+    return found.groupBy(*ids).agg(*picks).select(*ids, *results)
 
 
 def first_in_windows(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from proofgrid.functions.literals import base64_alignments, dash_spellings
 from proofgrid.functions.predicates import ipv4_number, selection
 from proofgrid.functions.timestamps import parse_time
 from proofgrid.operators.noise import profile_of
-from proofgrid.plans.telemetry import Query, table, telemetry, telemetry_fields
+from proofgrid.operators.rules import Rule, Ruleset, match_rules, rule_errors
+from proofgrid.plans.telemetry import RULES, Query, table, telemetry, telemetry_fields, with_events
 
 
 def flags(df: DataFrame, fields: EventFields, key: str, tests: dict[str, object]) -> DataFrame:
@@ -327,7 +329,82 @@ FROM pages GROUP BY 1
 
 
 
+BRACE_TESTS = {
+    "template": {"body|re": r"\${k:(er|pu)"},
+    "up_to": {"body|re": "l{,2}ic.*}$"},
+    "open": {"body|re": "{\"k\""},
+    "class": {"body|re": "[[{]k:[]}]?v"},
+}
+
+
+def pred_regex_braces(spark, sf_dir):
+    """Patterns that Python reads and Java alone would not: braces and brackets that are plain characters."""
+    body = F.concat(F.lit("${k:"), F.col("event_type"), F.lit("} "), F.col("props"))
+    df = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    return flags(df, EventFields.of(df, columns=["body"]), "event_id", BRACE_TESTS)
+
+
+BRACE_SQL = """
+SELECT event_id, event_type IN ('error', 'purchase') AS template, event_type = 'click' AS up_to, contains(props, '{"k"') AS open,
+  event_type = 'view' AS class FROM events
+"""
+
+
+def pred_value_list(spark, sf_dir):
+    """Event ids against a list of 20,000 values, as indicator lists are; plain texts, wildcards and numbers mixed."""
+    values = [f"E{i * 7}" for i in range(20_000)] + ["e*99", 5]
+    df = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("e"), F.col("event_id")).alias("mark"))
+    return flags(df, EventFields.of(df, columns=["mark"]), "event_id", {"listed": {"mark": values}})
+
+
+VALUE_LIST_SQL = """
+SELECT event_id, (event_id % 7 = 0 AND event_id < 140000) OR event_id % 100 = 99 AS listed FROM events
+"""
+
+
+def pred_cidr6(spark, sf_dir):
+    """IPv6 addresses in several spellings, some malformed, against networks that cut through a group."""
+    h = lambda e: F.lower(F.hex(F.expr(e).cast("bigint")))
+    address = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("2001:db8::"), h("user_id % 65536"), F.lit(":"), h("event_id % 65536")))
+        .when(F.col("event_type") == "view", F.concat(F.lit(" 2001:DB8:0:0:0:0:"), h("user_id % 65536"), F.lit(":"), h("event_id % 65536"), F.lit("%eth0")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("::ffff:10.0."), F.expr("event_id div 256 % 256").cast("string"), F.lit("."), F.expr("event_id % 256").cast("string")))
+        .otherwise(F.concat(F.lit("2001:db8::1::"), h("event_id % 65536")))
+    )
+    df = table(spark, sf_dir, "events").select("event_id", address.alias("ip"))
+    tests = {"wide": {"ip|cidr": "2001:db8::/32"}, "narrow": {"ip|cidr": "2001:db8::40:0/107"}, "mapped": {"ip|cidr": "::ffff:10.0.8.0/117"}}
+    return flags(df, EventFields.of(df, columns=["ip"]), "event_id", tests)
+
+
+CIDR6_SQL = """
+SELECT event_id, event_type IN ('click', 'view') AS wide,
+  event_type IN ('click', 'view') AND user_id % 65536 >= 64 AND user_id % 65536 < 96 AS narrow,
+  event_type = 'error' AND event_id // 256 % 256 >= 8 AND event_id // 256 % 256 < 16 AS mapped FROM events
+"""
+
+
+def rule_errors_found(spark, sf_dir):
+    """A library with rules that mean nothing: they are named with their reason, the others run on all events."""
+    bad = {"network": {"value|cidr": "999.1"}, "pattern": {"event_type|re": "("}, "order": {"value|gt": "much"}}
+    library = Ruleset((*RULES.rules, *(Rule(f"bad-{name}", {"sel": body, "condition": "sel"}) for name, body in bad.items())), RULES.sources)
+    events = telemetry(spark, sf_dir)
+    fields = telemetry_fields(events)
+    errors = rule_errors(library, fields)
+    good = replace(library, rules=tuple(r for r in library.rules if r.name not in errors))
+    hits = match_rules(events, good, fields, ["event_id"]).groupBy("rule").agg(F.count("*").alias("hits"), F.lit(False).alias("skipped"))
+    return hits.union(spark.createDataFrame([(name, 0, bool(why)) for name, why in errors.items()], "rule string, hits long, skipped boolean"))
+
+
+RULE_ERRORS_SQL = with_events(
+    """SELECT rule, count(*) AS hits, false AS skipped FROM hits GROUP BY rule
+    UNION ALL SELECT * FROM (VALUES ('bad-network', 0, true), ('bad-pattern', 0, true), ('bad-order', 0, true))"""
+)
+
 QUERIES = {
+    "pred_regex_braces": Query(pred_regex_braces, BRACE_SQL),
+    "pred_value_list": Query(pred_value_list, VALUE_LIST_SQL),
+    "pred_cidr6": Query(pred_cidr6, CIDR6_SQL),
+    "rule_errors": Query(rule_errors_found, RULE_ERRORS_SQL),
     "field_resolve_json": Query(field_resolve_json, FIELD_SQL),
     "pred_contains": Query(over("documents", "doc_id", TEXT_TESTS, ("text", "lang", "source")), TEXT_SQL),
     "pred_anchors": Query(

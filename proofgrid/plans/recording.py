@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
@@ -19,7 +21,8 @@ from proofgrid.plans.telemetry import (
     telemetry_fields,
     with_events,
 )
-from proofgrid.sources.store import keep_since
+from proofgrid.session import shared_folder
+from proofgrid.sources.store import RunStore, keep_since
 
 TERMS = ("secret", "TOKEN")
 
@@ -251,6 +254,38 @@ STATS_SQL = " UNION ALL ".join(
 )
 
 
+def store_round_trip(spark, sf_dir):
+    """Every order priority saved as a run of its own; one run saved again with fewer rows under another date, and read back."""
+    store = RunStore(spark, f"{shared_folder(spark).rstrip('/')}/proofgrid/{uuid.uuid4().hex}")
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice", "o_orderstatus")
+    names = [r[0] for r in orders.select("o_orderpriority").distinct().orderBy(F.desc("o_orderpriority")).collect()]  # a handful
+
+    def save(name: str, day: int, kept: Column) -> None:
+        rows = orders.where((F.col("o_orderpriority") == name) & kept)
+        cases = rows.select(F.col("o_orderkey").cast("string").alias("case_id"), "o_totalprice")
+        findings = rows.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit("gate").alias("kind"))
+        runs = spark.range(1).select(F.lit(name).alias("profile"), F.lit(f"2026-01-{day:02}").cast("timestamp").alias("started_at"))
+        store.save(name, f"2026-01-{day:02}", {"runs": runs, "cases": cases, "findings": findings})
+
+    for day, name in enumerate(names, 1):
+        save(name, day, F.lit(True))
+    save(names[-1], 30, F.col("o_orderstatus") == "O")
+    cases = store.read("cases").groupBy("run_id", "run_date").agg(F.count("*").alias("cases"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    findings = store.read("findings").groupBy("run_id").agg(F.count("*").alias("findings"))
+    return cases.join(findings, "run_id", "left").select(
+        "run_id", F.date_format("run_date", "yyyy-MM-dd").alias("run_date"), "cases", "total", F.coalesce("findings", F.lit(0).cast("long")).alias("findings")
+    )
+
+
+ROUND_TRIP_SQL = """
+WITH p AS (SELECT o_orderpriority AS run_id, row_number() OVER (ORDER BY o_orderpriority DESC) AS day,
+  o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AS again FROM (SELECT DISTINCT o_orderpriority FROM orders))
+SELECT run_id, CASE WHEN again THEN '2026-01-30' ELSE '2026-01-0' || day END AS run_date, count(*) AS cases,
+  round(sum(o_totalprice), 2) AS total, count(*) FILTER (o_orderstatus = 'F') AS findings
+FROM p JOIN orders ON o_orderpriority = run_id WHERE NOT again OR o_orderstatus = 'O' GROUP BY 1, 2
+"""
+
+
 def scalar_keys(spark, sf_dir):
     """Case ids, base techniques and severities worked out for every line item."""
     items = table(spark, sf_dir, "lineitem").select(
@@ -269,7 +304,7 @@ def scalar_keys(spark, sf_dir):
 SCALAR_SQL = """
 SELECT ['informational', 'critical', 'high', 'medium'][l_linenumber % 4 + 1] AS severity, printf('T%04d', l_suppkey % 9000 + 1000) AS base,
   count(*) AS items, min([0, 4, 3, 2][l_linenumber % 4 + 1])::INTEGER AS rank,
-  max(substr(sha256(l_orderkey || '|rule|' || l_linenumber), 1, 8)) AS last_id
+  max(sha256(l_orderkey || '|rule|' || l_linenumber)) AS last_id
 FROM lineitem GROUP BY 1, 2
 """
 
@@ -278,6 +313,7 @@ VOLUME_SQL = with_events(
 )
 
 QUERIES = {
+    "store_round_trip": Query(store_round_trip, ROUND_TRIP_SQL),
     "capture_events": Query(
         capture_events,
         f"""WITH {CAPTURE} SELECT event_id, _test, _offset, _host,

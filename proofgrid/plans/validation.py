@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
 from proofgrid.operators import capture, coverage, gates, noise
-from proofgrid.operators.cases import plan_cases
+from proofgrid.functions.scalars import case_id
+from proofgrid.operators.cases import observe, plan_cases
 from proofgrid.operators.quantiles import exact_percentiles
-from proofgrid.operators.rules import match_rules
+from proofgrid.operators.rules import match_rules, measure_rules
 from proofgrid.operators.timeline import attribute_events, first_in_windows
 from proofgrid.session import cut_lineage
 from proofgrid.plans.telemetry import (
@@ -320,7 +321,34 @@ side AS (SELECT gate, max(t) AS n, string_agg(o, ',' ORDER BY n) FILTER (n <= 20
   (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY a, b, c) AS n, count(*) OVER (PARTITION BY gate) AS t FROM marks) GROUP BY gate)""",
 )
 
+def case_ids_unique(spark, sf_dir):
+    """Every case of the run has an id of its own."""
+    cases = planned(telemetry(spark, sf_dir)).select(case_id(F.lit("run"), F.col("rule"), F.col("test_id")).alias("id"), "rule")
+    return cases.groupBy("rule").agg(F.count("*").alias("cases"), F.count_distinct("id").alias("ids"))
+
+
+CASE_IDS_SQL = "WITH " + ",\n".join([EV, RULE_ROWS, HITS, PROBES, CASES]) + """
+SELECT rule, count(*) AS cases, count(DISTINCT case_id) AS ids FROM cases GROUP BY rule"""
+
+
+def case_hits_null_host(spark, sf_dir):
+    """Cases of which every third has no host: nothing can match them, so they are blind, not missing."""
+    events = telemetry(spark, sf_dir)
+    marked = measure_rules(events, RULES, telemetry_fields(events), ["user_id", "us"])
+    cases = planned(events).withColumn("user_id", F.when(F.col("signup_id") % 3 > 0, F.col("user_id")))
+    seen = observe(cases, marked, RULES, attribution="user_id")
+    return seen.select("case_id", "detection_hits", "telemetry_hits", "first_us")
+
+
+NULL_HOST_SQL = "WITH " + ",\n".join([EV, RULE_ROWS, HITS, PROBES, CASES, obs_sql(True)]) + """
+SELECT case_id, CASE WHEN signup_id % 3 > 0 THEN detection_hits ELSE 0 END AS detection_hits,
+  CASE WHEN signup_id % 3 > 0 THEN telemetry_hits ELSE 0 END AS telemetry_hits,
+  CASE WHEN signup_id % 3 > 0 THEN first_us END AS first_us
+FROM obs"""
+
 QUERIES = {
+    "case_ids_unique": Query(case_ids_unique, CASE_IDS_SQL),
+    "case_hits_null_host": Query(case_hits_null_host, NULL_HOST_SQL),
     "multi_rule_scan": Query(multi_rule_scan, with_events("SELECT event_id, user_id, rule FROM hits")),
     "rule_hit_counts": Query(
         rule_hit_counts,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -39,9 +40,15 @@ def _local_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    Only when the session names none (plain local tests) is a temporary folder chosen.
+    Only a session in one process (plain local tests) that names none gets a temporary folder: on a cluster each executor
+    would write its part to a disk of its own.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

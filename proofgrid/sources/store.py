@@ -6,6 +6,7 @@ date and are pruned to its folders.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -34,8 +35,15 @@ class RunStore:
         return f"{self.root.rstrip('/')}/{table}"
 
     def save(self, run_id: str, started_at: str, tables: Mapping[str, DataFrame]) -> None:
-        """Write a run's tables in place of an earlier version of the same run."""
-        for name, df in tables.items():
+        """Write a run's tables in place of an earlier version of the same run.
+
+        Its old rows go from every table and from under any date, also where the new version has none. The `runs` row is
+        taken away first and written last: readers that start from it never see half a run.
+        """
+        for name in TABLES:
+            for folder in self._folders(name, run_id):
+                self._delete(folder)
+        for name, df in sorted(tables.items(), key=lambda item: item[0] == "runs"):
             tagged = df.drop(*PARTITIONS).withColumns(
                 {"run_date": F.to_date(F.lit(started_at).cast("timestamp")), "run_id": F.lit(run_id)}
             )
@@ -113,8 +121,9 @@ class RunStore:
             for r in self.read("runs").filter(F.col("started_at") < cutoff).select(*PARTITIONS).distinct().collect()
         ]
         for table in TABLES:
-            for run_date, run_id in old:
-                self._delete(f"{self.path(table)}/run_date={run_date}/run_id={run_id}")
+            for _, run_id in old:
+                for folder in self._folders(table, run_id):
+                    self._delete(folder)
         return sorted(run_id for _, run_id in old)
 
     def _filesystem(self, path: str):
@@ -122,6 +131,15 @@ class RunStore:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
+    def _folders(self, table: str, run_id: str) -> list[str]:
+        """The partitions of a run, whatever date it was saved under."""
+        jvm = self.spark.sparkContext._jvm
+        files, _ = self._filesystem(self.path(table))
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+        literal = re.sub(r"([\\*?\[\]{}^])", r"\\\1", escaped)
+        found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/run_date=*/run_id={literal}"))
+        return [status.getPath().toString() for status in found or []]
+
     def _exists(self, table: str) -> bool:
         files, target = self._filesystem(self.path(table))
         return bool(files.exists(target))

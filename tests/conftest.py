@@ -11,7 +11,7 @@ from proofgrid.session import STREAM_STATE_STORE, build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "proofgrid-tests",
         "local[8]",
@@ -20,6 +20,7 @@ def spark():
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": "3",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.sql.streaming.stateStore.providerClass": STREAM_STATE_STORE,
         },
     )
