@@ -21,11 +21,26 @@ from proofgrid.operators.rules import Ruleset, Source, match_rules, measure_rule
 
 
 def rule_hits(
-    events: DataFrame, ruleset: Ruleset, fields: EventFields, keep: Sequence[str], identity: str, at: str, delay: str
+    events: DataFrame,
+    ruleset: Ruleset,
+    fields: EventFields,
+    keep: Sequence[str],
+    identity: str,
+    at: str,
+    delay: str,
+    arrived: str | None = None,
 ) -> DataFrame:
-    """Hits of every rule; an event delivered twice within the delay counts once."""
-    once = events.withWatermark(at, delay).dropDuplicatesWithinWatermark([identity])
-    return match_rules(once, ruleset, fields, keep)
+    """Hits of every rule; an event delivered twice within the delay counts once.
+
+    Removing repeats drops rows behind the watermark. With `arrived`, the column of arrival times, rows that come later than
+    the delay pass beside it: their hits are kept, marked `late`, and may repeat.
+    """
+    once = lambda rows: rows.withWatermark(at, delay).dropDuplicatesWithinWatermark([identity])
+    if arrived is None:
+        return match_rules(once(events), ruleset, fields, keep)
+    timely, late = split_late(events, at, arrived, delay)
+    hits = match_rules(once(timely), ruleset, fields, keep).withColumn("late", F.lit(False))
+    return hits.unionByName(match_rules(late, ruleset, fields, keep).withColumn("late", F.lit(True)))
 
 
 def split_late(events: DataFrame, at: str, arrived: str, allowed: str) -> tuple[DataFrame, DataFrame]:
@@ -82,8 +97,15 @@ def batch_table(
     """Write each micro-batch under its own batch_id folder, replacing an earlier attempt."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch if transform is None else transform(batch)
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if transform is None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            return
+        # A transformation may read the batch several times; the source is read once.
+        kept = batch.persist()
+        try:
+            transform(kept).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -109,16 +131,23 @@ def case_progress(
     path: str,
     checkpoint: str,
     available_now: bool = True,
+    identity: str | None = None,
+    at: str = "ts",
+    delay: str = "1 hour",
 ) -> StreamingQuery:
     """Fold each micro-batch into the cases it touches: hits, probe events, first match.
 
-    The micro-batch is an ordinary DataFrame, so it is counted with the batch operator and
+    With `identity`, an event delivered again within `delay` of its time `at` counts once. The micro-batch is an ordinary DataFrame, so it is counted with the batch operator and
     only one row per touched case is written.
     """
 
     def fold(batch: DataFrame) -> DataFrame:
         # Only cases whose window meets the batch's time span are looked at.
         first, last = batch.agg(F.min("us"), F.max("us")).first()
+        if first is None:
+            return cases.limit(0).select(
+                "case_id", *[F.lit(0).cast("long").alias(c) for c in ("detection_hits", "telemetry_hits", "first_us")]
+            )
         near = cases.filter((F.col("hi") >= F.lit(first)) & (F.col("lo") <= F.lit(last)))
         keep = ["us"] + ([attribution] if attribution else [])
         marked = measure_rules(batch, ruleset, fields_of(batch), keep)
@@ -126,6 +155,8 @@ def case_progress(
         touched = seen.filter((F.col("detection_hits") > 0) | (F.col("telemetry_hits") > 0))
         return touched.select("case_id", "detection_hits", "telemetry_hits", "first_us")
 
+    if identity is not None:
+        events = events.withWatermark(at, delay).dropDuplicatesWithinWatermark([identity])
     return batch_table(events, path, checkpoint, "append", fold, available_now)
 
 

@@ -18,13 +18,16 @@ CASE_STATE = "hits bigint, probe_hits bigint, first_us bigint, deadline_ms bigin
 ALERT_SCHEMA = "source string, host string, state string, last_ms bigint, as_of_ms bigint"
 BEAT_STATE = "last_ms bigint, limit_ms bigint, alerted boolean"
 
-# How long a settled case is remembered, so that late rows cannot reopen it.
+# How long a settled case is remembered by default.
 REMEMBER_MS = 24 * 3600 * 1000
 
 
-def settle_cases(progress: DataFrame) -> DataFrame:
+def settle_cases(progress: DataFrame, remember_ms: int = REMEMBER_MS) -> DataFrame:
     """One verdict per case: detected at its first hit, else visible or blind at its deadline.
 
+    Rows may be late by up to `remember_ms`: so long a settled case is remembered, so that a late row can't open it again,
+    and so long a case waits for the row that opens it. Give it the lateness that the source can have.
+
     `progress`: case_id, hits, probe_hits, first_us, deadline_ms. A case is opened by a row
     without hits that carries the deadline on the clock.
     """
@@ -53,9 +56,9 @@ def settle_cases(progress: DataFrame) -> DataFrame:
         settled = done or outcome is not None
         state.update((hits, probes, first, deadline, settled))
         if settled:
-            state.setTimeoutDuration(REMEMBER_MS)
+            state.setTimeoutDuration(remember_ms)
         else:
-            state.setTimeoutDuration(max(deadline - now, 1) if deadline >= 0 else REMEMBER_MS)
+            state.setTimeoutDuration(max(deadline - now, 1) if deadline >= 0 else remember_ms)
         if outcome is not None:
             yield pd.DataFrame(
                 {
@@ -91,10 +94,12 @@ def silence_alerts(seen: DataFrame) -> DataFrame:
             for frame in rows:
                 last = max(last, int(frame["last_ms"].max()))
                 limit = int(frame["limit_ms"].max())
-            if alerted:
+            # A row from before the silence doesn't end it.
+            if alerted and last + limit > now:
                 change, alerted = "alive", False
             state.update((last, limit, alerted))
-            state.setTimeoutDuration(max(last + limit - now, 1))
+            if not alerted:
+                state.setTimeoutDuration(max(last + limit - now, 1))
         if change:
             yield pd.DataFrame(
                 {"source": [key[0]], "host": [key[1]], "state": [change], "last_ms": [last], "as_of_ms": [now]}

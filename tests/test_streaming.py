@@ -132,3 +132,24 @@ def test_timers_report_silence_and_return(spark, tmp_path):
 
     run_until(query, check)
     assert sorted(r["state"] for r in read(spark, out)) == ["alive", "silent"]
+
+
+def test_progress_counts_a_repeated_event_once(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    base = 1_700_000_000_000_000
+    cases = spark.createDataFrame([("c", "err", "a", base, base + 600_000_000)], "case_id string, rule string, host string, lo long, hi long")
+    for rows in ([(1, 0, "a", "error"), (1, 0, "a", "error")], [(1, 0, "a", "error")], [(2, 1, "a", "info")]):
+        put(spark, src, rows)
+        jobs.case_progress(stream(spark, src), cases, LIB, fields, "host", out, ck, identity="event_id").awaitTermination()
+    progress = spark.read.parquet(out).groupBy("case_id").agg(F.sum("detection_hits"), F.sum("telemetry_hits"))
+    assert [tuple(r) for r in progress.collect()] == [("c", 1, 2)]
+
+
+def test_hits_of_late_rows_are_kept_and_marked(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    put(spark, src, [(1, 0, "a", "error"), (2, 100, "a", "error"), (2, 100, "a", "error")])
+    put(spark, src, [(3, 5, "a", "error")])
+    events = stream(spark, src).withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000 + 101 * 60)))
+    hits = jobs.rule_hits(events, LIB, fields(events), ["event_id"], "event_id", "ts", "30 minutes", arrived="arrived")
+    jobs.append_table(hits, out, ck).awaitTermination()
+    assert sorted((r["event_id"], r["late"]) for r in spark.read.parquet(out).collect()) == [(1, True), (2, False), (3, True)]
