@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,9 +142,9 @@ def order_deltas(deltas: DataFrame) -> DataFrame:
     return deltas.orderBy(V.rank_of(F.col("kind"), V.DELTA_KINDS), "rule")
 
 
-def logic_changes(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Rule logic added or removed between two sets of (rule, fingerprint)."""
-    columns = ["rule", "fingerprint"]
+def logic_changes(current: DataFrame, previous: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Rule logic added or removed between two sets of (rule, fingerprint), for each value of the columns `within`."""
+    columns = [*within, "rule", "fingerprint"]
     now, then = current.select(*columns), previous.select(*columns)
     added = now.subtract(then).withColumn("change", F.lit("added"))
     return added.unionByName(then.subtract(now).withColumn("change", F.lit("removed")))

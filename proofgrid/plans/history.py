@@ -132,16 +132,20 @@ SELECT rule, CAST(row_number() OVER (PARTITION BY rule ORDER BY n DESC) AS INTEG
 
 
 def logic_changes(spark, sf_dir):
-    """Documents as rules: text length as the fingerprint, two sources as the two runs."""
+    """Documents as rules: the hash of the whole text as the fingerprint, every source as a run after the one before."""
     docs = table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("rule"), F.col("n_chars").cast("string").alias("fingerprint"), "source"
+        F.col("lang").alias("rule"), F.sha2("text", 256).alias("fingerprint"), F.expr("cast(substr(source, 4) as int)").alias("run")
     )
-    return H.logic_changes(docs.filter("source = 'src1'"), docs.filter("source = 'src2'"))
+    runs = docs.select("run").distinct()
+    before = docs.withColumn("run", F.col("run") + 1)
+    pairs = runs.join(runs.select((F.col("run") + 1).alias("run")), "run")
+    return H.logic_changes(docs.join(pairs, "run"), before.join(pairs, "run"), ["run"])
 
 
 LOGIC_SQL = """
-WITH d AS (SELECT lang AS rule, CAST(n_chars AS VARCHAR) AS fingerprint, source FROM documents),
-a AS (SELECT rule, fingerprint FROM d WHERE source = 'src1'), b AS (SELECT rule, fingerprint FROM d WHERE source = 'src2')
+WITH d AS (SELECT CAST(substr(source, 4) AS INTEGER) AS run, lang AS rule, sha256(text) AS fingerprint FROM documents),
+p AS (SELECT DISTINCT run FROM d WHERE run - 1 IN (SELECT run FROM d)),
+a AS (SELECT * FROM d WHERE run IN (FROM p)), b AS (SELECT run + 1 AS run, rule, fingerprint FROM d WHERE run + 1 IN (FROM p))
 SELECT *, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
 """

@@ -144,14 +144,14 @@ WHERE c_mktsegment = 'BUILDING' AND CAST(c_custkey AS VARCHAR) NOT IN (SELECT te
 
 
 def orphan_tests(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").filter("c_mktsegment = 'MACHINERY'")
+    customers = table(spark, sf_dir, "customer")
     declared = customers.select(F.col("c_custkey").cast("string").alias("test_id"))
     test = F.when(F.col("event_type") == "view", F.lit(V.BASELINE_TEST)).otherwise(F.col("user_id").cast("string"))
     return audit.known_tests(declared, telemetry(spark, sf_dir).select(test.alias("test_id")))
 
 
 ORPHAN_SQL = """
-SELECT CAST(c_custkey AS VARCHAR) AS test_id FROM customer WHERE c_mktsegment = 'MACHINERY'
+SELECT CAST(c_custkey AS VARCHAR) AS test_id FROM customer
 UNION SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type <> 'view'
 """
 
@@ -181,13 +181,14 @@ def label_population(spark, sf_dir):
     """Documents as events of their language: which carry a label, and which are judged."""
     labels = table(spark, sf_dir, "labels")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(labels, "doc_id", "left")
-    sources = [Source(lang, {"lang|cased": lang}, ("quality", "toxic", "source", "region")) for lang in ("en", "fr", "de", "es")]
+    languages = [r[0] for r in docs.select("lang").distinct().dropna().orderBy("lang").collect()]  # a handful
+    sources = [Source(lang, {"lang|cased": lang}, ("quality", "toxic", "source", "region")) for lang in languages]
     return audit.field_population(docs, sources, EventFields.of(docs), {})
 
 
 LABEL_SQL = """
 WITH d AS (SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
-c AS (SELECT lang, count(*) AS n, count(quality) AS q, count(toxic) AS t FROM d WHERE lang IN ('en', 'fr', 'de', 'es') GROUP BY 1)
+c AS (SELECT lang, count(*) AS n, count(quality) AS q, count(toxic) AS t FROM d WHERE lang IS NOT NULL GROUP BY 1)
 SELECT lang AS source, field, n AS events, f AS filled, f / n::DOUBLE AS share, f = 0 AS absent FROM (
   SELECT lang, n, unnest(['quality', 'toxic', 'source', 'region']) AS field, unnest([q, t, n, 0]) AS f FROM c)
 """

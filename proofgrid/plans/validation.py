@@ -49,12 +49,12 @@ def rule_hit_counts(spark, sf_dir):
 
 
 def case_plan(spark, sf_dir):
-    """Tests are the event types seen per segment; only types with a purchase are catalogued."""
+    """Tests are the event types seen per host; only signups and purchases are catalogued."""
     events = telemetry(spark, sf_dir)
     catalogue = events.filter(F.col("event_type").isin("signup", "purchase")).select(
         F.concat_ws("/", "event_type", "user_id").alias("test_id")
     )
-    declared = events.filter(F.col("event_type").isin("signup", "view")).select(
+    declared = events.select(
         F.concat_ws("/", "event_type", "user_id").alias("test_id")
     ).distinct()
     rules = declared.select("test_id", F.inline(F.array(*[
@@ -69,7 +69,7 @@ WITH lib(rule, severity, enabled) AS (VALUES """ + ", ".join(
     f"('{r.name}', '{r.severity}', {r.active})" for r in RULES.rules
 ) + """),
 known AS (SELECT DISTINCT event_type || '/' || user_id AS test_id FROM events WHERE event_type IN ('signup', 'purchase')),
-declared AS (SELECT DISTINCT event_type || '/' || user_id AS test_id FROM events WHERE event_type IN ('signup', 'view'))
+declared AS (SELECT DISTINCT event_type || '/' || user_id AS test_id FROM events)
 SELECT rule, d.test_id, severity,
        CASE WHEN NOT enabled THEN 'validation disabled' WHEN k.test_id IS NULL THEN 'test not defined' END AS skip_reason
 FROM declared d CROSS JOIN lib LEFT JOIN known k ON k.test_id = d.test_id
@@ -214,7 +214,7 @@ def evidence_summary(spark, sf_dir):
     """Matching events shortened to the rule's fields, or to the first flat fields."""
     events = telemetry(spark, sf_dir)
     fields = telemetry_fields(events)
-    brief = events.filter(F.col("event_type").isin("error", "view")).select(
+    brief = events.select(
         "event_id",
         F.when(F.col("event_type") == "error", capture.summary(fields, ["K", "value", "CommandLine"]))
         .otherwise(capture.summary(fields, ["CommandLine"]))
@@ -226,7 +226,7 @@ def evidence_summary(spark, sf_dir):
 
 EVIDENCE_SUMMARY_SQL = """
 SELECT event_id, CASE event_type WHEN 'error' THEN 'K=' || json_extract_string(props, '$.k') || ';value=' || CAST(value AS VARCHAR)
-  ELSE 'k=' || json_extract_string(props, '$.k') END AS summary FROM events WHERE event_type IN ('error', 'view')
+  ELSE 'k=' || json_extract_string(props, '$.k') END AS summary FROM events
 """
 
 EVIDENCE_SQL = with_results(
