@@ -22,6 +22,7 @@ from proofgrid.plans.telemetry import (
     with_events,
 )
 from proofgrid.session import shared_folder
+from proofgrid.sources import exports
 from proofgrid.sources.store import RunStore, keep_since
 
 TERMS = ("secret", "TOKEN")
@@ -287,6 +288,55 @@ FROM p JOIN orders ON o_orderpriority = run_id WHERE NOT again OR o_orderstatus
 """
 
 
+def exported(spark: SparkSession, sf_dir: str, body: str) -> str:
+    """Events written as an export in the shared folder, one line each; every tenth is broken, every eleventh empty of events."""
+    folder = f"{shared_folder(spark).rstrip('/')}/proofgrid/{uuid.uuid4().hex}"
+    line = F.expr(f"CASE WHEN event_id % 10 = 0 THEN '{{\"broken' WHEN event_id % 11 = 0 THEN '{{}}' ELSE {body} END")
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(folder)
+    return folder
+
+
+def with_rejects(spark: SparkSession, found: DataFrame, folder: str, kind: str) -> DataFrame:
+    key = F.try_variant_get("doc", "$.id", "bigint")
+    k = F.try_variant_get("doc", "$.k", "string")
+    events = found.select(key.alias("event_id"), F.unix_micros("ts").alias("us"), k.alias("k"), F.lit(None).cast("string").alias("reason"), F.lit(1).cast("bigint").alias("n"))
+    lost = exports.rejected_responses(spark, folder, kind).groupBy("reason").agg(F.count("*").alias("n"))
+    return events.unionByName(lost, allowMissingColumns=True)
+
+
+STAMP = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+
+
+def export_ndjson(spark, sf_dir):
+    """Envelopes whose raw text holds the rest of the event, read back with what was rejected."""
+    body = f"to_json(named_struct('result', named_struct('_time', {STAMP}, 'id', event_id, '_raw', props)))"
+    folder = exported(spark, sf_dir, body)
+    return with_rejects(spark, exports.read_ndjson_export(spark, folder), folder, "ndjson")
+
+
+def export_hits(spark, sf_dir):
+    """Search responses of one hit each."""
+    source = f"named_struct('@timestamp', {STAMP}, 'id', event_id, 'k', get_json_object(props, '$.k'))"
+    folder = exported(spark, sf_dir, f"to_json(named_struct('hits', named_struct('hits', array(named_struct('_id', 'x', '_source', {source})))))")
+    return with_rejects(spark, exports.read_search_hits(spark, folder), folder, "hits")
+
+
+def export_tables(spark, sf_dir):
+    """Column/row responses of one row each; a repeated column name, of which the last wins."""
+    columns = ", ".join(f"named_struct('name', '{c}')" for c in ("TimeGenerated", "id", "k", "k"))
+    cells = f"array({STAMP}, cast(event_id as string), 'first', get_json_object(props, '$.k'))"
+    folder = exported(spark, sf_dir, f"to_json(named_struct('tables', array(named_struct('columns', array({columns}), 'rows', array({cells})))))")
+    return with_rejects(spark, exports.read_tables(spark, folder), folder, "tables")
+
+
+EXPORT_SQL = """
+SELECT event_id, epoch_us(ts) AS us, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS reason, 1::BIGINT AS n FROM events
+WHERE event_id % 10 <> 0 AND event_id % 11 <> 0
+UNION ALL SELECT NULL, NULL, NULL, CASE WHEN event_id % 10 = 0 THEN 'not JSON or too large' ELSE 'no events in it' END, count(*) FROM events
+WHERE event_id % 10 = 0 OR event_id % 11 = 0 GROUP BY 4
+"""
+
+
 def scalar_keys(spark, sf_dir):
     """Case ids, base techniques and severities worked out for every line item."""
     items = table(spark, sf_dir, "lineitem").select(
@@ -314,6 +364,9 @@ VOLUME_SQL = with_events(
 )
 
 QUERIES = {
+    "export_ndjson": Query(export_ndjson, EXPORT_SQL),
+    "export_hits": Query(export_hits, EXPORT_SQL),
+    "export_tables": Query(export_tables, EXPORT_SQL),
     "store_round_trip": Query(store_round_trip, ROUND_TRIP_SQL),
     "capture_events": Query(
         capture_events,

@@ -50,6 +50,21 @@ def read_search_hits(spark: SparkSession, path: str, source: str = "hits", multi
     return _events(hits.select(_merged(body, identity).alias("doc")), source)
 
 
+# Where each kind of response has its events, and the type it must have there.
+CONTENT = {"ndjson": ("$.result", DOC_MAP), "hits": ("$.hits.hits", "array<variant>"), "tables": ("$.tables", "array<variant>")}
+
+
+def rejected_responses(spark: SparkSession, path: str, kind: str, multiline: bool = False) -> DataFrame:
+    """What the reader of a kind of export skips: file, value and reason. A size limit of the parser counts as no JSON."""
+    where, dtype = CONTENT[kind]
+    rows = spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("file"), "value")
+    parsed = rows.withColumn("v", F.try_parse_json("value"))
+    reason = F.when(F.trim("value") == "", F.lit("empty")).when(F.col("v").isNull(), F.lit("not JSON or too large")).when(
+        F.try_variant_get("v", where, dtype).isNull(), F.lit("no events in it")
+    )
+    return parsed.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("file", "value", "reason")
+
+
 def read_tables(spark: SparkSession, path: str, source: str = "tables", multiline: bool = False) -> DataFrame:
     """Column/row responses: every row becomes an object; of equal column names the last wins."""
     tables = _responses(spark, path, multiline).select(F.explode(F.try_variant_get("v", "$.tables", "array<variant>")).alias("t"))
