@@ -2,7 +2,8 @@
 
 Texts are cut by the tokenizer's pattern; in each piece a segment tree holds the rank of every adjacent pair. Its root is
 the leftmost pair of the lowest rank; a merge changes three leaves and their paths to the root, until no pair can merge.
-Documents are encoded in Arrow batches where they lie; a bounded memo keeps the ids of chunks seen before.
+The trees of all new pieces of an Arrow batch stand side by side in one array and take their merges in step; long
+pieces have a tree of their own. A bounded memo keeps the ids of chunks seen before.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -22,8 +23,14 @@ from pyspark.sql import types as T
 # The byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "byte_bpe_50k.json"
-MEMO = 200_000
+#: Chunks remembered by a worker, and the longest of them.
+MEMO = 300_000
 LONGEST_MEMO = 64
+#: Trees of up to so many leaves are merged side by side, so many at once.
+WIDEST = 64
+FOREST = 1 << 14
+STEP_TEXTS = 256
+HASH, MASK = 0x9E3779B97F4A7C15, 2**64 - 1
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,6 +72,7 @@ class Bpe:
         for token, i in added.items():
             self.bytes_of[i] = token.encode()
         self.added = added
+        self._hash_pairs()
         self.pieces = regex.compile(PIECES)
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # A space between two characters that are no white space always begins a piece of its own.
@@ -118,31 +126,118 @@ class Bpe:
                 pair(before[i], i)
         return [x for x in ids if x >= 0]
 
-    def chunk(self, text: str) -> bytes:
-        """The ids of a stretch of text between safe cuts, as packed 32-bit numbers."""
-        out: list[int] = []
-        for piece in self.pieces.findall(text):
-            out += self.merge([self.single[b] for b in piece.encode("utf-8", "surrogatepass")])
-        packed = array("i", out).tobytes()
-        if len(text) <= LONGEST_MEMO:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[text] = packed
-        return packed
+    def _hash_pairs(self) -> None:
+        """An open-addressing table of pair ranks, for many look-ups at once."""
+        self.shift = 64 - max(4, (4 * len(self.rank)).bit_length())
+        self.slots = np.full(1 << (64 - self.shift), -1, np.int64)
+        self.ranks = np.full(len(self.slots), -1, np.int64)
+        self.merged_ids = np.array([*self.merged, 0], np.int64)
+        for (a, b), r in self.rank.items():
+            at = ((a << 32 | b) * HASH & MASK) >> self.shift
+            while self.slots[at] >= 0:
+                at = (at + 1) % len(self.slots)
+            self.slots[at], self.ranks[at] = a << 32 | b, r
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of many pairs, -1 where they can't merge."""
+        key = a << 32 | b
+        at = ((key.astype(np.uint64) * np.uint64(HASH)) >> np.uint64(self.shift)).astype(np.int64)
+        out = np.where(self.slots[at] == key, self.ranks[at], -1)
+        open_ = np.flatnonzero((self.slots[at] != key) & (self.slots[at] >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.slots)
+            held = self.slots[at[open_]]
+            out[open_] = np.where(held == key[open_], self.ranks[at[open_]], -1)
+            open_ = open_[(held != key[open_]) & (held >= 0)]
+        return out
+
+    def merge_forest(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Packed ids of pieces of at most `width` bytes: `merge` on all of them in step, one tree after the other in one array."""
+        n = len(pieces)
+        size = np.array([len(p) for p in pieces])
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[np.arange(width + 1) < size[:, None]] = np.array(self.single, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        none = (len(self.merged) + 1) * width
+        tree = np.full((n, 2 * width), none, np.int64)
+        rows, places = np.nonzero(ids[:, 1:] >= 0)
+        r = self.ranks_of(ids[rows, places], ids[rows, places + 1])
+        tree[rows, width + places] = np.where(r < 0, none, r * width + places)
+        level = width >> 1
+        while level:
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+            level >>= 1
+        tree = tree.ravel()
+        rows = np.flatnonzero(tree[1 :: 2 * width] < none)
+        while len(rows):
+            r, i = np.divmod(tree[rows * 2 * width + 1], width)
+            gone = after[rows, i]
+            right = after[rows, gone]
+            ids[rows, i], ids[rows, gone] = self.merged_ids[r], -1
+            after[rows, i] = right
+            before[rows, np.minimum(right, width)] = i
+            left = before[rows, i]
+            old = ids[rows, np.minimum(right, width)]
+            ahead = self.ranks_of(ids[rows, i], np.maximum(old, 0))
+            back = self.ranks_of(np.maximum(ids[rows, left], 0), ids[rows, i])
+            base = rows * 2 * width
+            has_left = left >= 0
+            tree[base + width + gone] = none
+            tree[base + width + i] = np.where((old >= 0) & (ahead >= 0), ahead * width + i, none)
+            at = (base + width + left)[has_left]
+            tree[at] = np.where(back[has_left] >= 0, back[has_left] * width + left[has_left], none)
+            node = np.concatenate([width + gone, width + i, (width + left)[has_left]])
+            base = np.concatenate([base, base, base[has_left]])
+            for _ in range(width.bit_length() - 1):
+                node = node >> 1
+                tree[base + node] = np.minimum(tree[base + 2 * node], tree[base + 2 * node + 1])
+            rows = rows[tree[rows * 2 * width + 1] < none]
+        alive = ids[:, :width] >= 0
+        data = ids[:, :width][alive].astype(np.int32).tobytes()
+        ends = np.concatenate([[0], np.cumsum(alive.sum(1) * 4)]).tolist()
+        return [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """Packed ids of chunks of text between safe cuts."""
+        cut = {c: [p.encode("utf-8", "surrogatepass") for p in self.pieces.findall(c)] for c in chunks}
+        ids: dict[bytes, bytes] = {}
+        by_width: dict[int, list[bytes]] = {}
+        for piece in {p for found in cut.values() for p in found}:
+            if len(piece) > WIDEST:
+                ids[piece] = array("i", self.merge([self.single[b] for b in piece])).tobytes()
+            else:
+                by_width.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(piece)
+        for width, some in by_width.items():
+            for i in range(0, len(some), FOREST):
+                part = some[i : i + FOREST]
+                ids.update(zip(part, self.merge_forest(part, width), strict=True))
+        return {c: b"".join(map(ids.__getitem__, found)) for c, found in cut.items()}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        cut: list[list[str]] = []
+        for text in texts:
+            parts = self.at_added.split(text) if self.at_added and any(t in text for t in self.added) else [text]
+            chunks: list[str] = []
+            for part in parts:
+                if part in self.added:
+                    chunks.append(part)
+                elif part:
+                    chunks += self.at_space.split(part)
+            cut.append(chunks)
+        memo = self.memo
+        new = {c for chunks in cut for c in chunks if c not in memo}
+        made = {t: array("i", [i]).tobytes() for t, i in self.added.items() if t in new}
+        made |= self.learn(new.difference(made))
+        out = [b"".join([memo[c] if c in memo else made[c] for c in chunks]) for chunks in cut]
+        if len(memo) + len(made) > MEMO:
+            memo.clear()
+        memo.update((c, x) for c, x in made.items() if len(c) <= LONGEST_MEMO)
+        return out
 
     def encode(self, text: str) -> bytes:
-        parts = self.at_added.split(text) if self.at_added and any(t in text for t in self.added) else [text]
-        out = []
-        for part in parts:
-            if part in self.added:
-                out.append(array("i", [self.added[part]]).tobytes())
-            elif part:
-                chunks = self.at_space.split(part)
-                found = [*map(self.memo.get, chunks)]
-                if None in found:
-                    found = [self.chunk(c) if f is None else f for c, f in zip(chunks, found, strict=True)]
-                out += found
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -174,7 +269,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", tokenize
 
     def task(batch: pa.RecordBatch) -> pa.Array:
         bpe = load(tokenizer_path(tokenizer))
-        packed = [bpe.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
+        texts = [t or "" for t in batch.column(text).to_pylist()]
+        packed = [p for i in range(0, len(texts), STEP_TEXTS) for p in bpe.encode_all(texts[i : i + STEP_TEXTS])]
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
