@@ -38,7 +38,9 @@ BATCH_POSTINGS = 2_000_000
 BATCH_TEXTS = 60_000
 STEP_BYTES = 1 << 20
 KEY_BITS = 40
-STAR_ROUNDS = 6
+#: Rounds in which list members are checked against one of them, and the mean list length from which pairs are cheaper.
+STAR_ROUNDS = 4
+SMALL_LISTS = 8
 LAST_ID = 2**63 - 1
 ENTRY = np.dtype([("key", "<u8"), ("df", "<u4")])
 
@@ -235,7 +237,7 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that are similar."""
+    """(c, d) of those of the pairs (a, b, c, d) in which a and b are similar."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -244,15 +246,26 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 for n, m, p, q in zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), batch.column("p"), batch.column("q"), strict=True)
             ]
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("c").filter(mask), batch.column("d").filter(mask)], names=["c", "d"])
 
     mine = classes.select(F.col("ref").alias("a"), "n", F.col("parts").alias("p"))
     theirs = classes.select(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("parts").alias("q"))
-    return pairs.select("a", "b").join(mine, "a").join(theirs, "b").mapInArrow(batches, "a long, b long")
+    return pairs.select("a", "b", "c", "d").join(mine, "a").join(theirs, "b").drop("a", "b").mapInArrow(batches, "c long, d long")
 
 
-def links(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """(a, b): links between classes, enough to connect all classes that links connect. `rows` is `shingled(docs)`."""
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels (ref, c) after links between them (c, d) are known; what has no label is its own."""
+    merged = components(found.select(F.col("c").alias("a"), F.col("d").alias("b")))
+    if labels is None:
+        return merged.select(F.col("a").alias("ref"), F.col("b").alias("c"))
+    moved = labels.join(merged.select(F.col("a").alias("c"), F.col("b").alias("to")), "c", "left").select("ref", F.coalesce("to", "c").alias("c"))
+    fresh = merged.select(F.col("a").alias("ref"), F.col("b").alias("c")).join(labels.select("ref"), "ref", "left_anti")
+    return cut_lineage(moved.union(fresh))
+
+
+def class_labels(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """(ref, c): the least reference of each linked class's component; the least itself and classes without links have no
+    row. `rows` is `shingled(docs)`."""
     classes = rows.where("ref is not null").groupBy("ref").agg(F.first("n").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_POSTINGS))
@@ -278,32 +291,27 @@ def links(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     # T-occurrence: without so many shingles held elsewhere no partner can exist.
     near = cut_lineage(whole_lists.join(classes, "ref").where(100 * F.col("held") >= PERCENT * F.col("n")).select("ref", "n", "parts"))
     lists = cut_lineage(_postings(near))
-    fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
-    spark = docs.sparkSession
-    linked = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "a long, b long")
+    fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("c") != F.col("d"))
+    labels: DataFrame | None = None
     for turn in range(STAR_ROUNDS):
-        named = lists.join(labels.select(F.col("a").alias("ref"), F.col("b").alias("c")), "ref", "left").withColumn("c", F.coalesce("c", "ref"))
+        named = lists.withColumn("c", F.col("ref")) if labels is None else lists.join(labels, "ref", "left").withColumn("c", F.coalesce("c", "ref"))
+        star = F.min_by(F.struct(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d")), F.xxhash64("ref", F.lit(turn)))
         # Members of one list that are still apart; without any, the list is done.
-        apart = named.groupBy("key").agg(
-            F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("size"),
-            F.min_by(F.struct(F.col("ref").alias("b"), F.col("n").alias("m"), "c"), F.xxhash64("ref", F.lit(turn)) if turn else F.col("ref")).alias("star"),
-        ).where("_lo < _hi").select("key", "size", "star")
-        apart = cut_lineage(apart)
-        left = apart.agg(F.count("*"), F.sum(F.col("size") * F.col("size")), F.sum("size")).first()
-        if not left[0]:
-            return linked
-        if turn and left[1] <= 16 * left[2] or turn == STAR_ROUNDS - 1:
+        apart = named.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("size"), star.alias("star"))
+        apart = cut_lineage(apart.where("_lo < _hi").select("key", "size", "star"))
+        size, squares = apart.agg(F.sum("size"), F.sum(F.col("size") * F.col("size"))).first()
+        if not size:
+            return labels if labels is not None else lists.sparkSession.createDataFrame([], "ref long, c long")
+        if squares <= SMALL_LISTS * size or turn == STAR_ROUNDS - 1:
             break
-        pairs = named.join(apart, "key").select(F.col("ref").alias("a"), "n", F.col("c"), "star.b", "star.m", F.col("star.c").alias("c2"))
-        pairs = pairs.where(fits & (F.col("c") != F.col("c2"))).groupBy("a", "b").agg(F.count("*").alias("lists"))
-        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
-        linked = cut_lineage(linked.union(_verified(pairs, near)))
-        labels = components(linked)
+        pairs = named.withColumnRenamed("ref", "a").join(apart, "key").select("a", "n", "c", "star.*").where(fits)
+        pairs = pairs.groupBy("a", "b", "c", "d").agg(F.count("*").alias("lists"))
+        pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "c", "d"), F.struct("lists", "b")).alias("p")).select("a", "p.*")
+        labels = _joined(labels, _verified(pairs, near))
     some = cut_lineage(named.join(apart.select("key"), "key", "left_semi"))
-    other = some.select("key", F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("c2"))
-    rest = some.withColumnRenamed("ref", "a").join(other, "key").where(fits & (F.col("c") != F.col("c2")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    return cut_lineage(linked.union(_verified(cut_lineage(rest), near)))
+    other = some.select("key", F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    rest = some.withColumnRenamed("ref", "a").join(other, "key").where(fits & (F.col("a") < F.col("b"))).select("a", "b", "c", "d").distinct()
+    return _joined(labels, _verified(cut_lineage(rest), near))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,7 +322,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty table.
     """
     rows = cut_lineage(shingled(docs, doc_id, text))
-    labels = components(links(docs, rows, text)).select(F.col("a").alias("ref"), F.col("b").alias("c"))
+    labels = class_labels(docs, rows, text)
     least = rows.where("ref is not null").groupBy("ref").agg(F.min("doc_id").alias("lo"))
     named = cut_lineage(least.join(labels, "ref", "left").select("ref", "lo", F.coalesce("c", "ref").alias("c")))
     # Per class, its component's least id; written, so that a class with very many rows is split in the last join.
