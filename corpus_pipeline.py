@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid.llm import bpe, decontamination, jaccard, lines, quality
+from proofgrid.llm.shipping import ship
 from proofgrid.session import cut_lineage
 
 #: The classifier's verdict can't be expressed in SQL; tests hold the pipeline against a brute-force version.
@@ -54,6 +55,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))

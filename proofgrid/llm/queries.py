@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid.llm import bpe, decontamination, jaccard, lines, lm, pii, quality, secrets, sharding, warc
+from proofgrid.llm.shipping import ship
 from proofgrid.llm.texts import joined, sha256_hex, whole
 
 SHARDS = 24
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
