@@ -1,7 +1,7 @@
 """Elias-Fano sequences of non-decreasing numbers, built and queried with numpy on memory-mapped arrays.
 
-A number's low bits lie packed side by side; its high part is a one in a bit vector, at (high part + index). Samples of every
-64th one and zero make both kinds of selection a short walk.
+A number's low bits lie packed side by side; its high part is a one in a bit vector, at (high part + index). Counts of ones and
+zeros before each 64-bit word make both kinds of selection a binary search.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-STEP = 6  # every 2 ** STEP-th one or zero is sampled
 
 
 def _bits(positions: np.ndarray, length: int) -> np.ndarray:
@@ -32,35 +31,22 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         np.bitwise_or.at(packed, at >> 6, rest << shift)
         over = (at & 63) + low > 64
         np.bitwise_or.at(packed, (at[over] >> 6) + 1, rest[over] >> (U(64) - shift[over]))
-    is_zero = np.ones(length, bool)
-    is_zero[ones] = False
+    before = np.cumsum(np.bitwise_count(high), dtype=np.int64) - np.bitwise_count(high)
+    kind = np.uint32 if length < 1 << 32 else np.int64
     return {
         "head": np.array([n, low, length], np.int64),
         "low": packed,
         "high": high,
-        "at_one": ones[:: 1 << STEP].astype(np.int64),
-        "at_zero": np.flatnonzero(is_zero)[:: 1 << STEP].astype(np.int64),
+        "ones": before.astype(kind),
+        "zeros": (64 * np.arange(len(high), dtype=np.int64) - before).astype(kind),
     }
 
 
-def _select(words: np.ndarray, samples: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
-    """The position of the one (zero, if `flip`) with each rank."""
-    start = samples[rank >> STEP]
-    left = rank & ((1 << STEP) - 1)
-    word = start >> 6
-
-    def at(w: np.ndarray) -> np.ndarray:
-        return ~words[w] if flip else words[w]
-
-    here = at(word) & (~U(0) << (start & 63).astype(U))
-    while True:
-        count = np.bitwise_count(here).astype(np.int64)
-        go = np.flatnonzero(left >= count)
-        if not len(go):
-            break
-        left[go] -= count[go]
-        word[go] += 1
-        here[go] = at(word[go])
+def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
+    """The position of the one (zero, if `flip`) with each rank; `before` counts them before each word."""
+    word = np.searchsorted(before, rank.astype(before.dtype), side="right") - 1
+    left = rank - before[word].astype(np.int64)
+    here = ~words[word] if flip else words[word]
     bit = np.zeros(len(rank), np.int64)
     for width in (32, 16, 8, 4, 2, 1):
         count = np.bitwise_count((here >> bit.astype(U)) & U((1 << width) - 1)).astype(np.int64)
@@ -75,8 +61,7 @@ class Sequence:
 
     def __init__(self, sections: dict[str, np.ndarray]):
         self.n, self.low_bits, _ = (int(x) for x in sections["head"])
-        self.low, self.high = sections["low"], sections["high"]
-        self.at_one, self.at_zero = sections["at_one"], sections["at_zero"]
+        self.low, self.high, self.ones, self.zeros = (sections[k] for k in ("low", "high", "ones", "zeros"))
 
     def _rest(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -89,7 +74,7 @@ class Sequence:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at some indices."""
         i = np.asarray(i, np.int64)
-        top = (_select(self.high, self.at_one, i.copy(), False) - i).astype(U)
+        top = (_select(self.high, self.ones, i, False) - i).astype(U)
         return (top << U(self.low_bits)) | self._rest(i)
 
     def find(self, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -97,8 +82,8 @@ class Sequence:
         value = value.astype(U)
         top = (value >> U(self.low_bits)).astype(np.int64)
         below = np.maximum(top - 1, 0)
-        a = np.where(top > 0, _select(self.high, self.at_zero, below.copy(), True) - below, 0)
-        b = _select(self.high, self.at_zero, top.copy(), True) - top
+        a = np.where(top > 0, _select(self.high, self.zeros, below, True) - below, 0)
+        b = _select(self.high, self.zeros, top, True) - top
         a, b = np.maximum(a, first), np.minimum(b, last)
         end, want = b.copy(), value & U((1 << self.low_bits) - 1)
         while True:

@@ -34,7 +34,7 @@ from proofgrid.session import cut_lineage, shared_folder
 PART_BYTES = 64 << 20
 LEAST_PART_BITS = 3
 BATCH_TOKENS = 3_000_000
-STEP_BYTES = 1 << 20
+STEP_BYTES = 2 << 20
 LEVELS = 256
 #: The token after each text, also the context of its first word. No word hashes to it but by chance of 2 ** -64.
 END = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +125,7 @@ def load(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file: memory-mapped where the shared folder is mounted, read from other stores."""
     store, place = fs.FileSystem.from_uri(path)
     if isinstance(store, fs.LocalFileSystem):
-        raw = np.memmap(place, np.uint8, "r")
+        raw = np.asarray(np.memmap(place, np.uint8, "r"))
     else:
         with store.open_input_file(place) as file:
             raw = np.frombuffer(file.read(), np.uint8)
@@ -197,7 +197,7 @@ class Part:
 
     def __init__(self, path: str):
         s = load(path)
-        section = lambda name: elias_fano.Sequence({k: s[f"{name}_{k}"] for k in ("head", "low", "high", "at_one", "at_zero")})
+        section = lambda name: elias_fano.Sequence({k: s[f"{name}_{k}"] for k in ("head", "low", "high", "ones", "zeros")})
         self.pointer, self.successor = section("pointer"), section("successor")
         self.back, self.back_book, self.code, self.book = s["back"], s["back_book"], s["code"], s["book"]
 
