@@ -6,8 +6,8 @@ the rest of the work is on those classes alone. Each one's shortest inverted lis
 them that any partner must appear in one; its long lists are never merged but probed by binary search in
 the candidate's shingles (DivideSkip), until the overlap decides.
 
-Pairs inside a large group are not all made: members are first checked against one member of their lists, and only what
-connected components leave apart is checked pair by pair.
+Pairs inside a large group are not all made: members are first checked against one member of their lists, the one whose shingles the most others
+hold, and only what connected components leave apart is checked pair by pair.
 
 Shingles are 64-bit hashes; a class goes by the first 64 bits of the digest of its set.
 """
@@ -186,13 +186,17 @@ def _held(parts: pa.Scalar) -> np.ndarray:
     return np.frombuffer(b"".join(parts.as_py()), ENTRY)
 
 
-def short_lists(n: int, held: np.ndarray) -> np.ndarray:
-    """The keys whose lists must be merged: rarest first, as many as leave fewer than the needed overlap. Keys that nobody
-    else holds come before all others and need no list."""
+def short_lists(n: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys whose lists must be merged, and how many of the text's keys are left from each one on.
+
+    Rarest first, as many as leave fewer than the needed overlap; keys that nobody else holds come before all others and
+    need no list.
+    """
     need = -(-PERCENT * n // 100)
-    take = n - need + 1 - (n - len(held))
-    order = np.lexsort((held["key"], held["df"]))
-    return held["key"][order[: max(take, 0)]]
+    alone = n - len(held)
+    take = max(n - need + 1 - alone, 0)
+    order = np.lexsort((held["key"], held["df"]))[:take]
+    return held["key"][order], n - alone - np.arange(len(order))
 
 
 def overlap_reaches(n: int, m: int, mine: np.ndarray, theirs: np.ndarray) -> bool:
@@ -216,24 +220,30 @@ def overlap_reaches(n: int, m: int, mine: np.ndarray, theirs: np.ndarray) -> boo
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(key, ref, n) for the short lists of every class."""
+    """(key, ref, n, rest, mass) for the short lists of every class: `rest` counts its keys from this one on, `mass` is the
+    mean number of classes that hold its keys."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                keys = [short_lists(n, _held(p)) for n, p in zip(part.column("n").to_pylist(), part.column("parts"), strict=True)]
-                count = [len(k) for k in keys]
+                n = part.column("n").to_numpy(zero_copy_only=False)
+                held = [_held(p) for p in part.column("parts")]
+                found = [short_lists(int(k), h) for k, h in zip(n, held, strict=True)]
+                count = [len(keys) for keys, _ in found]
+                mass = np.array([float(h["df"].sum()) for h in held]) / n
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(keys).astype(np.int64), pa.int64()),
+                        pa.array(np.concatenate([keys for keys, _ in found]).astype(np.int64), pa.int64()),
                         pa.array(np.repeat(part.column("ref").to_numpy(zero_copy_only=False), count), pa.int64()),
-                        pa.array(np.repeat(part.column("n").to_numpy(zero_copy_only=False), count), pa.int64()),
+                        pa.array(np.repeat(n, count), pa.int64()),
+                        pa.array(np.concatenate([rest for _, rest in found]).astype(np.int64), pa.int64()),
+                        pa.array(np.repeat(mass, count), pa.float64()),
                     ],
-                    names=["key", "ref", "n"],
+                    names=["key", "ref", "n", "rest", "mass"],
                 )
 
-    return classes.select("ref", "n", "parts").mapInArrow(batches, "key long, ref long, n long")
+    return classes.select("ref", "n", "parts").mapInArrow(batches, "key long, ref long, n long, rest long, mass double")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -291,11 +301,16 @@ def class_labels(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     # T-occurrence: without so many shingles held elsewhere no partner can exist.
     near = cut_lineage(whole_lists.join(classes, "ref").where(100 * F.col("held") >= PERCENT * F.col("n")).select("ref", "n", "parts"))
     lists = cut_lineage(_postings(near))
+    # Length bound, and positional bound: no key before the first common one is common, so from it on both texts must have
+    # as many keys as the overlap of a pair of their sizes needs.
     fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("c") != F.col("d"))
+    fits &= (100 + PERCENT) * F.least("rest", "s") >= PERCENT * (F.col("n") + F.col("m"))
     labels: DataFrame | None = None
     for turn in range(STAR_ROUNDS):
         named = lists.withColumn("c", F.col("ref")) if labels is None else lists.join(labels, "ref", "left").withColumn("c", F.coalesce("c", "ref"))
-        star = F.min_by(F.struct(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d")), F.xxhash64("ref", F.lit(turn)))
+        # First the member whose keys the most others hold, as an original among its edited copies; then any.
+        most = F.struct("mass", "ref") if not turn else F.xxhash64("ref", F.lit(turn))
+        star = F.max_by(F.struct(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("rest").alias("s")), most)
         # Members of one list that are still apart; without any, the list is done.
         apart = named.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("size"), star.alias("star"))
         apart = cut_lineage(apart.where("_lo < _hi").select("key", "size", "star"))
@@ -304,12 +319,12 @@ def class_labels(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
             return labels if labels is not None else lists.sparkSession.createDataFrame([], "ref long, c long")
         if squares <= SMALL_LISTS * size or turn == STAR_ROUNDS - 1:
             break
-        pairs = named.withColumnRenamed("ref", "a").join(apart, "key").select("a", "n", "c", "star.*").where(fits)
+        pairs = named.withColumnRenamed("ref", "a").join(apart, "key").select("a", "n", "rest", "c", "star.*").where(fits)
         pairs = pairs.groupBy("a", "b", "c", "d").agg(F.count("*").alias("lists"))
         pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "c", "d"), F.struct("lists", "b")).alias("p")).select("a", "p.*")
         labels = _joined(labels, _verified(pairs, near))
     some = cut_lineage(named.join(apart.select("key"), "key", "left_semi"))
-    other = some.select("key", F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    other = some.select("key", F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("rest").alias("s"))
     rest = some.withColumnRenamed("ref", "a").join(other, "key").where(fits & (F.col("a") < F.col("b"))).select("a", "b", "c", "d").distinct()
     return _joined(labels, _verified(cut_lineage(rest), near))
 
