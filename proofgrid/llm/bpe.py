@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -233,7 +234,7 @@ class Bpe:
         out = [b"".join([memo[c] if c in memo else made[c] for c in chunks]) for chunks in cut]
         if len(memo) + len(made) > MEMO:
             memo.clear()
-        memo.update((c, x) for c, x in made.items() if len(c) <= LONGEST_MEMO)
+        memo.update(islice(((c, x) for c, x in made.items() if len(c) <= LONGEST_MEMO), MEMO))
         return out
 
     def encode(self, text: str) -> bytes:
