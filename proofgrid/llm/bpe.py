@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 # The byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "byte_bpe_50k.json"
-#: Chunks remembered by a worker, and the longest of them.
-MEMO = 300_000
+#: Chunks remembered by a worker in each of two generations, and the longest of them.
+MEMO = 200_000
 LONGEST_MEMO = 64
 #: Trees of up to so many leaves are merged side by side, so many at once.
 WIDEST = 64
 FOREST = 1 << 14
-STEP_TEXTS = 256
+STEP_CHARS = 2_000_000
 HASH, MASK = 0x9E3779B97F4A7C15, 2**64 - 1
 
 
@@ -79,6 +79,7 @@ class Bpe:
         # A space between two characters that are no white space always begins a piece of its own.
         self.at_space = re.compile(r"(?<=\S)(?= \S)")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """The ids of one piece after all merges, by a segment tree over the ranks of adjacent pairs."""
@@ -229,11 +230,16 @@ class Bpe:
             cut.append(chunks)
         memo = self.memo
         new = {c for chunks in cut for c in chunks if c not in memo}
+        # What the older generation knows moves into the younger one, so that common chunks outlive rare ones.
+        again = {c: self.older[c] for c in new if c in self.older}
+        new.difference_update(again)
         made = {t: array("i", [i]).tobytes() for t, i in self.added.items() if t in new}
         made |= self.learn(new.difference(made))
+        made |= again
         out = [b"".join([memo[c] if c in memo else made[c] for c in chunks]) for chunks in cut]
         if len(memo) + len(made) > MEMO:
-            memo.clear()
+            self.older, self.memo = memo, {}
+            memo = self.memo
         memo.update(islice(((c, x) for c, x in made.items() if len(c) <= LONGEST_MEMO), MEMO))
         return out
 
@@ -271,7 +277,9 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", tokenize
     def task(batch: pa.RecordBatch) -> pa.Array:
         bpe = load(tokenizer_path(tokenizer))
         texts = [t or "" for t in batch.column(text).to_pylist()]
-        packed = [p for i in range(0, len(texts), STEP_TEXTS) for p in bpe.encode_all(texts[i : i + STEP_TEXTS])]
+        step = np.cumsum([len(t) for t in texts]) // STEP_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]
+        packed = [p for i, j in zip(cuts[:-1], cuts[1:], strict=True) for p in bpe.encode_all(texts[i:j])]
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
