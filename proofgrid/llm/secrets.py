@@ -23,13 +23,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Windows of this many characters; candidates are at least as long.
 WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{WINDOW},}}+={{0,2}}"
-#: Character classes from narrow to wide: what all characters match, least bits of the best window, what must occur.
+#: Character classes from narrow to wide: what all characters match, least bits of the best window. Nothing else decides.
 CLASSES = (
-    (r"[0-9]+", math.inf, ""),
-    (r"[0-9a-f]+|[0-9A-F]+", 2.9, r"(?=.*[0-9])(?=.*[A-Fa-f])"),
-    (r"[0-9a-z]+|[0-9A-Z]+", 3.5, r"(?=(?:.*[0-9]){2})(?=.*[A-Za-z])"),
-    (r".*", 3.7, r"(?=(?:.*[0-9]){2})(?=.*[A-Z])(?=.*[a-z])"),
+    (r"[0-9+/_-]+", 2.5),
+    (r"[0-9a-f+/_-]+|[0-9A-F+/_-]+", 2.9),
+    (r"[0-9a-z+/_-]+|[0-9A-Z+/_-]+", 3.5),
+    (r".*", 3.7),
 )
+#: What words, paths of words and short numbers don't have: six consonants in a row, digits but short ones behind a word or alone,
+#: letter case that changes otherwise than at the beginning of a word.
+NO_WORDS = r"(?i:[bcdfghjklmnpqrstvwxz]{6})|[0-9][A-Za-z]|[A-Za-z][0-9]{3}|[0-9]{5}|[A-Z][a-z](?![a-z])|[a-z][A-Z]+(?![A-Za-z])|[A-Z]{6}[a-z]"
 #: Strings that look random but are none, or are published examples.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$",  # UUID
@@ -91,15 +94,14 @@ def entropy(value: Column, window: int = WINDOW) -> Column:
 
 
 def suspicious(value: Column) -> Column:
-    """Whether a candidate's class asks for its bits and gets them, and nothing allows it."""
-    verdict = F.lit(False)
-    for chars, bits, needs in reversed(CLASSES):
-        test = F.lit(False) if math.isinf(bits) else value.rlike(f"^{needs}") & (entropy(F.rtrim(value, F.lit("="))) >= bits)
-        verdict = F.when(value.rlike(f"^(?:{chars})=*$"), test).otherwise(verdict)
-    allowed = F.lit(False)
+    """Whether a candidate's best window has its class's bits, and nothing allows it."""
+    least = F.lit(math.inf)
+    for chars, bits in reversed(CLASSES):
+        least = F.when(value.rlike(f"^(?:{chars})=*$"), F.lit(bits)).otherwise(least)
+    allowed = ~value.rlike(NO_WORDS)
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)
-    return ~allowed & verdict
+    return F.when(allowed, F.lit(False)).otherwise(entropy(F.rtrim(value, F.lit("="))) >= least)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
