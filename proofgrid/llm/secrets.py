@@ -2,7 +2,8 @@
 
 Everything is a column expression on the row's own text, so a scan needs no shuffle. The entropy of a window follows
 from the one before by taking one character's count down and another's up; a candidate of a character class counts when its
-best window reaches the class's bits and no allow-list pattern explains it.
+best window reaches the class's bits. The allow-list covers whole candidates (words, paths, UUIDs, dates) or stretches of them;
+a covered stretch counts as one repeated character, so it hides nothing beside it.
 """
 
 from __future__ import annotations
@@ -25,22 +26,29 @@ WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{WINDOW},}}+={{0,2}}"
 #: Character classes from narrow to wide: what all characters match, least bits of the best window. Nothing else decides.
 CLASSES = (
-    (r"[0-9+/_-]+", 2.5),
-    (r"[0-9a-f+/_-]+|[0-9A-F+/_-]+", 2.9),
-    (r"[0-9a-z+/_-]+|[0-9A-Z+/_-]+", 3.5),
+    (r"[0-9+/_~-]+", 2.5),
+    (r"[0-9a-f+/_~-]+|[0-9A-F+/_~-]+", 2.9),
+    (r"[0-9a-z+/_~-]+|[0-9A-Z+/_~-]+", 3.5),
     (r".*", 3.7),
 )
 #: What words, paths of words and short numbers don't have: six consonants in a row, digits but short ones behind a word or alone,
 #: letter case that changes otherwise than at the beginning of a word.
 NO_WORDS = r"(?i:[bcdfghjklmnpqrstvwxz]{6})|[0-9][A-Za-z]|[A-Za-z][0-9]{3}|[0-9]{5}|[A-Z][a-z](?![a-z])|[a-z][A-Z]+(?![A-Za-z])|[A-Z]{6}[a-z]"
-#: Strings that look random but are none, or are published examples.
+DATE = r"[12]\d{3}-?[01]\d-?[0-3]\d(?:[T_-]?[0-2]\d-?[0-5]\d(?:-?[0-5]\d(?:-?\d{1,9})?)?Z?)?"
+#: Whole candidates that look random but are none, or are published examples.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$",  # UUID
-    r"^\d{4}-\d{2}-\d{2}",  # date
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token|secret)",
-    r"(?i)0123456789|abcdefghij|qwertyuiop",
-    r"(.)\1{7}",
+    rf"^{DATE}(?:[/_-]+{DATE})?$",
+    r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
 )
+#: Stretches of a candidate that carry no secret; a window is judged by its other characters.
+PLAIN = (
+    r"(?i:example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token|secret))"
+    r"|(?i:0123456789|abcdefghij|qwertyuiop)"
+    r"|(.)\1{7,}"
+)
+#: Stands for each character of such a stretch; no candidate holds it.
+MASK = "~"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -93,15 +101,30 @@ def entropy(value: Column, window: int = WINDOW) -> Column:
     return F.aggregate(steps, start, slide, lambda state: state["best"])
 
 
+def masked(value: Column) -> Column:
+    """The text with every character of its plain stretches replaced by one and the same."""
+    found = F.regexp_extract_all(value, F.lit(PLAIN), F.lit(0))
+    masks = lambda m: F.repeat(F.lit(MASK), F.coalesce(F.length(m), F.lit(0)))
+    pieces = F.zip_with(F.split(value, PLAIN, -1), found, lambda gap, m: F.concat(gap, masks(m)))
+    return F.when(value.rlike(PLAIN), F.array_join(pieces, "")).otherwise(value)
+
+
 def suspicious(value: Column) -> Column:
-    """Whether a candidate's best window has its class's bits, and nothing allows it."""
-    least = F.lit(math.inf)
-    for chars, bits in reversed(CLASSES):
-        least = F.when(value.rlike(f"^(?:{chars})=*$"), F.lit(bits)).otherwise(least)
+    """Whether a candidate's best window, without plain stretches, has its class's bits, and nothing allows the whole."""
+    # One element, so that what is masked is computed once.
+    judged = F.transform(F.array(masked(F.rtrim(value, F.lit("=")))), lambda rest: entropy(rest) >= least_bits(rest))
     allowed = ~value.rlike(NO_WORDS)
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)
-    return F.when(allowed, F.lit(False)).otherwise(entropy(F.rtrim(value, F.lit("="))) >= least)
+    return F.when(allowed, F.lit(False)).otherwise(F.element_at(judged, 1))
+
+
+def least_bits(value: Column) -> Column:
+    """The bits that the class of a candidate's characters asks for."""
+    least = F.lit(math.inf)
+    for chars, bits in reversed(CLASSES):
+        least = F.when(value.rlike(f"^(?:{chars})$"), F.lit(bits)).otherwise(least)
+    return least
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:

@@ -93,5 +93,22 @@ def test_bits_alone_decide_in_every_class(spark):
     assert reported(spark, keys + plain) == set(keys)
 
 
+def test_allowed_stretches_hide_nothing_beside_them(spark):
+    key = "Xk29fLqP0vTz7RmW3yBnC8sD"
+    keys = [
+        "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAABlwAAAAdzc2gtcn",
+        f"config/sample/{key}",
+        f"2024-01-01_{key}",
+        f"0123456789{key}",
+        f"example{key[:19]}",
+        f"{key}example",
+        "EXAMPLE_7f3a09bce14d5826fb07",
+        f"AAAAAAAAAAAA{key}========",
+    ]
+    plain = ["2024-01-01_2024-12-31", "2024-01-01T00-00-00-123456", "sample_0123456789_abcdefghij", "A1b2" + "z" * 40, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "exampleExampleX1y2"]
+    found = reported(spark, keys + plain)
+    assert {k.rstrip("=") for k in found} == {k.rstrip("=") for k in keys}
+
+
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
