@@ -1,13 +1,15 @@
 """Personal data: four rules, and a character-level bidirectional LSTM with CRF transitions.
 
 The network learns in numpy from spans that the rules label in a bounded sample of windows, and from the same spans written
-in other ways (without a plus, with other separators, with a spelled-out at sign), which the rules miss. It reads overlapping
-windows wherever a text has a digit or an at sign; spans of all windows are reconciled over the whole text.
+in other ways (without a plus, with other separators, with a spelled-out at sign and dots), which the rules miss. It reads all
+overlapping windows of every text; spans of all windows are reconciled over the whole text. Full-width characters and digits
+of other scripts read as their ASCII counterparts. Only windows whose best path marks anything get posterior probabilities.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,10 +30,14 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 WINDOW, STRIDE = 64, 32
-#: Where a window is worth reading.
-GATE = re.compile(r"[0-9@]|[\[(]at[\])]")
+#: What all windows that the rules can label hold; they are few, and the training sample is to have enough of them.
+LABELLED = re.compile(r"[0-9@]")
 TRAIN_DOCS = 1500
 TRAIN_WINDOWS = 5000
+#: The part of both samples that is left to texts and windows of any other kind.
+OTHERS = 4
+#: Copies of a window with spans in which one of them is rewritten.
+REWRITTEN = 6
 STEPS, BATCH, RATE = 350, 64, 0.01
 EMBED, HIDDEN = 8, 16
 #: Least mean posterior probability of a learned span's characters, and least characters.
@@ -40,6 +46,10 @@ LEAST_CHARS = 7
 STATES = 1 + len(KINDS)
 VOCABULARY = 131  # padding, ASCII, other letters, anything else
 BATCH_WINDOWS = 512
+#: Windows of one step of `idle`: products so small stay on one thread.
+IDLE_WINDOWS = 160
+#: Windows held at a time, whatever a text's length.
+STEP_WINDOWS = 16384
 
 
 def _luhn(digits: str) -> bool:
@@ -75,26 +85,31 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _code(c: int) -> int:
+    if 0xFF01 <= c <= 0xFF5E:
+        return c - 0xFF01 + 0x22
+    digit = unicodedata.decimal(chr(c), None)
+    if digit is not None:
+        return 0x31 + digit
+    return VOCABULARY - 2 if chr(c).isalpha() else VOCABULARY - 1
+
+
 def coded(text: str) -> np.ndarray:
     """Character codes of a text."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(x) or x.max() < 128:
         return (x + 1).astype(np.uint8)
-    out = np.where(x < 128, x + 1, VOCABULARY - 1).astype(np.uint8)
-    for i in np.flatnonzero(x >= 128):
-        if chr(x[i]).isalpha():
-            out[i] = VOCABULARY - 2
+    out = (x + 1).astype(np.uint8)
+    far = np.flatnonzero(x >= 128)
+    kinds, which = np.unique(x[far], return_inverse=True)
+    out[far] = np.array([_code(int(c)) for c in kinds], np.uint8)[which]
     return out
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows, on a fixed grid, that hold something worth reading; every such place lies in two of them."""
-    starts: set[int] = set()
-    for m in GATE.finditer(text):
-        k = m.start() // STRIDE
-        starts |= {k * STRIDE, max(k - 1, 0) * STRIDE}
-    # A text's last window may reach past its end and is padded.
-    return sorted(starts)
+def window_starts(text: str) -> range:
+    """Starts of the windows, on a fixed grid; every place but the first few lies in two of them."""
+    # A text's last windows may reach past its end and are padded.
+    return range(0, len(text), STRIDE)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -181,6 +196,42 @@ class Tagger:
         sure = np.exp(np.take_along_axis(ahead + back, path[:, :, None].astype(np.int64), 2)[:, :, 0] - total)
         return path.T, sure.T
 
+    def idle(self, codes: np.ndarray) -> np.ndarray:
+        """Whether the best path of each window marks nothing. Runs over features by windows, so that all steps are on long rows."""
+        w, (n, steps) = self.w, codes.shape
+        # Inputs of a step: embedding, state before, one. A sigmoid is a hyperbolic tangent of half its argument.
+        half = np.ones((4 * HIDDEN, 1), np.float32)
+        half[: 3 * HIDDEN] = 0.5
+        weights = [np.ascontiguousarray(half * np.concatenate([w["wx"][d], w["wh"][d], w["b"][d]]).T) for d in (0, 1)]
+        x = np.ascontiguousarray(w["embed"].T)[:, codes.T].transpose(1, 0, 2)
+        logits = np.repeat(w["bias"][None, :, None], steps, 0) + np.zeros((1, 1, n), np.float32)
+        z, kept = np.empty((4 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
+        for d in (0, 1):
+            out = np.ascontiguousarray(w["out"][d * HIDDEN : (d + 1) * HIDDEN].T)
+            into = np.ones((EMBED + HIDDEN + 1, n), np.float32)
+            h = into[EMBED : EMBED + HIDDEN]
+            h[:] = 0
+            c = np.zeros((HIDDEN, n), np.float32)
+            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+                into[:EMBED] = x[t]
+                np.matmul(weights[d], into, out=z)
+                np.tanh(z, out=z)
+                gates = z[: 3 * HIDDEN]
+                gates *= 0.5
+                gates += 0.5
+                c *= z[HIDDEN : 2 * HIDDEN]
+                np.multiply(z[:HIDDEN], z[3 * HIDDEN :], out=kept)
+                c += kept
+                np.tanh(c, out=kept)
+                np.multiply(kept, z[2 * HIDDEN : 3 * HIDDEN], out=h)
+                logits[t] += out @ h
+        move = np.ascontiguousarray(w["move"][:, :, None])
+        best, plain = logits[0], logits[0, 0]
+        for t in range(1, steps):
+            best = (best[:, None] + move).max(0) + logits[t]
+            plain = plain + move[0, 0] + logits[t, 0]
+        return plain >= best.max(0)
+
     def gradient(self, codes: np.ndarray, states: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of labelled windows and its slope in every weight."""
         w, tape = self.w, []
@@ -244,6 +295,9 @@ def fit(codes: np.ndarray, states: np.ndarray, steps: int = STEPS, seed: int = 5
 def rewritten(kind: int, span: str, r: np.random.Generator) -> str:
     """The same datum as people also write it."""
     if kind == 0:
+        if r.random() < 0.35:
+            local, _, domain = span.partition("@")
+            return f"{local} at {domain.replace('.', ' dot ')}"
         sign = r.choice(["(at)", "[at]", " (at) ", " [at] "])
         return span.replace("@", sign) if r.random() < 0.7 else span.replace("@", " @ ")
     if kind == 2:
@@ -266,11 +320,11 @@ def labelled(text: str, lead: int, spans: list[tuple[int, int, int]]) -> tuple[n
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Tagger | None:
     """A tagger from at most TRAIN_WINDOWS windows of at most TRAIN_DOCS texts, those that hash lowest."""
-    # Only keys are ordered; both samples are bounded by their parameters.
-    worth = docs.where(whole(F.col(text)).rlike(GATE.pattern))
-    key = F.xxhash64(F.col(doc_id), F.col(text))
-    ids = worth.select(key.alias("_k")).distinct().orderBy("_k").limit(TRAIN_DOCS)
-    rows = worth.select(F.col(text).alias("t"), key.alias("_k")).join(F.broadcast(ids), "_k").dropDuplicates(["_k"])
+    # Only keys are ordered; all samples are bounded by their parameters.
+    known = docs.select(whole(F.col(text)).alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_k"))
+    keys = known.select("_k", F.col("t").rlike(LABELLED.pattern).alias("_l")).distinct()
+    ids = keys.where("_l").orderBy("_k").limit(TRAIN_DOCS - TRAIN_DOCS // OTHERS).union(keys.where("not _l").orderBy("_k").limit(TRAIN_DOCS // OTHERS))
+    rows = known.join(F.broadcast(ids.select("_k")), "_k").dropDuplicates(["_k"])
 
     def windows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -282,15 +336,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Tagger
                     lead, tail = max(start - STRIDE, 0), start + WINDOW + STRIDE
                     near = [(s[0], s[1] - lead, s[2] - lead) for s in spans if s[1] >= lead and s[2] <= tail]
                     if len(near) == sum(s[1] < tail and s[2] > lead for s in spans):
-                        out.append({"k": k, "start": start, "lead": lead, "text": t[lead:tail], "spans": [x for s in near for x in s]})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("k", pa.int64()), ("start", pa.int64()), ("lead", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.int64()))]))
+                        out.append({"k": k, "start": start, "lead": lead, "labelled": bool(LABELLED.search(t, start, start + WINDOW)), "text": t[lead:tail], "spans": [x for s in near for x in s]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("k", pa.int64()), ("start", pa.int64()), ("lead", pa.int64()), ("labelled", pa.bool_()), ("text", pa.string()), ("spans", pa.list_(pa.int64()))]))
 
-    made = rows.select("_k", "t").mapInArrow(windows, "k long, start long, lead long, text string, spans array<long>")
-    found = made.orderBy(F.xxhash64("k", "start"), "k", "start").limit(TRAIN_WINDOWS).collect()
+    made = rows.select("_k", "t").mapInArrow(windows, "k long, start long, lead long, labelled boolean, text string, spans array<long>")
+    found = []
+    for some, most in ((F.col("labelled"), TRAIN_WINDOWS - TRAIN_WINDOWS // OTHERS), (~F.col("labelled"), TRAIN_WINDOWS // OTHERS)):
+        found += made.where(some).orderBy(F.xxhash64("k", "start"), "k", "start").limit(most).collect()
     r, codes, states = np.random.default_rng(3), [], []
     for row in found:
         spans = [tuple(row["spans"][i : i + 3]) for i in range(0, len(row["spans"]), 3)]
-        for x in range(2 if spans else 1):
+        for x in range(1 + REWRITTEN if spans else 1):
             t, marks = row["text"], spans
             if x:
                 kind, i, j = spans[r.integers(len(spans))]
@@ -313,27 +369,44 @@ def learned_spans(texts: list[str], tagger: Tagger | None) -> list[list[tuple[in
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if tagger is None:
         return out
-    jobs = [(d, s) for d, t in enumerate(texts) for s in window_starts(t)]
-    coded_texts = {d: coded(texts[d]) for d in {d for d, _ in jobs}}
     found: dict[int, list[tuple[int, int, int, float]]] = {}
-    codes = np.zeros((len(jobs), WINDOW), np.uint8)
-    for row, (d, s) in enumerate(jobs):
-        x = coded_texts[d][s : s + WINDOW]
-        codes[row, : len(x)] = x
-    unique, which = np.unique(codes, axis=0, return_inverse=True) if len(jobs) else (codes, [])
-    paths = [tagger.decode(unique[i : i + BATCH_WINDOWS]) for i in range(0, len(unique), BATCH_WINDOWS)]
-    if not paths:
-        return out
-    path, sure = (np.concatenate(x) for x in zip(*paths, strict=True))
-    marked = path.any(1)
-    for (d, s), u in zip(jobs, which, strict=True):
-        if not marked[u]:
-            continue
-        p = path[u]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], p, [0]])))
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            if p[i]:
-                found.setdefault(d, []).append((s + int(i), min(s + int(j), len(texts[d])), int(p[i]) - 1, float(sure[u, i:j].mean())))
+    held: list[tuple[int, int, np.ndarray]] = []  # text, first start, codes
+    size = 0
+
+    def read() -> None:
+        codes = np.concatenate([c for _, _, c in held])
+        doc = np.repeat([d for d, _, _ in held], [len(c) for _, _, c in held])
+        start = np.concatenate([s + STRIDE * np.arange(len(c)) for _, s, c in held])
+        _, first, which = np.unique(codes.view(f"V{WINDOW}").ravel(), return_index=True, return_inverse=True)
+        unique = codes[first]
+        busy = np.flatnonzero(~np.concatenate([tagger.idle(unique[i : i + IDLE_WINDOWS]) for i in range(0, len(unique), IDLE_WINDOWS)]))
+        place = np.full(len(unique), -1)
+        place[busy] = np.arange(len(busy))
+        paths = [tagger.decode(unique[busy[i : i + BATCH_WINDOWS]]) for i in range(0, len(busy), BATCH_WINDOWS)]
+        if not paths:
+            return
+        path, sure = (np.concatenate(x) for x in zip(*paths, strict=True))
+        for job in np.flatnonzero(place[which] >= 0):
+            d, s, u = int(doc[job]), int(start[job]), place[which[job]]
+            p = path[u]
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], p, [0]])))
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if p[i]:
+                    found.setdefault(d, []).append((s + int(i), min(s + int(j), len(texts[d])), int(p[i]) - 1, float(sure[u, i:j].mean())))
+
+    for d, t in enumerate(texts):
+        for lead in range(0, len(t), STEP_WINDOWS * STRIDE):
+            part = coded(t[lead : lead + STEP_WINDOWS * STRIDE + WINDOW - STRIDE])
+            n = min(STEP_WINDOWS, -(-(len(t) - lead) // STRIDE))
+            padded = np.zeros((n - 1) * STRIDE + WINDOW, np.uint8)
+            padded[: len(part)] = part[: len(padded)]
+            held.append((d, lead, np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])))
+            size += n
+            if size >= STEP_WINDOWS:
+                read()
+                held, size = [], 0
+    if held:
+        read()
     for d, spans in found.items():
         merged: list[list] = []
         for i, j, kind, score in sorted(spans):

@@ -115,6 +115,30 @@ def test_the_tagger_finds_spans_of_unseen_texts(learned):
     assert want > 10 and right >= 0.8 * want and right >= 0.8 * found
 
 
+def test_every_window_is_read(learned):
+    _, tagger = learned
+    forms = ["jane.doe at example dot com", "peter at mailhost dot org", "ｊａｎｅ．ｄｏｅ＠ｅｘａｍｐｌｅ．ｃｏｍ", "+٤٩ ١٧٠ ١٢٣ ٤٥٦٧", "jane.doe＠example.com"]
+    texts = [f"Please write to {x} about the rest of it." for x in forms] + ["nothing to see here, " * 9]
+    found = pii.learned_spans(texts, tagger)
+    assert sum(any(i < t.index(x) + len(x) and j > t.index(x) for _, i, j in spans) for t, x, spans in zip(texts, forms, found, strict=False)) >= 4
+    assert found[5] == []
+    for text in ("", "a", "b" * 64, "c" * 65, "d" * 200):
+        starts = pii.window_starts(text)
+        assert set(range(len(text))) == {i for k in starts for i in range(k, min(k + pii.WINDOW, len(text)))}
+
+
+def test_idle_windows_are_those_without_a_marked_path():
+    r = np.random.default_rng(6)
+    tagger = pii.Tagger.fresh(4)
+    tagger.w["bias"][0] = 0.3
+    tagger.w["move"] = r.normal(0, 0.3, (pii.STATES, pii.STATES)).astype(np.float32) + np.eye(pii.STATES, dtype=np.float32)
+    codes = r.integers(0, pii.VOCABULARY, (300, pii.WINDOW)).astype(np.uint8)
+    tagger.w["bias"][0] += np.median([tagger.logits(codes)[:, i, 1:].max() for i in range(300)])
+    tagger.w["bias"][0] -= 0.35
+    idle = tagger.idle(codes)
+    assert idle.tolist() == (~tagger.decode(codes)[0].any(1)).tolist()
+
+
 def test_query_and_odd_rows(spark, learned, tmp_path):
     docs, tagger = learned
     rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(ODD)] + [(None, None, None), (0, "", "x"), (9, ODD[2] * 3000, "y")], "doc_id long, text string, personal string")
