@@ -1,12 +1,13 @@
-"""Bigram language model in Elias-Fano tries, and the log probability of texts.
+"""Trigram language model in Elias-Fano tries, and the log probability of texts.
 
-Training counts words, then word pairs, over all training texts: tasks count their own batches, packed counts are dealt out by
-the first word's hash, and one file per part holds a trie's two levels: sorted words with counts and back-off
-weights, monotone pointers, and each word's successors with quantised, smoothed probabilities. Scoring tasks memory-map the
-parts and look pairs up by successor search among the context's own range.
+Training counts words, then word pairs, then triples, over all training texts: tasks count their own batches, packed counts are
+dealt out by the first word's hash, and files per part hold a trie's levels: sorted words with counts and back-off
+weights, monotone pointers, each word's successors with quantised, smoothed probabilities, and the same for each pair's
+successors. Scoring tasks memory-map the parts and look pairs and triples up by successor search among the context's own range.
 
-Words are 64-bit hashes. A pair's probability is discounted and interpolated with the add-one word probability, so that
-the probabilities after any context sum to one, but for rounding to 256 levels.
+Words are 64-bit hashes. A pair's probability is discounted and interpolated with the add-one word probability, a triple's with
+the probability of its last two words, so that the probabilities after any context sum to one, but for rounding to 256 levels. A text's first
+word has one word of context, its end.
 """
 
 from __future__ import annotations
@@ -176,18 +177,24 @@ def _levels(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def trie_part(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray, of_word, size: int, n_tokens: int) -> dict[str, np.ndarray]:
     """The sections of one part. `pairs` are sorted (word's place in the part) * size + successor id; `of_word` gives the counts of ids."""
+    level = successors(len(words), pairs, times, lambda _, after: (of_word(after) + 1) / (n_tokens + size + 1), size)
+    return {"words": words, "counts": counts} | level
+
+
+def successors(contexts: int, pairs: np.ndarray, times: np.ndarray, shorter, size: int) -> dict[str, np.ndarray]:
+    """The sections of one level: `pairs` are sorted context's place * size + successor id, `shorter` gives the probabilities of
+    successors after shorter contexts."""
     context, after = (pairs // np.uint64(size)).astype(np.int64), (pairs % np.uint64(size)).astype(np.int64)
-    total = np.bincount(context, times, minlength=len(words))
-    types = np.bincount(context, minlength=len(words))
+    total = np.bincount(context, times, minlength=contexts)
+    types = np.bincount(context, minlength=contexts)
     once, twice = int((times == 1).sum()), int((times == 2).sum())
     discount = once / (once + 2 * twice) if once and twice else 0.5
     weight = discount * types / np.maximum(total, 1)
-    plain = (of_word(after) + 1) / (n_tokens + size + 1)
-    p = (times - discount) / total[context] + weight[context] * plain
+    p = (times - discount) / total[context] + weight[context] * shorter(context, after)
     code, book = _levels(np.log10(p))
     back, back_book = _levels(np.log10(np.where(types > 0, weight, 1.0)))
-    out = {"words": words, "counts": counts, "back": back, "back_book": back_book, "code": code, "book": book}
-    for name, values, universe in (("pointer", np.concatenate([[0], np.cumsum(types)]), len(pairs) + 1), ("successor", pairs, len(words) * size)):
+    out = {"back": back, "back_book": back_book, "code": code, "book": book}
+    for name, values, universe in (("pointer", np.concatenate([[0], np.cumsum(types)]), len(pairs) + 1), ("successor", pairs, contexts * size)):
         out |= {f"{name}_{k}": x for k, x in elias_fano.build(np.asarray(values), universe).items()}
     return out
 
@@ -203,12 +210,16 @@ class Part:
 
     def pair(self, context: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """For contexts by place and successors by id: log10 probability (nan: no such pair) and log10 back-off weight."""
+        return self.placed(context, after, size)[:2]
+
+    def placed(self, context: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the pairs' places (-1: no such pair)."""
         value = context.astype(np.uint64) * np.uint64(size) + np.maximum(after, 0).astype(np.uint64)
         first, last = (self.pointer.get(context + k).astype(np.int64) for k in (0, 1))
         at = self.successor.find(value, first, np.where(after < 0, first, last))
         p = np.full(len(at), np.nan)
         p[at >= 0] = self.book[self.code[at[at >= 0]]]
-        return p, self.back_book[self.back[context]].astype(np.float64)
+        return p, self.back_book[self.back[context]].astype(np.float64), at
 
 
 @lru_cache(4096)
@@ -220,6 +231,21 @@ def part(path: str) -> Part:
 class Model:
     words: Words
     paths: tuple[str | None, ...]
+    #: Where the parts' pairs begin, and the files of the level below them.
+    pair_offsets: tuple[int, ...] = ()
+    deep: tuple[str | None, ...] = ()
+
+    def look_up(self, paths: tuple[str | None, ...], offsets: tuple[int, ...], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`Part.placed` for contexts by their place in the whole level (-1: unknown); weight 0 and place -1 where there is none."""
+        p, back, place = np.full(len(left), np.nan), np.zeros(len(left)), np.full(len(left), -1, np.int64)
+        order = np.argsort(left, kind="stable")
+        ends = np.searchsorted(left[order], offsets)
+        for k, path in enumerate(paths):
+            some = order[ends[k] : ends[k + 1]]
+            if path is not None and len(some):
+                p[some], back[some], place[some] = part(path).placed(left[some] - offsets[k], right[some], self.words.size)
+                place[some] += np.where(place[some] < 0, 0, self.pair_offsets[k] if paths is self.paths and self.pair_offsets else 0)
+        return p, back, place
 
     def score(self, texts: list[bytes]) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score and score of some texts."""
@@ -233,21 +259,24 @@ class Model:
         before[np.cumsum(lengths)[:-1]] = end
         pairs, which = np.unique(before * len(unique) + at, return_inverse=True)
         left, right = pairs // len(unique), pairs % len(unique)
-        p = plain[right].copy()
-        order = np.argsort(ids[left], kind="stable")
-        ends = np.searchsorted(ids[left][order], self.words.offsets)
-        for k, path in enumerate(self.paths):
-            some = order[ends[k] : ends[k + 1]]
-            if path is None or not len(some):
-                continue
-            q, back = part(path).pair(ids[left[some]] - self.words.offsets[k], ids[right[some]], self.words.size)
-            p[some] = np.where(np.isnan(q), back + p[some], q)
+        q, back, place = self.look_up(self.paths, self.words.offsets, ids[left], ids[right])
+        p = np.where(np.isnan(q), back + plain[right], q)
+        probability = p[which]
+        # All but first words have two words of context.
+        inner = np.ones(len(at), bool)
+        inner[np.concatenate([[0], np.cumsum(lengths)[:-1]])[: len(lengths)]] = False
+        inner = np.flatnonzero(inner)
+        if self.deep and len(inner):
+            _, one, again = np.unique(which[inner - 1] * len(unique) + at[inner], return_index=True, return_inverse=True)
+            one = inner[one]
+            q, back, _ = self.look_up(self.deep, self.pair_offsets, place[which[one - 1]], ids[at[one]])
+            probability[inner] = np.where(np.isnan(q), back + p[which[one]], q)[again]
         n = len(texts)
         return {
             "n_tokens": lengths,
             "n_known": np.bincount(doc[counts[at] > 0], minlength=n),
             "base_score": np.bincount(doc, plain[at], minlength=n),
-            "score": np.bincount(doc, p[which], minlength=n),
+            "score": np.bincount(doc, probability, minlength=n),
         }
 
 
@@ -333,10 +362,48 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
         path = f"{folder}/part-{p}-{uuid.uuid4().hex}"
         save(path, trie_part(np.array(level["words"]), np.array(level["counts"]), keys, counts, of_word, words.size, words.n_tokens))
+        return pa.table({"part": pa.array([p], pa.int32()), "path": [path], "pairs": pa.array([len(keys)], pa.int64())})
+
+    tries = written(_by_part(docs, text, bits, count_pairs), write_part, "part int, path string, pairs long")
+    offsets = np.cumsum([0, *(tries[p]["pairs"] if p in tries else 0 for p in range(parts))]).tolist()
+    pairs = Model(words, tuple(tries[p]["path"] if p in tries else None for p in range(parts)), tuple(offsets))
+
+    def count_triples(found: np.ndarray, lengths: np.ndarray):
+        unique, at = np.unique(np.append(found, END), return_inverse=True)
+        ids, _ = words.look_up(unique)
+        after, end = ids[at[:-1]], ids[at[-1]]
+        before = np.concatenate([[end], after[:-1]])
+        firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        before[firsts] = end
+        some, which = np.unique(before.astype(np.uint64) * np.uint64(words.size) + after.astype(np.uint64), return_inverse=True)
+        _, _, place = pairs.look_up(pairs.paths, words.offsets, (some // np.uint64(words.size)).astype(np.int64), (some % np.uint64(words.size)).astype(np.int64))
+        inner = np.ones(len(after), bool)
+        inner[firsts] = False
+        inner = np.flatnonzero(inner)
+        keys, counts = np.unique(place[which[inner - 1]].astype(np.uint64) * np.uint64(words.size) + after[inner].astype(np.uint64), return_counts=True)
+        starts = np.array([o * words.size for o in offsets], np.uint64)
+        ends = np.searchsorted(keys, starts)
+        return ((p, keys[i:j] - starts[p], counts[i:j]) for p, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)))
+
+    def write_deep(table: pa.Table) -> pa.Table:
+        p = table.column("part")[0].as_py()
+        keys, counts = _merged(table)
+        upper = part(pairs.paths[p])
+
+        def shorter(context: np.ndarray, after: np.ndarray) -> np.ndarray:
+            out = np.empty(len(context))
+            for i in range(0, len(context), BATCH_TOKENS // 4):
+                here = slice(i, i + BATCH_TOKENS // 4)
+                middle = (upper.successor.get(context[here]) % np.uint64(words.size)).astype(np.int64)
+                out[here] = 10 ** pairs.look_up(pairs.paths, words.offsets, middle, after[here])[0]
+            return out
+
+        path = f"{folder}/deep-{p}-{uuid.uuid4().hex}"
+        save(path, successors(offsets[p + 1] - offsets[p], keys, counts, shorter, words.size))
         return pa.table({"part": pa.array([p], pa.int32()), "path": [path]})
 
-    tries = written(_by_part(docs, text, bits, count_pairs), write_part, "part int, path string")
-    return Model(words, tuple(tries[p]["path"] if p in tries else None for p in range(parts)))
+    deep = written(_by_part(docs, text, bits, count_triples), write_deep, "part int, path string")
+    return Model(words, pairs.paths, pairs.pair_offsets, tuple(deep[p]["path"] if p in deep else None for p in range(parts)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -93,6 +93,26 @@ def test_probabilities_sum_to_one_and_follow_counts(spark):
         assert mass == pytest.approx(1, abs=1e-3)
 
 
+def test_two_words_of_context_count(spark):
+    texts = ["a b c", "x b d"] * 20 + ["a b c e", "", "b"]
+    model = lm.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    ends = [model.score([t.encode()])["score"][0] for t in ("a b c", "a b d", "x b d", "x b c")]
+    assert ends[0] > ends[1] + 0.5 and ends[2] > ends[3] + 0.5
+    known = [*"abcdex", None]
+    hashes = np.array(sorted(int(lm.tokens([w.encode()])[0][0]) if w else int(lm.END) for w in known), np.uint64)
+    ids, counts = model.words.look_up(hashes)
+    left, right = (x.ravel() for x in np.meshgrid(ids, ids, indexing="ij"))
+    q, back, place = model.look_up(model.paths, model.words.offsets, left, right)
+    total = model.words.n_tokens + model.words.size + 1
+    p2 = np.where(np.isnan(q), back + np.log10((counts[np.searchsorted(ids, right)] + 1) / total), q).reshape(7, 7)
+    unseen = back.reshape(7, 7)[:, 0] - math.log10(total)
+    for at in np.flatnonzero(place >= 0):
+        b = int(np.searchsorted(ids, right[at]))
+        q3, back3, _ = model.look_up(model.deep, model.pair_offsets, np.full(7, place[at]), ids)
+        mass = (10 ** np.where(np.isnan(q3), back3 + p2[b], q3)).sum() + 10 ** (back3[0] + unseen[b])
+        assert mass == pytest.approx(1, abs=2e-3)
+
+
 def test_odd_tables(spark):
     frame = spark.createDataFrame([(None, None, 1.0), (1, "", 2.0), (1, "", 2.0), (2, "x " * 5000, None)], "doc_id long, text string, score double")
     model = lm.train(frame)
