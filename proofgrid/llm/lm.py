@@ -175,20 +175,18 @@ def _levels(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, (np.bincount(codes, values, minlength=LEVELS) / np.maximum(n, 1)).astype(np.float32)
 
 
-def trie_part(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray, of_word, size: int, n_tokens: int) -> dict[str, np.ndarray]:
+def trie_part(words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, times: np.ndarray, of_word, size: int, n_tokens: int, discount: float) -> dict[str, np.ndarray]:
     """The sections of one part. `pairs` are sorted (word's place in the part) * size + successor id; `of_word` gives the counts of ids."""
-    level = successors(len(words), pairs, times, lambda _, after: (of_word(after) + 1) / (n_tokens + size + 1), size)
+    level = successors(len(words), pairs, times, lambda _, after: (of_word(after) + 1) / (n_tokens + size + 1), size, discount)
     return {"words": words, "counts": counts} | level
 
 
-def successors(contexts: int, pairs: np.ndarray, times: np.ndarray, shorter, size: int) -> dict[str, np.ndarray]:
+def successors(contexts: int, pairs: np.ndarray, times: np.ndarray, shorter, size: int, discount: float) -> dict[str, np.ndarray]:
     """The sections of one level: `pairs` are sorted context's place * size + successor id, `shorter` gives the probabilities of
     successors after shorter contexts."""
     context, after = (pairs // np.uint64(size)).astype(np.int64), (pairs % np.uint64(size)).astype(np.int64)
     total = np.bincount(context, times, minlength=contexts)
     types = np.bincount(context, minlength=contexts)
-    once, twice = int((times == 1).sum()), int((times == 2).sum())
-    discount = once / (once + 2 * twice) if once and twice else 0.5
     weight = discount * types / np.maximum(total, 1)
     p = (times - discount) / total[context] + weight[context] * shorter(context, after)
     code, book = _levels(np.log10(p))
@@ -347,9 +345,34 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         ends = np.searchsorted(keys, np.array(starts, np.uint64))
         return ((p, keys[i:j] - starts[p], counts[i:j]) for p, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)))
 
-    def write_part(table: pa.Table) -> pa.Table:
-        p = table.column("part")[0].as_py()
-        keys, counts = _merged(table)
+    def built(name: str, count, build) -> tuple[list[str | None], list[int]]:
+        """Paths and sizes of one level's parts. All parts' counts are merged before the first is built: they share one discount."""
+
+        def merge(table: pa.Table) -> pa.Table:
+            p = table.column("part")[0].as_py()
+            keys, times = _merged(table)
+            path = f"{folder}/{name}-counts-{p}-{uuid.uuid4().hex}"
+            save(path, {"packed": np.frombuffer(_packed(keys, times), np.uint8)})
+            n = [len(keys), int((times == 1).sum()), int((times == 2).sum())]
+            return pa.table({"part": pa.array([p], pa.int32()), "path": [path]} | {c: pa.array([x], pa.int64()) for c, x in zip(("n", "once", "twice"), n, strict=True)})
+
+        merged = written(_by_part(docs, text, bits, count), merge, "part int, path string, n long, once long, twice long")
+        once, twice = (sum(r[c] for r in merged.values()) for c in ("once", "twice"))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+
+        def write(table: pa.Table) -> pa.Table:
+            p = table.column("part")[0].as_py()
+            path = f"{folder}/{name}-{p}-{uuid.uuid4().hex}"
+            save(path, build(p, *_unpacked(load(table.column("path")[0].as_py())["packed"].tobytes()), discount))
+            return pa.table({"part": pa.array([p], pa.int32()), "path": [path]})
+
+        rows = docs.sparkSession.createDataFrame([(p, r["path"]) for p, r in merged.items()], "part int, path string")
+        # These rows are tiny, the work behind each isn't: a number of partitions that is asked for is not coalesced.
+        rows = rows.repartition(parts, "part")
+        made = written(rows, write, "part int, path string")
+        return [made[p]["path"] if p in made else None for p in range(parts)], [merged[p]["n"] if p in merged else 0 for p in range(parts)]
+
+    def build_pairs(p: int, keys: np.ndarray, times: np.ndarray, discount: float) -> dict[str, np.ndarray]:
         level = load(words.paths[p])
 
         def of_word(ids: np.ndarray) -> np.ndarray:
@@ -360,13 +383,11 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                 out[here] = load(words.paths[q])["counts"][ids[here] - words.offsets[q]]
             return out
 
-        path = f"{folder}/part-{p}-{uuid.uuid4().hex}"
-        save(path, trie_part(np.array(level["words"]), np.array(level["counts"]), keys, counts, of_word, words.size, words.n_tokens))
-        return pa.table({"part": pa.array([p], pa.int32()), "path": [path], "pairs": pa.array([len(keys)], pa.int64())})
+        return trie_part(np.array(level["words"]), np.array(level["counts"]), keys, times, of_word, words.size, words.n_tokens, discount)
 
-    tries = written(_by_part(docs, text, bits, count_pairs), write_part, "part int, path string, pairs long")
-    offsets = np.cumsum([0, *(tries[p]["pairs"] if p in tries else 0 for p in range(parts))]).tolist()
-    pairs = Model(words, tuple(tries[p]["path"] if p in tries else None for p in range(parts)), tuple(offsets))
+    paths, n_pairs = built("part", count_pairs, build_pairs)
+    offsets = np.cumsum([0, *n_pairs]).tolist()
+    pairs = Model(words, tuple(paths), tuple(offsets))
 
     def count_triples(found: np.ndarray, lengths: np.ndarray):
         unique, at = np.unique(np.append(found, END), return_inverse=True)
@@ -385,9 +406,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         ends = np.searchsorted(keys, starts)
         return ((p, keys[i:j] - starts[p], counts[i:j]) for p, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)))
 
-    def write_deep(table: pa.Table) -> pa.Table:
-        p = table.column("part")[0].as_py()
-        keys, counts = _merged(table)
+    def build_triples(p: int, keys: np.ndarray, times: np.ndarray, discount: float) -> dict[str, np.ndarray]:
         upper = part(pairs.paths[p])
 
         def shorter(context: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -398,12 +417,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                 out[here] = 10 ** pairs.look_up(pairs.paths, words.offsets, middle, after[here])[0]
             return out
 
-        path = f"{folder}/deep-{p}-{uuid.uuid4().hex}"
-        save(path, successors(offsets[p + 1] - offsets[p], keys, counts, shorter, words.size))
-        return pa.table({"part": pa.array([p], pa.int32()), "path": [path]})
+        return successors(offsets[p + 1] - offsets[p], keys, times, shorter, words.size, discount)
 
-    deep = written(_by_part(docs, text, bits, count_triples), write_deep, "part int, path string")
-    return Model(words, pairs.paths, pairs.pair_offsets, tuple(deep[p]["path"] if p in deep else None for p in range(parts)))
+    deep, _ = built("deep", count_triples, build_triples)
+    return Model(words, pairs.paths, pairs.pair_offsets, tuple(deep))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -113,6 +113,17 @@ def test_two_words_of_context_count(spark):
         assert mass == pytest.approx(1, abs=2e-3)
 
 
+def test_all_parts_share_one_discount(spark, monkeypatch):
+    texts = [f"w{i} v{i % 7} w{i * i % 50} end" for i in range(60)] * 2 + [f"once{i} more{i % 3}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    few = lm.train(docs)
+    monkeypatch.setattr(lm, "LEAST_PART_BITS", 5)
+    many = lm.train(docs)
+    assert (len(few.paths), len(many.paths)) == (8, 32)
+    raw = [t.encode() for t in [*texts, "w1 v2 unseen end", "more1 w3 v5"]]
+    assert few.score(raw)["score"] == pytest.approx(many.score(raw)["score"], abs=0.02)
+
+
 def test_odd_tables(spark):
     frame = spark.createDataFrame([(None, None, 1.0), (1, "", 2.0), (1, "", 2.0), (2, "x " * 5000, None)], "doc_id long, text string, score double")
     model = lm.train(frame)
