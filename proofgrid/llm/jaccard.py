@@ -119,13 +119,13 @@ def _numbers(data: memoryview, n: int, width: int) -> np.ndarray:
 
 
 def _packed(refs: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A row for each bucket: the sorted keys as gaps, their texts, and the texts' references."""
+    """A row for each bucket: the sorted low bits of the keys as gaps, their texts, the texts' references, and the keys' high bits."""
     key = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
     bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     low = key & np.uint64((1 << KEY_BITS) - 1)
     order = np.lexsort((low, bucket))
-    bucket, low, doc = bucket[order], low[order], doc[order]
+    bucket, low, doc, high = bucket[order], low[order], doc[order], key[order] >> np.uint64(KEY_BITS)
     names = np.array(refs, np.int64)
     ends = np.searchsorted(bucket, np.arange(buckets + 1))
     which, data = [], []
@@ -137,7 +137,7 @@ def _packed(refs: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordB
         gaps = np.diff(low[i:j], prepend=np.uint64(0))
         head = np.array([j - i, len(here)], "<u4").tobytes()
         which.append(b)
-        data.append(head + _planes(gaps, 5) + _planes(local, 2) + names[here].astype("<i8").tobytes())
+        data.append(head + _planes(gaps, 5) + _planes(local, 2) + names[here].astype("<i8").tobytes() + _planes(high[i:j], 3))
     return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
 
@@ -149,10 +149,17 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low, names[_numbers(view[8 + 5 * n :], n, 2).astype(np.int64)]
 
 
+def _whole_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Like `_unpacked`, with all bits of the keys."""
+    low, refs = _unpacked(data)
+    n, m = (int(x) for x in np.frombuffer(data, "<u4", 2))
+    high = _numbers(memoryview(data)[8 + 7 * n + 8 * m :], n, 3)
+    return low + (high << np.uint64(KEY_BITS)), refs
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """Of one bucket: for each text, its keys that other texts hold too, with the number of texts."""
-    bucket = int(table.column("bucket")[0].as_py())
-    parts = [_unpacked(x.as_buffer().to_pybytes()) for x in table.column("data")]
+    parts = [_whole_keys(x.as_buffer().to_pybytes()) for x in table.column("data")]
     key, ref = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     order = np.argsort(key, kind="stable")
@@ -169,7 +176,7 @@ def _shared(table: pa.Table) -> pa.Table:
     df = df[index]
     keep = df > 1
     entries = np.zeros(int(keep.sum()), ENTRY)
-    entries["key"] = key[keep] + (np.uint64(bucket) << np.uint64(KEY_BITS))
+    entries["key"] = key[keep]
     entries["df"] = df[keep]
     ref = ref[keep]
     order = np.argsort(ref, kind="stable")

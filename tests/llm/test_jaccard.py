@@ -110,3 +110,11 @@ def test_packing_is_reversible():
     got = sorted((b, int(k), int(r)) for b, d in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True) for k, r in zip(*jaccard._unpacked(d), strict=True))
     want = sorted((int(k >> np.uint64(32)) % 7, int(k) & (2**40 - 1), r) for r, s in zip(range(-15, 15), sets, strict=True) for k in s)
     assert got == want
+
+
+def test_the_index_keeps_all_bits():
+    low = np.uint64(0x12_3456_789A)
+    keys = np.sort(np.array([low, low + np.uint64(1 << 43), low + np.uint64(1 << 63)], np.uint64))
+    batch = jaccard._packed([5, -6], [keys[:2], keys[1:]], 8)
+    found = [tuple(zip(*(x.tolist() for x in jaccard._whole_keys(b.as_py())), strict=True)) for b in batch.column("data")]
+    assert sorted(p for part in found for p in part) == sorted([(int(k), 5) for k in keys[:2]] + [(int(k), -6) for k in keys[1:]])
