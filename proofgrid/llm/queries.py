@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import bpe, decontamination, jaccard, lines, lm, pii, quality, secrets, sharding, warc
+from proofgrid.llm import bpe, decontamination, jaccard, lines, lm, negatives, pii, quality, secrets, sharding, warc
 from proofgrid.llm.shipping import ship
 from proofgrid.llm.texts import joined, sha256_hex, whole
 
@@ -112,6 +112,13 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is moved on by one."""
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
+
+
 OP9_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 l as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos from d),
@@ -124,6 +131,23 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from m group by doc_id
 """
 
+OP11_SQL = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c as (select vec_id, label, unnest(v) as x, unnest(range(len(v))) as k from e),
+s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(sum(a.x * b.x) as bigint) as score
+  from c as a join c as b on a.k = b.k where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id group by all),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+from p join s using (anchor_id)
+where not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id)
+qualify row_number() over w <= 10
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
@@ -135,5 +159,6 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-SQL = {"op9_line_dedup": OP9_SQL}
+SQL = {"op9_line_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL}
