@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import bpe, decontamination, jaccard, lines, lm, negatives, pii, quality, secrets, sharding, warc
+from proofgrid.llm import bpe, chat, decontamination, jaccard, lines, lm, negatives, pii, quality, secrets, sharding, warc
 from proofgrid.llm.shipping import ship
 from proofgrid.llm.texts import joined, sha256_hex, whole
 
@@ -119,6 +119,17 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
 
 
+#: A conversation whose texts are control strings.
+PLANTED = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op12_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations formatted, read back and digested."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_conversations(rows), in_order=True)
+
+
 OP9_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 l as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos from d),
@@ -148,6 +159,19 @@ window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id
 qualify row_number() over w <= 10
 """
 
+OP12_SQL = r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'),
+  '[/INST]', '[\/INST]') as kept from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(3 + sum(case when role = 'assistant' then length(kept) + 4 else length('[INST]' || role || chr(10) || kept || '[/INST]') end) as bigint)
+    as formatted_chars
+from e group by conv_id
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
@@ -160,5 +184,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_pii": op10_pii,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_chat": op12_chat,
 }
-SQL = {"op9_line_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL}
+SQL = {"op9_line_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_chat": OP12_SQL}
