@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofgrid.llm import bpe, chat, decontamination, jaccard, lines, lm, negatives, pii, quality, secrets, sharding, warc
+from proofgrid.llm import bpe, chat, decontamination, jaccard, lines, lm, negatives, pii, quality, resampling, secrets, sharding, warc
 from proofgrid.llm.shipping import ship
 from proofgrid.llm.texts import joined, sha256_hex, whole
 
@@ -130,6 +130,14 @@ def op12_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows), in_order=True)
 
 
+def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's words and word pairs."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    target = table(spark, folder, "benchmark").select("text")
+    gains = resampling.bucket_gains(resampling.bucket_counts(docs), resampling.bucket_counts(target))
+    return resampling.draw(resampling.weigh(docs, gains)).drop("n_words")
+
+
 OP9_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 l as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos from d),
@@ -185,5 +193,6 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_chat": op12_chat,
+    "op13_resample": op13_resample,
 }
 SQL = {"op9_line_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_chat": OP12_SQL}
