@@ -10,7 +10,8 @@ sides are merged into one ordered timeline per key and answered with running agg
   function runs; across buckets it runs over one summary row per bucket. A group therefore
   holds at most one row per microsecond of a bucket, or one row per bucket, whatever share
   of the data one key has;
-* the answers are joined back on (key, moment), where one side is unique.
+* what a bucket must know of the others is one summary row, which enters its group as a row
+  of its own, so that nothing is joined back.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 BUCKET_SECONDS = 60
 TIE_BUCKET = 1_000_000
+SPREAD = 16
 _BUCKET = "_bucket"
 
 
@@ -123,6 +126,19 @@ def within_span(events: DataFrame, windows: DataFrame, at: str = "us", start: st
     return events.filter(F.col(at).between(low, high))
 
 
+def on_days(events: DataFrame, windows: DataFrame, day: str = "day", start: str = "lo", end: str = "hi") -> DataFrame:
+    """Only the events of the days that some window touches.
+
+    `day` is the date column an event table is clustered by (see `sources.clustered`); starts
+    and ends are microseconds. Spark hands the days to the scan, which then opens no other
+    folder. The broadcast side has one row per day of the calendar that is touched.
+    """
+    date = lambda c: F.to_date(F.timestamp_micros(c))
+    spans = windows.filter(F.col(start) <= F.col(end)).select(date(start).alias("_from"), date(end).alias("_to")).distinct()
+    days = spans.select(F.explode(F.sequence("_from", "_to")).alias(day)).distinct()
+    return events.join(F.broadcast(days), day, "left_semi")
+
+
 def moments(events: DataFrame, keys: Sequence[str], at: str, points: DataFrame | None = None) -> DataFrame:
     """One row per (key, moment) with the number of events there; `points` add empty moments."""
     marked = events.select(*keys, F.col(at).alias("at"), F.lit(1).cast("bigint").alias("n"))
@@ -133,6 +149,10 @@ def moments(events: DataFrame, keys: Sequence[str], at: str, points: DataFrame |
     return marked.groupBy(*keys, "at").agg(F.sum("n").alias("n"))
 
 
+def _bucket_of(at: Column, width: int) -> Column:
+    return at - F.pmod(at, F.lit(width).cast("bigint"))
+
+
 def count_in_windows(
     events: DataFrame,
     windows: DataFrame,
@@ -144,6 +164,7 @@ def count_in_windows(
     bucket_seconds: int = BUCKET_SECONDS,
     label: str | None = None,
     labels: Sequence[str] = (),
+    spread: int = 1,
 ) -> DataFrame:
     """For every window, the number of its key's events in [start, end] and the first one.
 
@@ -153,48 +174,82 @@ def count_in_windows(
     Several windows of one id can be asked together: `label` is the column that tells them
     apart and `labels` its values; the result then has ``hits_<label>`` and
     ``first_us_<label>`` (NULL for a window that was not asked).
+
+    A sweep: moments, both ends of the windows and what each bucket carries over from the
+    others lie in one order per (key, bucket), where one pass up counts and one pass down
+    finds the next event. Where very many windows begin or end in one bucket of one key,
+    `spread` deals them to so many groups, each with its own copy of the bucket's moments.
     """
-    sides = F.array(
-        F.struct(F.lit(True).alias("opens"), F.col(start).alias("at")),
-        F.struct(F.lit(False).alias("opens"), F.col(end).alias("at")),
-    )
+    width = bucket_seconds * 1_000_000
     named = [*ids, *([label] if label else [])]
     # A window without a key, start or end holds nothing, but is answered.
     placed = reduce(and_, [F.col(c).isNotNull() for c in (*keys, start, end)])
+    # At one moment windows open before its events and close after them.
+    sides = F.inline(F.array(*[
+        F.struct(F.col(c).alias("at"), F.lit(rank).alias("rank")) for rank, c in ((0, start), (2, end))
+    ]))
     shape = [*named, *[k for k in keys if k not in named]]
-    points = windows.filter(placed).select(*shape, F.inline(sides))
-    nowhere = windows.filter(~placed).select(*shape, F.inline(sides)).withColumns(
-        {"n": F.lit(0).cast("bigint"), "upto": F.lit(0).cast("bigint"), "next_at": F.lit(None).cast("bigint")}
+    none = F.lit(None).cast("bigint")
+    ends = windows.filter(placed).select(*shape, sides).withColumns(
+        {_BUCKET: _bucket_of(F.col("at"), width), "n": F.lit(0).cast("bigint"), "next_at": none}
     )
-    # Rows combine on the way into the shuffle, so a moment that many windows share is one row.
-    answers = running(
-        moments(events, keys, at, points),
-        keys,
-        "at",
-        [
-            Running("upto", "sum", F.col("n")),
-            Running("next_at", "next", F.when(F.col("n") > 0, F.col("at"))),
-        ],
-        bucket_seconds * 1_000_000,
+    nowhere = windows.filter(~placed).select(*named, sides).select(
+        *named, "rank", F.lit(0).cast("bigint").alias("upto"), none.alias("next_at")
+    )
+
+    here = reduce(and_, [F.col(c).isNotNull() for c in (*keys, "at")])
+    counted = moments(events, keys, at).filter(here).withColumns(
+        {_BUCKET: _bucket_of(F.col("at"), width), "rank": F.lit(1), "next_at": F.col("at")}
+    )
+    group = [_BUCKET, *keys]
+    # Ends add empty buckets, so that what is carried reaches them.
+    totals = (
+        counted.select(*group, "n", "next_at")
+        .unionByName(ends.select(*group, "n", "next_at"))
+        .groupBy(*group)
+        .agg(F.sum("n").alias("n"), F.min("next_at").alias("next_at"))
+    )
+    earlier = Window.partitionBy(*keys).orderBy(F.col(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.col(_BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *group,
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_below"),
+        F.last("next_at", ignorenulls=True).over(later).alias("_next"),
+    ).select(
+        *group,
+        F.inline(F.array(
+            F.struct(F.col(_BUCKET).alias("at"), F.lit(-1).alias("rank"), F.col("_below").alias("n"), none.alias("next_at")),
+            F.struct((F.col(_BUCKET) + (width - 1)).alias("at"), F.lit(3).alias("rank"), F.lit(0).cast("bigint").alias("n"), F.col("_next").alias("next_at")),
+        )),
     )
-    below = F.col("upto") - F.col("n")
+    line = counted.unionByName(carried)
+    if spread > 1:
+        line = line.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        ends = ends.withColumn("_slot", F.pmod(F.xxhash64(*named), F.lit(spread)).cast("int"))
+        group = [*group, "_slot"]
+    line = line.unionByName(ends, allowMissingColumns=True)
+    up = Window.partitionBy(*group).orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*group).orderBy(F.desc("at"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    answers = line.select(
+        *named, "rank", F.sum("n").over(up).alias("upto"), F.last("next_at", ignorenulls=True).over(down).alias("next_at")
+    ).filter(F.col("rank").isin(0, 2))
+
+    opens = F.col("rank") == 0
     picks, results = [], []
     for name in labels if label else [""]:
         tail = f"_{name}" if name else ""
         asked = F.col(label) == name if label else F.lit(True)
         picks += [
-            F.max(F.when(asked & ~F.col("opens"), F.col("upto"))).alias(f"_upto{tail}"),
-            F.max(F.when(asked & F.col("opens"), below)).alias(f"_below{tail}"),
-            F.max(F.when(asked & F.col("opens"), F.col("next_at"))).alias(f"_next{tail}"),
+            F.max(F.when(asked & ~opens, F.col("upto"))).alias(f"_upto{tail}"),
+            F.max(F.when(asked & opens, F.col("upto"))).alias(f"_below{tail}"),
+            F.max(F.when(asked & opens, F.col("next_at"))).alias(f"_next{tail}"),
         ]
         hits = F.col(f"_upto{tail}") - F.col(f"_below{tail}")
         results += [
             hits.alias(f"hits{tail}"),
             F.when(hits > 0, F.col(f"_next{tail}")).alias(f"first_us{tail}"),
         ]
-    # Exploded windows are larger than Spark estimates, so they must not be broadcast on a guess.
-    found = points.hint("merge").join(answers, [*keys, "at"]).unionByName(nowhere)
-    return found.groupBy(*ids).agg(*picks).select(*ids, *results)
+    return answers.unionByName(nowhere).groupBy(*ids).agg(*picks).select(*ids, *results)
 
 
 def first_in_windows(
@@ -249,34 +304,6 @@ def first_in_windows(
     )
 
 
-def owned_ranges(
-    windows: DataFrame,
-    keys: Sequence[str],
-    start: str = "lo",
-    end: str = "hi",
-    tie: str = "window_id",
-    bucket_seconds: int = BUCKET_SECONDS,
-) -> DataFrame:
-    """Cut overlapping windows into disjoint ranges: the earliest start owns the overlap.
-
-    A moment inside a window belongs to an earlier one exactly when some earlier window ends
-    at or after it, so each window keeps what lies past the greatest earlier end. Windows
-    that start together are taken in the order of `tie`, a bigint unique among them.
-    """
-    by_start = windows.groupBy(*keys, start).agg(F.max(end).alias("_end"))
-    before = running(
-        by_start, keys, start, [Running("_before", "max", F.col("_end"))], bucket_seconds * 1_000_000
-    ).drop("_end")
-    tied = running(windows, [*keys, start], tie, [Running("_tied", "max", F.col(end))], TIE_BUCKET)
-    hidden = F.greatest(F.col("_tied"), F.col("_before"))
-    return (
-        tied.join(before, [*keys, start])
-        .withColumn("own_lo", F.greatest(F.col(start), F.coalesce(hidden + 1, F.col(start))))
-        .filter(F.col("own_lo") <= F.col(end))
-        .select(*windows.columns, "own_lo")
-    )
-
-
 def attribute_events(
     events: DataFrame,
     windows: DataFrame,
@@ -290,20 +317,44 @@ def attribute_events(
 ) -> DataFrame:
     """Give each event to one window of its key, the earliest start; drop events in none.
 
-    `payload` names the window columns added to the event.
+    `payload` names the window columns added to the event. Windows that start together are
+    taken in the order of `tie`.
+
+    Of the windows that end at or after an event, the one that starts earliest owns it if it
+    starts in time; if it doesn't, no window covers the event. So one pass from late to early
+    with a running minimum over the windows, placed at their ends, answers all events. Events
+    only read that minimum: those of one bucket of one key are dealt to SPREAD groups, each
+    with its own copy of the bucket's windows.
     """
-    ranges = owned_ranges(windows, keys, start, end, tie, bucket_seconds)
-    # Only the number of the owning window travels on the timeline.
-    marks = ranges.select(*keys, F.col("own_lo").alias("at"), F.col(tie).alias("mark"))
-    line = (
-        events.select(*keys, F.col(at).alias("at"), F.lit(None).cast("bigint").alias("mark"))
-        .unionByName(marks)
-        .groupBy(*keys, "at")
-        .agg(F.max("mark").alias("mark"))
+    width = bucket_seconds * 1_000_000
+    group = [_BUCKET, *keys]
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, start, end)])
+    value = F.struct(F.col(start).alias("_lo"), F.col(tie).alias("_tie"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(payload)])
+    # Of windows that end together only the first can own anything.
+    ends = (
+        windows.filter(known)
+        .groupBy(*keys, F.col(end).alias("_at"))
+        .agg(F.min(value).alias("_window"))
+        .withColumn(_BUCKET, _bucket_of(F.col("_at"), width))
+    )
+    here = reduce(and_, [F.col(c).isNotNull() for c in (*keys, at)])
+    placed = events.filter(here).withColumns({_BUCKET: _bucket_of(F.col(at), width), "_at": F.col(at)})
+    found = (
+        placed.select(*group)
+        .unionByName(ends.select(*group, "_window"), allowMissingColumns=True)
+        .groupBy(*group)
+        .agg(F.min("_window").alias("_window"))
+    )
+    later = Window.partitionBy(*keys).orderBy(F.col(_BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = found.select(
+        *group, (F.col(_BUCKET) + (width - 1)).alias("_at"), F.min("_window").over(later).alias("_window")
+    ).filter(F.col("_window").isNotNull())
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    plain = [f.name for f in events.schema.fields if isinstance(f.dataType, AtomicType) and f.dataType.typeName() != "variant"]
+    rows = ends.withColumn("_rank", F.lit(1)).unionByName(carried.withColumn("_rank", F.lit(2))).withColumn("_slot", slots)
+    line = placed.withColumns({"_rank": F.lit(0), "_slot": F.pmod(F.xxhash64(*plain), F.lit(SPREAD)).cast("int")}).unionByName(
+        rows, allowMissingColumns=True
     )
-    found = running(
-        line, keys, "at", [Running("_owner", "last", F.col("mark"))], bucket_seconds * 1_000_000
-    ).filter(F.col("_owner").isNotNull())
-    named = windows.select(*keys, F.col(tie).alias("_owner"), F.col(end).alias("_hi"), *payload)
-    answers = found.join(named, [*keys, "_owner"]).filter(F.col("at") <= F.col("_hi"))
-    return events.join(answers.select(*keys, F.col("at").alias(at), *payload), [*keys, at])
+    down = Window.partitionBy(*group, "_slot").orderBy(F.desc("_at"), F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    owned = line.withColumn("_window", F.min("_window").over(down)).filter((F.col("_rank") == 0) & (F.col("_window._lo") <= F.col("_at")))
+    return owned.select(*events.columns, *[F.col(f"_window._p{i}").alias(c) for i, c in enumerate(payload)])

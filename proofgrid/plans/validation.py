@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid import vocabulary as V
 from proofgrid.operators import capture, coverage, gates, noise
 from proofgrid.functions.scalars import case_id
-from proofgrid.operators.cases import observe, plan_cases
+from proofgrid.operators.cases import Baseline, observe, plan_cases
 from proofgrid.operators.quantiles import exact_percentiles
 from proofgrid.operators.rules import match_rules, measure_rules
-from proofgrid.operators.timeline import attribute_events, first_in_windows
-from proofgrid.session import cut_lineage
+from proofgrid.operators.timeline import attribute_events, first_in_windows, on_days
+from proofgrid.session import cut_lineage, shared_folder
+from proofgrid.sources import clustered
 from proofgrid.plans.telemetry import (
+    QUIET_US,
+    RESULT_CAP,
     RULES,
     Query,
     observed,
@@ -97,6 +102,27 @@ def case_hits_interval(spark, sf_dir):
     return observed(spark, sf_dir, attributed=False).select(*OBS_COLUMNS)
 
 
+def case_hits_pruned(spark, sf_dir):
+    """The cases of the latest run, from events stored by day and source: other days aren't opened.
+
+    Their windows reach into the days around it, quiet windows included.
+    """
+    place = f"{shared_folder(spark).rstrip('/')}/proofgrid/clustered/{uuid.uuid4().hex}"
+    clustered.write_events(table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), place)
+    events = clustered.read_events(spark, place).withColumn("doc", F.try_parse_json("props"))
+    latest = clustered.read_events(spark, place).agg(F.max("day")).scalar()
+    cases = planned(events.filter(F.col("day") == latest))
+    near = on_days(events, cases.select((F.col("lo") - QUIET_US).alias("lo"), "hi"))
+    marked = measure_rules(near, RULES, telemetry_fields(near), ["user_id", "us"])
+    quiet = Baseline(F.col("lo") - QUIET_US, F.col("lo") - 1, F.col("user_id"))
+    return observe(cases, marked, RULES, quiet, "user_id", RESULT_CAP).select(*OBS_COLUMNS)
+
+
+PRUNED_SQL = "WITH " + ",\n".join([EV, RULE_ROWS, HITS, PROBES, CASES, obs_sql()]) + """
+SELECT case_id, rule, detection_hits, first_us, telemetry_hits, baseline_hits FROM obs
+WHERE day = (SELECT max(CAST(ts AS DATE)) FROM events)"""
+
+
 def obs_query(attributed: bool) -> str:
     return "WITH " + ",\n".join([EV, RULE_ROWS, HITS, PROBES, CASES, obs_sql(attributed)]) + """
 SELECT case_id, rule, detection_hits, first_us, telemetry_hits, baseline_hits FROM obs"""
@@ -361,6 +387,7 @@ QUERIES = {
     ),
     "case_hits_attributed": Query(case_hits_attributed, obs_query(True)),
     "case_hits_interval": Query(case_hits_interval, obs_query(False)),
+    "case_hits_pruned": Query(case_hits_pruned, PRUNED_SQL),
     "event_attribution_earliest": Query(event_attribution_earliest, ATTRIBUTION_SQL),
     "classify_three_state": Query(
         classify_three_state,

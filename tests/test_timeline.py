@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -41,6 +42,9 @@ def test_against_brute_force(spark, seed):
     got = {r["window_id"]: (r["hits"], r["first_us"]) for r in count_in_windows(ev, wi, ["key"], ["window_id"]).collect()}
     assert got == {w: (len(v), v[0][0] if v else None) for w, v in inside.items()}
 
+    spread = count_in_windows(ev, wi, ["key"], ["window_id"], bucket_seconds=7, spread=3).collect()
+    assert {r["window_id"]: (r["hits"], r["first_us"]) for r in spread} == got
+
     first = {}
     for r in first_in_windows(ev, wi, ["key"], 3, "event_id").collect():
         first.setdefault(r["window_id"], {})[r["place"]] = (r["us"], r["event_id"])
@@ -54,6 +58,8 @@ def test_against_brute_force(spark, seed):
     out = attribute_events(ev, wi, ["key"], ["window_id"]).collect()
     assert {r["event_id"]: r["window_id"] for r in out} == expected
     assert len(out) == len(expected)
+    wide = attribute_events(ev, wi, ["key"], ["window_id"], bucket_seconds=3600).collect()
+    assert {r["event_id"]: r["window_id"] for r in wide} == expected
 
 
 def test_timestamps_before_epoch_and_small_buckets(spark):
@@ -70,3 +76,37 @@ def test_span_keeps_what_windows_can_see(spark):
     assert sorted(r["event_id"] for r in kept.collect()) == [4, 5, 6, 7, 8, 9]
     count = lambda e: {tuple(r) for r in count_in_windows(e, wi, ["key"], ["window_id"]).collect()}
     assert count(kept) == count(ev) == {(1, 3, 4_000_000), (2, 1, 9_000_000)}
+
+
+def test_one_hot_host_and_one_hot_microsecond(spark):
+    """A third of the events on one moment of one host, a third of the windows on one moment too."""
+    events = [(i, "hot", 5_000_000) for i in range(3_000)] + [(i, "hot" if i % 2 else "b", i * 97_001) for i in range(3_000, 9_000)]
+    windows = [(w, "hot", 5_000_000 - w % 3, 5_000_000 + w % 2) for w in range(500)]
+    windows += [(w, "hot" if w % 2 else "b", w * 300_001, w * 300_001 + w * 10_000) for w in range(500, 1_500)]
+    windows += [(1_500, None, 0, 9), (1_501, "b", None, 9), (1_502, "b", 9, 3)]
+    ev = spark.createDataFrame(events + [(9_000, None, 5), (9_001, "b", None)], "event_id int, key string, us bigint")
+    wi = spark.createDataFrame(windows, "window_id int, key string, lo bigint, hi bigint")
+    sound = [w for w in windows if None not in w]
+    by_key = {k: sorted(us for _, key, us in events if key == k) for k in ("hot", "b")}
+    want = {1_500: (0, None), 1_501: (0, None)}
+    for w, key, lo, hi in sound:
+        inside = [us for us in by_key[key] if lo <= us <= hi]
+        want[w] = (len(inside), inside[0] if inside else None)
+    got = count_in_windows(ev, wi, ["key"], ["window_id"], spread=4)
+    # A window that ends before it starts holds less than nothing; no caller makes one.
+    assert {r["window_id"]: (r["hits"], r["first_us"]) for r in got.collect() if r["window_id"] != 1_502} == {w: v for w, v in want.items() if w != 1_502}
+    owners = {}
+    for e, key, us in events:
+        cover = [(lo, w) for w, k, lo, hi in sound if k == key and lo <= us <= hi]
+        if cover:
+            owners[e] = min(cover)[1]
+    out = attribute_events(ev, wi, ["key"], ["window_id"])
+    assert {r["event_id"]: r["window_id"] for r in out.collect()} == owners
+    # Planned without adaptive execution, which would show what it reads again as planned twice.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df, most in ((count_in_windows(ev, wi, ["key"], ["window_id"]), 5), (attribute_events(ev, wi, ["key"], ["window_id"]), 4)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange hash", plan)) <= most
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
