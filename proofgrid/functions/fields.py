@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofgrid.functions.needles import Guarded, Needles
+
 ARRAY_STEP = "[*]"
 MAX_KEYS = 7
 WHITESPACE = " \t\n\r\f\x0b"
@@ -90,6 +92,14 @@ def _typed_item(column: Column, dtype: T.DataType) -> Item:
     return Item(text, F.lower(text), number, column.isNull())
 
 
+def _any_of(values: Column, test: Callable[[Item], Column], item_of: Callable[[Column], Item]) -> Column:
+    """Does a member of a list pass the test?"""
+    if isinstance(test, Needles):
+        return test.among(F.transform(values, lambda x: _filled_text(item_of(x)).text))
+    test = test.matcher if isinstance(test, Guarded) else test
+    return F.exists(values, lambda x: test(_filled_text(item_of(x))))
+
+
 def _typed(column: Column, dtype: T.DataType) -> Located:
     if isinstance(dtype, T.ArrayType):
         return Located(
@@ -97,7 +107,7 @@ def _typed(column: Column, dtype: T.DataType) -> Located:
             column.isNull() | (F.size(column) == 0),
             column.isNotNull(),
             F.to_json(column),
-            lambda test: F.exists(column, lambda x: test(_filled_text(_typed_item(x, dtype.elementType)))),
+            lambda test: _any_of(column, test, lambda x: _typed_item(x, dtype.elementType)),
         )
     item = _typed_item(column, dtype)
     return Located(
@@ -134,7 +144,7 @@ def _variant(value: Column, may_be_list: bool) -> Located:
         if not may_be_list:
             return test(scalar)
         items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
-        return F.exists(items, lambda x: test(_filled_text(_variant_item(x))))
+        return _any_of(items, test, _variant_item)
 
     return Located(
         value.isNotNull(),
@@ -272,7 +282,7 @@ class EventFields:
     def texts(self) -> Column:
         """Array of every scalar in the row as text, for keyword search."""
         parts = [
-            F.col(f"`{c}`").cast("array<string>")
+            F.coalesce(F.col(f"`{c}`").cast("array<string>"), F.array().cast("array<string>"))
             if isinstance(t, T.ArrayType)
             else F.array(F.col(f"`{c}`").cast("string"))
             for c, t in self.columns.items()

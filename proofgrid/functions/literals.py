@@ -161,6 +161,55 @@ def java_regex(pattern: str) -> str | None:
     return java if _compiles_in_java(java) else None
 
 
+#: Letters that some character beyond ASCII equals when case doesn't count.
+_SHARED_CASE = set("iksIKS")
+
+
+def required_texts(pattern: str, least: int = 1) -> tuple[str, ...]:
+    """Lower-case texts of which every match of the pattern holds at least one; empty where nothing is known.
+
+    Read from the pattern's parse: letters that follow each other and must be there, or, where the pattern has
+    alternatives, one text for each. Runs end at letters whose case reaches beyond ASCII, so that looking for the texts in
+    a lower-cased value is exact. Of several answers the one whose shortest text is longest is given, if that has `least` characters.
+    """
+    try:
+        found = _required(re._parser.parse(pattern, re.IGNORECASE))
+    except (re.error, RecursionError):
+        return ()
+    return found if found and min(map(len, found)) >= least else ()
+
+
+def _required(steps) -> tuple[str, ...]:
+    answers: list[tuple[str, ...]] = []
+    run = ""
+
+    def end() -> None:
+        nonlocal run
+        if run:
+            answers.append((run.lower(),))
+        run = ""
+
+    def walk(steps) -> None:
+        nonlocal run
+        for kind, value in steps:
+            name = str(kind)
+            if name == "LITERAL" and value < 128 and chr(value) not in _SHARED_CASE:
+                run += chr(value)
+            elif name == "SUBPATTERN" and not value[1] and not value[2]:
+                walk(value[3])
+            elif name != "AT":
+                end()
+                if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
+                    answers.append(_required(value[2]))
+                elif name == "BRANCH":
+                    each = [_required(branch) for branch in value[1]]
+                    answers.append(tuple(dict.fromkeys(t for texts in each for t in texts)) if all(each) else ())
+
+    walk(steps)
+    end()
+    return max(filter(None, answers), key=lambda texts: (min(map(len, texts)), -len(texts)), default=())
+
+
 def _compiles_in_java(java: str) -> bool:
     """True outside a Spark session, where there is no JVM to ask."""
     context = SparkContext._active_spark_context

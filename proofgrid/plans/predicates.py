@@ -357,6 +357,27 @@ def pred_value_list(spark, sf_dir):
     return flags(df, EventFields.of(df, columns=["mark"]), "event_id", {"listed": {"mark": values}})
 
 
+NEEDLES = ["".join(chr(97 + i * 593 // 26**d % 26) for d in (4, 3, 2, 1, 0)) for i in range(20_000)]
+NEEDLE_TESTS = {"listed": {"text|contains": NEEDLES}, "cased": {"text|contains|cased": [n.title() for n in NEEDLES]}, "keyword": NEEDLES}
+NEEDLES_SQL = """
+WITH n AS (SELECT chr(97 + (i * 593 // 456976 % 26)::INT) || chr(97 + (i * 593 // 17576 % 26)::INT) || chr(97 + (i * 593 // 676 % 26)::INT)
+    || chr(97 + (i * 593 // 26 % 26)::INT) || chr(97 + (i * 593 % 26)::INT) AS w FROM range(20000) AS r(i))
+SELECT doc_id, EXISTS (SELECT 1 FROM n WHERE contains(lower(text), w)) AS listed,
+  EXISTS (SELECT 1 FROM n WHERE contains(text, upper(w[1]) || w[2:])) AS cased,
+  EXISTS (SELECT 1 FROM n WHERE contains(lower(text), w) OR contains(lower(lang), w) OR contains(lower(source), w)) AS keyword
+FROM documents
+"""
+
+#: 500 patterns of one field: a call number and a word from the needles, in any case.
+MANY_TESTS = {"any": {"text|re": [rf"{n[:4]}\w*\s+\w" for n in NEEDLES[::40]]}}
+MANY_SQL = """
+SELECT doc_id, regexp_matches(text, '(' || (SELECT string_agg(chr(97 + (i * 593 // 456976 % 26)::INT) || chr(97 + (i * 593 // 17576 % 26)::INT)
+    || chr(97 + (i * 593 // 676 % 26)::INT) || chr(97 + (i * 593 // 26 % 26)::INT), '|') FROM range(0, 20000, 40) AS r(i))
+    || ')[\\pL\\pN\\pM_]*[ \\t\\n\\r\\f\\v]+[\\pL\\pN_]', 'i') AS "any"
+FROM documents
+"""
+
+
 VALUE_LIST_SQL = """
 SELECT event_id, (event_id % 7 = 0 AND event_id < 140000) OR event_id % 100 = 99 AS listed FROM events
 """
@@ -402,6 +423,8 @@ RULE_ERRORS_SQL = with_events(
 
 QUERIES = {
     "pred_regex_braces": Query(pred_regex_braces, BRACE_SQL),
+    "pred_needles": Query(over("documents", "doc_id", NEEDLE_TESTS, ("text", "lang", "source")), NEEDLES_SQL),
+    "pred_regex_many": Query(over("documents", "doc_id", MANY_TESTS, ("text",)), MANY_SQL),
     "pred_value_list": Query(pred_value_list, VALUE_LIST_SQL),
     "pred_cidr6": Query(pred_cidr6, CIDR6_SQL),
     "rule_errors": Query(rule_errors_found, RULE_ERRORS_SQL),

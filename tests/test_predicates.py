@@ -227,3 +227,52 @@ def test_bad_conditions(spark, text):
 
 def test_used_selections():
     assert used_selections("1 of sel*", NAMES) == {"sel_a", "sel_b"}
+
+
+def test_long_lists_find_what_single_needles_find(spark, monkeypatch):
+    """Needle lists, keyword lists and pattern lists against one predicate per member; scalars, lists, nulls, odd letters."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from proofgrid.functions.fields import EventFields
+    from proofgrid.functions import predicates
+    from proofgrid.functions.predicates import any_of, selection
+
+    monkeypatch.setattr(predicates, "LIST_SIZE", 8)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abkKsiİſé.*") for _ in range(n))
+    rows = [(i, word(12), [word(5), None, word(9)], "x" if i % 3 else None) for i in range(150)] + [(150, None, None, None), (151, "", [], "")]
+    df = spark.createDataFrame(rows, "id int, text string, many array<string>, other string")
+    fields = EventFields.of(df, columns=["text", "many", "other"])
+    needles = [word(rng.choice((2, 3))).replace("*", "?" if i % 9 == 0 else "b") for i in range(14)]
+    patterns = [rf"{n}[a-z]?" if i % 5 else rf"(?:{n}|b.k)+" for i, n in enumerate(w.replace("?", "") for w in needles)]
+    for field in ("text", "many", "other"):
+        for way, values in (("contains", needles), ("contains|cased", needles), ("re", patterns)):
+            one = any_of([selection(fields, {f"{field}|{way}": v}) for v in values])
+            got = df.select("id", selection(fields, {f"{field}|{way}": values}).alias("all"), one.alias("one")).collect()
+            assert [r["all"] for r in got] == [r["one"] for r in got], (field, way)
+            assert field == "other" or {r["all"] for r in got} == {True, False}
+    one = any_of([selection(fields, n) for n in needles])
+    got = df.select(selection(fields, needles).alias("all"), one.alias("one")).collect()
+    assert [r["all"] for r in got] == [r["one"] for r in got] and {r["all"] for r in got} == {True, False}
+    assert df.filter(selection(fields, {"text|contains": [*needles, ""]})).count() == df.filter(F.col("text").isNotNull()).count()
+
+
+def test_texts_that_patterns_need():
+    from proofgrid.functions.literals import required_texts
+
+    table = {
+        "COPYRIGHT|LICEN[CS]E": ("copyr", "cen"),
+        r"https?://": ("http",),
+        r"^\s*(?:foo)bar\d+": ("foobar",),
+        r"(abc)+x": ("abc",),
+        r"(abc)*": (),
+        r"a|\d": (),
+        r"(?P<q>['\"]).*(?P=q)": (),
+        r"(?-i:ABC)d": ("d",),
+        "k": (),
+        "[": (),
+        r"x{0,3}yy?": ("y",),
+    }
+    assert {p: required_texts(p) for p in table} == table
