@@ -239,21 +239,83 @@ WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAM
 """
 
 
-def store_stats(spark, sf_dir):
-    """Rows, oldest and newest time of the event and order tables."""
-    def line(name: str, column: str) -> DataFrame:
-        at = F.unix_micros(F.col(column).cast("timestamp"))
-        return table(spark, sf_dir, name).agg(
-            F.count(F.lit(1)).alias("rows"), F.min(at).alias("oldest"), F.max(at).alias("newest")
-        ).select(F.lit(name).alias("table"), "*")
+def saved_orders(spark: SparkSession, sf_dir: str) -> RunStore:
+    """A store of three runs, one per order status: orders are cases, line items their evidence and techniques.
 
-    return line("events", "ts").unionByName(line("orders", "o_orderdate")).unionByName(line("lineitem", "l_shipdate"))
+    The run of status P is saved twice, first with fewer cases.
+    """
+    store = RunStore(spark, f"{shared_folder(spark).rstrip('/')}/proofgrid/{uuid.uuid4().hex}")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    key = F.col("o_orderkey").cast("string").alias("case_id")
+
+    def save(status: str, day: int, kept: Column) -> None:
+        rows = orders.filter((F.col("o_orderstatus") == status) & kept)
+        of = lines.join(rows, F.col("l_orderkey") == F.col("o_orderkey"))
+        started = F.lit(f"2026-01-{day:02} 10:00:00").cast("timestamp")
+        store.save(status, f"2026-01-{day:02}", {
+            "runs": spark.range(1).select(F.lit(status).alias("profile"), started.alias("started_at")),
+            "cases": rows.select(key, F.col("o_orderpriority").alias("test_id"), F.col("o_totalprice").alias("price")),
+            "case_attack": of.select(key, F.concat(F.lit("T"), F.col("l_linenumber").cast("string")).alias("technique"), F.col("l_returnflag").alias("tactic")),
+            "evidence": of.filter("l_linenumber <= 2").select(key, (F.col("l_linenumber") - 1).alias("ordinal"), F.col("l_quantity").cast("string").alias("document")),
+            "emulations": rows.groupBy(F.col("o_orderpriority").alias("test_id")).agg(F.max("o_orderkey").alias("last")),
+        })
+
+    save("P", 9, F.col("o_orderkey") % 2 == 0)
+    for day, status in enumerate("FOP", 1):
+        save(status, day, F.lit(True))
+    return store
+
+
+def store_load_cases(spark, sf_dir):
+    """The cases of one stored run with techniques, evidence and emulation."""
+    loaded = saved_orders(spark, sf_dir).load_cases("P")
+    return loaded.select(
+        "case_id",
+        "price",
+        F.array_join(F.transform("attack", lambda a: F.concat_ws("/", a["technique"], a["tactic"])), ",").alias("attack"),
+        F.array_join(F.transform("evidence", lambda e: F.concat_ws("=", e["ordinal"].cast("string"), e["document"].cast("double").cast("int").cast("string"))), ",").alias("evidence"),
+        F.col("emulation.last").alias("last"),
+        F.date_format("run_date", "yyyy-MM-dd").alias("run_date"),
+    )
 
 
-STATS_SQL = " UNION ALL ".join(
-    f"SELECT '{t}' AS \"table\", count(*) AS rows, epoch_us(min({c})) AS oldest, epoch_us(max({c})) AS newest FROM {t}"
-    for t, c in (("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_shipdate"))
-)
+LOAD_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS case_id, o_totalprice AS price,
+  (SELECT string_agg('T' || l_linenumber || '/' || l_returnflag, ',' ORDER BY 'T' || l_linenumber, l_returnflag) FROM lineitem WHERE l_orderkey = o_orderkey) AS attack,
+  (SELECT string_agg((l_linenumber - 1) || '=' || CAST(l_quantity AS INT), ',' ORDER BY l_linenumber, CAST(CAST(l_quantity AS INT) AS VARCHAR)) FROM lineitem
+   WHERE l_orderkey = o_orderkey AND l_linenumber <= 2) AS evidence,
+  max(o_orderkey) OVER (PARTITION BY o_orderpriority) AS last, '2026-01-03' AS run_date
+FROM orders WHERE o_orderstatus = 'P'
+"""
+
+
+def store_prune(spark, sf_dir):
+    """What is left, table by table and run by run, when the first run is pruned."""
+    store = saved_orders(spark, sf_dir)
+    store.prune(F.lit("2026-01-02").cast("timestamp"))
+    parts = [store.read(t).groupBy("run_id").agg(F.count("*").alias("rows")).select(F.lit(t).alias("part"), "*") for t in ("runs", "cases", "case_attack", "evidence")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_STORED = """WITH c AS (SELECT o_orderstatus AS run_id, o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')),
+l AS (SELECT run_id, l_linenumber FROM c JOIN lineitem ON l_orderkey = o_orderkey),
+t AS (SELECT 'runs' AS part, x AS run_id, 1 AS rows FROM (VALUES ('F'), ('O'), ('P')) v(x)
+  UNION ALL SELECT 'cases', run_id, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'case_attack', run_id, count(*) FROM l GROUP BY 2
+  UNION ALL SELECT 'evidence', run_id, count(*) FROM l WHERE l_linenumber <= 2 GROUP BY 2)
+"""
+STORE_PRUNE_SQL = _STORED + "SELECT part, run_id, CAST(rows AS BIGINT) AS rows FROM t WHERE run_id <> 'F'"
+
+
+def store_stats(spark, sf_dir):
+    """Rows, oldest and newest run of every stored table but the emulations."""
+    found = saved_orders(spark, sf_dir).stats().filter("table <> 'emulations'")
+    return found.select("table", "rows", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("oldest", "newest")])
+
+
+STATS_SQL = _STORED + """
+SELECT part AS "table", CAST(sum(rows) AS BIGINT) AS rows, min('2026-01-0' || position(run_id IN 'FOP')) AS oldest,
+  max('2026-01-0' || position(run_id IN 'FOP')) AS newest FROM t GROUP BY 1"""
 
 
 def store_round_trip(spark, sf_dir):
@@ -406,6 +468,8 @@ QUERIES = {
     "daily_volume": Query(daily_volume, VOLUME_SQL),
     "overdue_reviews": Query(overdue_reviews, OVERDUE_SQL),
     "retention_prune": Query(retention_prune, PRUNE_SQL),
+    "store_load_cases": Query(store_load_cases, LOAD_SQL),
+    "store_prune": Query(store_prune, STORE_PRUNE_SQL),
     "store_stats": Query(store_stats, STATS_SQL),
     "scalar_keys": Query(scalar_keys, SCALAR_SQL),
 }

@@ -1,13 +1,16 @@
-"""The run history as Parquet tables partitioned by run date and run.
+"""The run history as Parquet tables, with a manifest that says which version of a run holds.
 
-Saving a run replaces that run's partitions and touches no other. Reads name a run or a
-date and are pruned to its folders.
+Saving writes a new version of the run beside all others, under folders of its own, and appends one row to the manifest
+last. Spark moves that row's file into place in one step, so a save that dies half-way has changed nothing and readers see
+either the whole old version or the whole new one. What no version holds is deleted afterwards.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+import time
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +24,16 @@ from proofgrid.operators.gates import run_passed
 TABLES = (
     "runs", "cases", "case_attack", "evidence", "emulations", "coverage_snapshots", "findings", "rule_snapshots",
 )
-PARTITIONS = ("run_date", "run_id")
+PARTITIONS = ("run_date", "run_key", "version")
+MANIFEST = "manifest"
+MANIFEST_SCHEMA = "run_id string, version string, saved_us bigint"
+#: Seconds after which a version that no manifest row names counts as left by a save that died.
+ABANDONED = 86_400.0
+
+
+def _run_key(run_id: Column) -> Column:
+    """The folder of a run; the word in front keeps ids that look like numbers or dates as they are."""
+    return F.concat(F.lit("run "), run_id)
 
 
 @dataclass(frozen=True)
@@ -30,33 +42,73 @@ class RunStore:
     root: str
 
     def path(self, table: str) -> str:
-        if table not in TABLES:
+        if table not in (*TABLES, MANIFEST):
             raise ValueError(f"unknown table {table!r}")
         return f"{self.root.rstrip('/')}/{table}"
 
     def save(self, run_id: str, started_at: str, tables: Mapping[str, DataFrame]) -> None:
-        """Write a run's tables in place of an earlier version of the same run.
+        """Put a run's tables in place of an earlier version of the same run, all at once.
 
-        Its old rows go from every table and from under any date, also where the new version has none. The `runs` row is
-        taken away first and written last: readers that start from it never see half a run.
+        Readers see the old version, also where the new one has no rows or another date, until everything is written.
         """
-        for name in TABLES:
-            for folder in self._folders(name, run_id):
-                self._delete(folder)
-        for name, df in sorted(tables.items(), key=lambda item: item[0] == "runs"):
-            tagged = df.drop(*PARTITIONS).withColumns(
-                {"run_date": F.to_date(F.lit(started_at).cast("timestamp")), "run_id": F.lit(run_id)}
-            )
-            (
-                tagged.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(*PARTITIONS)
-                .parquet(self.path(name))
+        version = f"v{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            tagged = df.drop("run_id", *PARTITIONS).withColumns(
+                {
+                    "run_id": F.lit(run_id),
+                    "run_date": F.to_date(F.lit(started_at).cast("timestamp")),
+                    "run_key": _run_key(F.lit(run_id)),
+                    "version": F.lit(version),
+                }
             )
+            tagged.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path(name))
+        self._record([(run_id, version)])
+        self.vacuum([run_id])
+
+    def _record(self, rows: list[tuple[str, str | None]]) -> None:
+        """Append what now holds, as one file; a run without a version is gone."""
+        last = self._manifest().agg(F.max("saved_us")).first()[0] or 0
+        now = max(last + 1, time.time_ns() // 1000)
+        entries = self.spark.createDataFrame([(run, version, now) for run, version in rows], MANIFEST_SCHEMA)
+        entries.coalesce(1).write.mode("append").parquet(self.path(MANIFEST))
+
+    def _manifest(self) -> DataFrame:
+        """All rows of the manifest: a few for each run ever saved."""
+        if not self._exists(MANIFEST):
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(self.path(MANIFEST))
+
+    def live(self) -> DataFrame:
+        """run_id and version of every run that is there."""
+        latest = F.max_by("version", F.struct("saved_us", "version"))
+        return self._manifest().groupBy("run_id").agg(latest.alias("version")).filter(F.col("version").isNotNull())
 
     def read(self, table: str, run_id: str | None = None) -> DataFrame:
-        df = self.spark.read.parquet(self.path(table)).withColumn("run_id", F.col("run_id").cast("string"))
-        return df if run_id is None else df.filter(F.col("run_id") == run_id)
+        """The rows of all runs, or of one, whose folder alone is then read."""
+        df = self.spark.read.parquet(self.path(table))
+        if run_id is not None:
+            row = self.live().filter(F.col("run_id") == run_id).first()
+            here = F.lit(False) if row is None else (F.col("run_key") == f"run {run_id}") & (F.col("version") == row["version"])
+            return df.filter(here).drop("run_key", "version")
+        return df.join(self.live().select("version"), "version", "left_semi").drop("run_key", "version")
+
+    def vacuum(self, run_ids: Sequence[str] | None = None, abandoned_s: float = ABANDONED) -> int:
+        """Delete the versions that newer ones replaced, or whose run is gone, and what saves left that died long ago.
+
+        Returns the number of folders deleted. A version that no manifest row names may still be being written; it goes
+        when it is older than `abandoned_s`.
+        """
+        rows = self._manifest() if run_ids is None else self._manifest().filter(F.col("run_id").isin(*run_ids))
+        named = {r["version"] for r in rows.select("version").distinct().collect()}
+        held = {r["version"] for r in self.live().collect()}
+        before, gone = (time.time() - abandoned_s) * 1000, 0
+        for table in TABLES:
+            for folder, changed in self._folders(table, run_ids):
+                version = folder.rpartition("version=")[2]
+                if version not in held and (version in named or changed < before):
+                    self._delete(folder)
+                    gone += 1
+        return gone
 
     def load_cases(self, run_id: str) -> DataFrame:
         """A run's cases with their techniques, evidence and emulation. The lists are small:
@@ -115,30 +167,28 @@ class RunStore:
         return out
 
     def prune(self, cutoff: Column) -> list[str]:
-        """Delete the folders of runs that started before the cutoff, in every table."""
-        old = [
-            (r["run_date"], r["run_id"])
-            for r in self.read("runs").filter(F.col("started_at") < cutoff).select(*PARTITIONS).distinct().collect()
-        ]
-        for table in TABLES:
-            for _, run_id in old:
-                for folder in self._folders(table, run_id):
-                    self._delete(folder)
-        return sorted(run_id for _, run_id in old)
+        """Take away the runs that started before the cutoff, from every table at once; then delete their folders."""
+        old = [r["run_id"] for r in self.read("runs").filter(F.col("started_at") < cutoff).select("run_id").distinct().collect()]
+        if old:
+            self._record([(run_id, None) for run_id in old])
+            self.vacuum(old)
+        return sorted(old)
 
     def _filesystem(self, path: str):
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def _folders(self, table: str, run_id: str) -> list[str]:
-        """The partitions of a run, whatever date it was saved under."""
+    def _folders(self, table: str, run_ids: Sequence[str] | None) -> list[tuple[str, int]]:
+        """The folders of all versions of some runs (or all), under any date, and when each was changed (ms)."""
         jvm = self.spark.sparkContext._jvm
         files, _ = self._filesystem(self.path(table))
-        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
-        literal = re.sub(r"([\\*?\[\]{}^])", r"\\\1", escaped)
-        found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/run_date=*/run_id={literal}"))
-        return [status.getPath().toString() for status in found or []]
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        keys = ["*"] if run_ids is None else [re.sub(r"([\\*?\[\]{}^])", r"\\\1", escape(f"run {run}")) for run in run_ids]
+        found = []
+        for key in keys:
+            found += files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/run_date=*/run_key={key}/version=*")) or []
+        return [(status.getPath().toString(), status.getModificationTime()) for status in found]
 
     def _exists(self, table: str) -> bool:
         files, target = self._filesystem(self.path(table))

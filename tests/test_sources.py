@@ -261,5 +261,30 @@ def test_store(spark, tmp_path):
     assert store.history().count() == 6
     assert store.prune(F.lit("2026-01-02 12:00:00").cast("timestamp")) == ["r1", "r2"]
     assert store.read("cases").count() == 2 and store.read("runs").count() == 1 and store.read("evidence").count() == 1
+    folders = [p for p in (tmp_path / "history").rglob("version=*") if "manifest" not in p.parts]
+    assert {p.parent.name for p in folders} == {"run_key=run r3"}
     write_run_document(str(tmp_path / "doc"), {"run": store.read("runs"), "results": store.load_cases("r3")})
     assert spark.read.json(str(tmp_path / "doc" / "results")).count() == 2
+
+
+def test_a_save_that_dies_changes_nothing(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "history"))
+    rows = lambda n, at: spark.range(n).select(F.col("id").cast("string").alias("case_id"), F.lit(at).cast("timestamp").alias("started_at"))
+    seen = lambda: {t: sorted((r["run_id"], r["case_id"]) for r in store.read(t).collect()) for t in ("runs", "cases")}
+    store.save("007", "2026-01-01", {"runs": rows(1, "2026-01-01"), "cases": rows(3, "2026-01-01")})
+    store.save("7", "2026-01-02", {"runs": rows(1, "2026-01-02"), "cases": rows(2, "2026-01-02")})
+    before = seen()
+    assert before["runs"] == [("007", "0"), ("7", "0")]
+    broken = rows(9, "2026-03-01").withColumn("case_id", F.when(F.col("case_id") == "8", F.raise_error(F.lit("lost"))).otherwise(F.col("case_id")))
+    for tables in ({"cases": rows(5, "2026-03-01"), "runs": broken}, {"runs": rows(1, "2026-03-01"), "cases": broken}):
+        with pytest.raises(Exception, match="lost"):
+            store.save("007", "2026-03-01", tables)
+        assert seen() == before and store.read("cases", "007").count() == 3
+    # What the dead saves left is kept while it may still be written, and then goes.
+    assert store.vacuum() == 0
+    assert store.vacuum(abandoned_s=-1) == 2 and seen() == before
+    store.save("007", "2026-01-05", {"runs": rows(1, "2026-01-05"), "cases": rows(4, "2026-01-05")})
+    assert store.read("cases", "007").count() == 4 and store.read("cases", "none").count() == 0
+    assert store.prune(F.lit("2026-01-03").cast("timestamp")) == ["7"]
+    assert seen() == {"runs": [("007", "0")], "cases": [("007", str(i)) for i in range(4)]}
+    assert not list((tmp_path / "history").rglob("run_key=run 7/version=*"))
