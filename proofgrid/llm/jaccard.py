@@ -6,8 +6,9 @@ the rest of the work is on those classes alone. Each one's shortest inverted lis
 them that any partner must appear in one; its long lists are never merged but probed by binary search in
 the candidate's shingles (DivideSkip), until the overlap decides.
 
-Pairs inside a large group are not all made: members are first checked against one member of their lists, the one whose shingles the most others
-hold, and only what connected components leave apart is checked pair by pair.
+Pairs inside a large group are not all made: members are first checked against one member of their lists, the one whose
+shingles the most others hold. What connected components leave apart meets by list and size, inside the length and
+positional bounds, and is checked pair by pair.
 
 Shingles are 64-bit hashes; a class goes by the first 64 bits of the digest of its set.
 """
@@ -32,7 +33,7 @@ SHINGLE = 5
 #: Similar: PERCENT of the union is shared.
 PERCENT = 80
 #: Postings per bucket of the inverted index; the number of buckets follows the input.
-BUCKET_POSTINGS = 6_000_000
+BUCKET_POSTINGS = 1_500_000
 #: Postings that a map task gathers before it hands them out, and texts per step.
 BATCH_POSTINGS = 2_000_000
 BATCH_TEXTS = 60_000
@@ -41,6 +42,8 @@ KEY_BITS = 40
 #: Rounds in which list members are checked against one of them, and the mean list length from which pairs are cheaper.
 STAR_ROUNDS = 4
 SMALL_LISTS = 8
+#: Ratio of the sizes that fall into one bin when pairs are made.
+BIN_RATIO = 1.02
 LAST_ID = 2**63 - 1
 ENTRY = np.dtype([("key", "<u8"), ("df", "<u4")])
 
@@ -324,16 +327,35 @@ def class_labels(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
         size, squares = apart.agg(F.sum("size"), F.sum(F.col("size") * F.col("size"))).first()
         if not size:
             return labels if labels is not None else lists.sparkSession.createDataFrame([], "ref long, c long")
+        # Lists that are done, or that one class holds, are gone from here on.
+        some = cut_lineage(named.join(apart.select("key"), "key", "left_semi"))
         if squares <= SMALL_LISTS * size or turn == STAR_ROUNDS - 1:
             break
-        pairs = named.withColumnRenamed("ref", "a").join(apart, "key").select("a", "n", "rest", "c", "star.*").where(fits)
+        lists = some.drop("c")
+        pairs = some.withColumnRenamed("ref", "a").join(apart, "key").select("a", "n", "rest", "c", "star.*").where(fits)
         pairs = pairs.groupBy("a", "b", "c", "d").agg(F.count("*").alias("lists"))
         pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "c", "d"), F.struct("lists", "b")).alias("p")).select("a", "p.*")
         labels = _joined(labels, _verified(pairs, near))
-    some = cut_lineage(named.join(apart.select("key"), "key", "left_semi"))
-    other = some.select("key", F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("rest").alias("s"))
-    rest = some.withColumnRenamed("ref", "a").join(other, "key").where(fits & (F.col("a") < F.col("b"))).select("a", "b", "c", "d").distinct()
-    return _joined(labels, _verified(cut_lineage(rest), near))
+    return _joined(labels, _verified(cut_lineage(_candidates(some, fits)), near))
+
+
+def _candidates(lists: DataFrame, fits) -> DataFrame:
+    """(a, b, c, d): pairs of members of a list that may be similar, the larger one first.
+
+    The length bound and the positional bound give each member an interval of sizes for its smaller partners; members meet
+    by list and bin of sizes, so a list isn't joined with itself. Members whose key comes late in their order have little
+    or nothing left of the interval.
+    """
+    size_bin = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(BIN_RATIO))).cast("int")
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    most = F.least(F.col("n"), F.floor((100 + PERCENT) * F.col("rest") / PERCENT) - F.col("n"))
+    larger = lists.where(least <= most).select(
+        F.col("key").alias("k"), F.col("ref").alias("a"), "n", "rest", "c", F.explode(F.sequence(size_bin(least), size_bin(most))).alias("bin")
+    )
+    smaller = lists.select("key", size_bin(F.col("n")).alias("of"), F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("rest").alias("s"))
+    ordered = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    met = larger.join(smaller, (F.col("k") == F.col("key")) & (F.col("bin") == F.col("of")) & ordered & fits)
+    return met.select("a", "b", "c", "d").distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

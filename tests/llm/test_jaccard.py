@@ -118,3 +118,21 @@ def test_the_index_keeps_all_bits():
     batch = jaccard._packed([5, -6], [keys[:2], keys[1:]], 8)
     found = [tuple(zip(*(x.tolist() for x in jaccard._whole_keys(b.as_py())), strict=True)) for b in batch.column("data")]
     assert sorted(p for part in found for p in part) == sorted([(int(k), 5) for k in keys[:2]] + [(int(k), -6) for k in keys[1:]])
+
+
+def test_one_template_around_the_threshold(spark, monkeypatch):
+    """Many texts of one template, pairwise just under, at or just over the threshold; in stars and pair by pair."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(97)]
+    docs = []
+    for i in range(700):
+        words = base[: rng.randrange(86, 98)]
+        for _ in range(rng.choice((1, 1, 1, 2))):
+            words[rng.randrange(5, len(words) - 5)] = f"x{i}" if rng.random() < 0.8 else f"y{i % 40}"
+        docs.append((i, " ".join(words)))
+    want = brute(docs)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_components(table).drop("th").collect()), key=str) == want
+    assert 3 < len({r[2] for r in want}) < 700
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    assert sorted(map(tuple, jaccard.jaccard_components(table).drop("th").collect()), key=str) == want
