@@ -160,8 +160,9 @@ def _whole_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return low + (high << np.uint64(KEY_BITS)), refs
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each text, its keys that other texts hold too, with the number of texts."""
+def _shared(table: pa.Table, slots: int) -> pa.Table:
+    """Of one bucket: for each text, its keys that other texts hold too, with the number of texts. Texts are dealt to slots
+    by their reference; a slot's share is one row: the references, how many keys each has, and the keys."""
     parts = [_whole_keys(x.as_buffer().to_pybytes()) for x in table.column("data")]
     key, ref = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
@@ -182,18 +183,37 @@ def _shared(table: pa.Table) -> pa.Table:
     entries["key"] = key[keep]
     entries["df"] = df[keep]
     ref = ref[keep]
+    slot = (ref.view(np.uint64) % np.uint64(slots)).astype(np.int64)
+    order = np.lexsort((ref, slot))
+    entries, ref, slot = entries[order], ref[order], slot[order]
+    which, starts = np.unique(slot, return_index=True)
+    data = []
+    for i, j in zip(starts, np.append(starts, len(ref))[1:], strict=True):
+        names, counts = np.unique(ref[i:j], return_counts=True)
+        data.append(np.array([len(names)], "<u4").tobytes() + names.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + entries[i:j].tobytes())
+    return pa.table({"slot": pa.array(which, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """Of one slot: every text with all its keys that others hold."""
+    refs, entries = [], []
+    for row in table.column("data"):
+        data = row.as_buffer()
+        m = int(np.frombuffer(data, "<u4", 1)[0])
+        counts = np.frombuffer(data, "<u4", m, 4 + 8 * m)
+        refs.append(np.repeat(np.frombuffer(data, "<i8", m, 4), counts))
+        entries.append(np.frombuffer(data, ENTRY, offset=4 + 12 * m))
+    ref, entry = np.concatenate(refs), np.concatenate(entries)
     order = np.argsort(ref, kind="stable")
-    entries, ref = entries[order], ref[order]
-    refs, starts = np.unique(ref, return_index=True)
+    ref, entry = ref[order], entry[order]
+    names, starts = np.unique(ref, return_index=True)
     ends = np.append(starts, len(ref))
-    data = pa.Array.from_buffers(
-        pa.binary(), len(refs), [None, pa.py_buffer((ends * ENTRY.itemsize).astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())]
-    )
-    return pa.table({"ref": pa.array(refs, pa.int64()), "held": pa.array(np.diff(ends), pa.int64()), "data": data})
+    buffers = [None, pa.py_buffer((ends * ENTRY.itemsize).astype(np.int32).tobytes()), pa.py_buffer(entry.tobytes())]
+    return pa.table({"ref": pa.array(names, pa.int64()), "held": pa.array(np.diff(ends), pa.int64()), "keys": pa.Array.from_buffers(pa.binary(), len(names), buffers)})
 
 
-def _held(parts: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(b"".join(parts.as_py()), ENTRY)
+def _held(keys: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(keys.as_buffer(), ENTRY)
 
 
 def short_lists(n: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +258,7 @@ def _postings(classes: DataFrame) -> DataFrame:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
                 n = part.column("n").to_numpy(zero_copy_only=False)
-                held = [_held(p) for p in part.column("parts")]
+                held = [_held(p) for p in part.column("keys")]
                 found = [short_lists(int(k), h) for k, h in zip(n, held, strict=True)]
                 count = [len(keys) for keys, _ in found]
                 mass = np.array([float(h["df"].sum()) for h in held]) / n
@@ -253,7 +273,7 @@ def _postings(classes: DataFrame) -> DataFrame:
                     names=["key", "ref", "n", "rest", "mass"],
                 )
 
-    return classes.select("ref", "n", "parts").mapInArrow(batches, "key long, ref long, n long, rest long, mass double")
+    return classes.select("ref", "n", "keys").mapInArrow(batches, "key long, ref long, n long, rest long, mass double")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -268,8 +288,8 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("c").filter(mask), batch.column("d").filter(mask)], names=["c", "d"])
 
-    mine = classes.select(F.col("ref").alias("a"), "n", F.col("parts").alias("p"))
-    theirs = classes.select(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("parts").alias("q"))
+    mine = classes.select(F.col("ref").alias("a"), "n", F.col("keys").alias("p"))
+    theirs = classes.select(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("keys").alias("q"))
     return pairs.select("a", "b", "c", "d").join(mine, "a").join(theirs, "b").drop("a", "b").mapInArrow(batches, "c long, d long")
 
 
@@ -306,10 +326,10 @@ def class_labels(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
             yield _packed([*seen], [*seen.values()], buckets)
 
     packed = docs.select(whole(F.col(text)).alias("t")).mapInArrow(index, "bucket int, data binary")
-    shared = packed.groupBy("bucket").applyInArrow(_shared, "ref long, held long, data binary")
-    whole_lists = shared.groupBy("ref").agg(F.sum("held").alias("held"), F.collect_list("data").alias("parts"))
+    shared = packed.groupBy("bucket").applyInArrow(lambda table: _shared(table, buckets), "slot int, data binary")
+    whole_lists = shared.groupBy("slot").applyInArrow(_gathered, "ref long, held long, keys binary")
     # T-occurrence: without so many shingles held elsewhere no partner can exist.
-    near = cut_lineage(whole_lists.join(classes, "ref").where(100 * F.col("held") >= PERCENT * F.col("n")).select("ref", "n", "parts"))
+    near = cut_lineage(whole_lists.join(classes, "ref").where(100 * F.col("held") >= PERCENT * F.col("n")).select("ref", "n", "keys"))
     lists = cut_lineage(_postings(near))
     # Length bound, and positional bound: no key before the first common one is common, so from it on both texts must have
     # as many keys as the overlap of a pair of their sizes needs.
