@@ -3,18 +3,22 @@
 Everything is a column expression on the row's own text, so a scan needs no shuffle. The entropy of a window follows
 from the one before by taking one character's count down and another's up; a candidate of a character class counts when its
 best window reaches the class's bits. The allow-list covers whole candidates (words, paths, UUIDs, dates) or stretches of them;
-a covered stretch counts as one repeated character, so it hides nothing beside it.
+a covered stretch counts as one repeated character, so it hides nothing beside it. What the rules find is blanked before candidates
+are looked for, so a rule's span hides nothing beside it either.
 """
 
 from __future__ import annotations
 
 import math
+import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.llm.texts import joined, whole
 
+NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
@@ -50,6 +54,15 @@ PLAIN = (
 #: Stands for each character of such a stretch; no candidate holds it.
 MASK = "~"
 
+#: Letters and digits of rule spans are replaced by their shadows, private-use characters that no candidate holds but that
+#: the next rule still reads as what they were.
+PLAIN_CHARS = string.ascii_letters + string.digits
+SHADOWS = "".join(chr(0xE000 + ord(c)) for c in PLAIN_CHARS)
+UPPER_SHADOWS, LOWER_SHADOWS, DIGIT_SHADOWS = (f"{chr(0xE000 + ord(a))}-{chr(0xE000 + ord(b))}" for a, b in ("AZ", "az", "09"))
+
+#: Running values are computed in blocks of this many, and again over the blocks, LEVELS deep.
+BLOCK, LEVELS = 64, 3
+
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, value) in code points; linear regular-expression passes."""
@@ -59,10 +72,64 @@ def matches(text: Column, pattern: str) -> Column:
     return steps
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed one time, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(numbers: Column, levels: int = LEVELS) -> Column:
+    """Sums of all numbers up to each one. An array can't grow in place, so only blocks grow, and their sums are summed likewise."""
+    grown = lambda part: F.aggregate(part, F.array(F.lit(0)), lambda run, n: F.array_append(run, F.element_at(run, -1) + n))
+    if levels == 0:
+        return F.slice(grown(numbers), 2, F.size(numbers))
+
+    def blocks(all_numbers: Column) -> Column:
+        count = F.ceil(F.size(all_numbers) / BLOCK).cast("int")
+        firsts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda b: grown(F.slice(all_numbers, b * BLOCK + 1, BLOCK)))
+
+    def together(parts: Column) -> Column:
+        totals = running_sums(F.transform(parts, lambda part: F.element_at(part, -1)), levels - 1)
+        # A block starts at the total of the one before.
+        shifted = F.zip_with(
+            parts, F.concat(F.array(F.lit(0)), totals), lambda part, lead: F.transform(F.slice(part, 2, BLOCK), lambda n: n + lead)
+        )
+        return F.flatten(F.filter(shifted, lambda part: part.isNotNull()))
+
+    return once(numbers, lambda held: once(blocks(held), together))
+
+
 def placed(steps: Column) -> Column:
     """Gaps and lengths to starts and ends."""
-    ends = F.aggregate(steps, F.array(F.lit(0)), lambda run, s: F.array_append(run, F.element_at(run, -1) + s["gap"] + s["n"]))
-    return F.zip_with(steps, F.slice(ends, 2, F.size(steps)), lambda s, end: F.struct((end - s["n"]).alias("start"), end.alias("end"), s["value"].alias("value")))
+    ends = running_sums(F.transform(steps, lambda s: s["gap"] + s["n"]))
+    return F.zip_with(steps, ends, lambda s, end: F.struct((end - s["n"]).alias("start"), end.alias("end"), s["value"].alias("value")))
+
+
+def shaded(text: Column) -> Column:
+    """The text with shadows for the letters and digits of rule spans: same length, and nothing of them is left to a candidate.
+
+    A later rule must meet what an earlier one has shaded as if it were untouched, since spans of two kinds may overlap. Only
+    an assignment shades other characters than letters and digits, so it comes last.
+    """
+
+    def replaced(value: Column, pattern: str, keep: Callable[[Column], Column] | None = None, rest: bool = False) -> Column:
+        shade = lambda m: F.translate(m, PLAIN_CHARS + ("+/_.=-" if rest else ""), SHADOWS + (SHADOWS[0] * 6 if rest else ""))
+        new = shade if keep is None else lambda m: F.when(keep(m), shade(m)).otherwise(m)
+        pieces = lambda v: F.zip_with(
+            F.split(v, pattern, -1), F.regexp_extract_all(v, F.lit(pattern), F.lit(0)), lambda gap, m: F.concat(gap, F.coalesce(new(m), F.lit("")))
+        )
+        return once(value, lambda v: F.array_join(pieces(v), ""))
+
+    def either(chars: str) -> str:
+        return "".join(f"[{''.join(x + chr(0xE000 + ord(x)) for x in (c.lower(), c.upper()))}]" if c.isalpha() else c for c in chars)
+
+    access = "".join(f"[{c}{chr(0xE000 + ord(c))}]" for c in "AKIA") + f"[A-Z0-9{UPPER_SHADOWS}{DIGIT_SHADOWS}]{{12,}}"
+    value = f"[A-Za-z0-9{UPPER_SHADOWS}{LOWER_SHADOWS}{DIGIT_SHADOWS}+/_.=-]+"
+    assign = rf"""(?:{"|".join(map(either, NAMES))})["']?\x20*[:=]\x20*["']?({value})"""
+    # A text that holds shadows of its own loses them: they are no part of any candidate.
+    clean = F.translate(text, SHADOWS, " " * len(SHADOWS))
+    long_enough = lambda m: F.length(F.regexp_extract(m, assign, 1)) >= VALUE_CHARS
+    return replaced(replaced(replaced(clean, HEX), access), assign, long_enough, rest=True)
 
 
 def entropy(value: Column, window: int = WINDOW) -> Column:
@@ -131,30 +198,31 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
     """All rows and columns with `out`, an array of (start, rank, end, kind) ordered by start, then kind.
 
     Offsets count code points, ends are exclusive. Rules (assign, access, hex) are leftmost and non-overlapping per kind;
-    entropy adds candidates that overlap none of theirs. Null and empty texts have no spans. Rows don't depend on each
-    other. A column named `out` is replaced.
+    entropy adds candidates of what the rules leave: a candidate that a rule's span cuts is judged piece by piece. Null and
+    empty texts have no spans. Rows don't depend on each other, and the work is linear in a text and its matches. A column
+    named `out` is replaced.
     """
     docs = docs.drop(out)
     clean = whole(F.col(text))
-    steps = {"assign": matches(clean, ASSIGN), "access": matches(clean, ACCESS), "hex": matches(clean, HEX), "entropy": matches(clean, CANDIDATE)}
-    rows = docs.select("*", *[s.alias(f"_{k}") for k, s in steps.items()])
+    steps = {"assign": matches(clean, ASSIGN), "access": matches(clean, ACCESS), "hex": matches(clean, HEX)}
+    rows = docs.select("*", clean.alias("_text"), *[s.alias(f"_{k}") for k, s in steps.items()])
 
-    def spans(kind: str, keep) -> Column:
+    def spans(kind: str, found: Column, keep: Callable[[Column], Column]) -> Column:
         rank = KINDS.index(kind)
-        found = F.filter(placed(F.col(f"_{kind}")), keep)
-        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+        kept = F.filter(placed(found), keep)
+        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
     rows = rows.select(
         *docs.columns,
-        "_entropy",
+        "_text",
         F.concat(
-            spans("assign", lambda m: F.length(F.regexp_extract(m["value"], ASSIGN, 2)) >= VALUE_CHARS),
-            spans("access", lambda m: F.lit(True)),
-            spans("hex", lambda m: F.lit(True)),
+            spans("assign", F.col("_assign"), lambda m: F.length(F.regexp_extract(m["value"], ASSIGN, 2)) >= VALUE_CHARS),
+            spans("access", F.col("_access"), lambda m: F.lit(True)),
+            spans("hex", F.col("_hex"), lambda m: F.lit(True)),
         ).alias("_base"),
     )
-    free = lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    added = spans("entropy", lambda m: free(m) & suspicious(m["value"]))
+    left = F.when(F.size("_base") > 0, shaded(F.col("_text"))).otherwise(F.col("_text"))
+    added = once(left, lambda rest: spans("entropy", matches(rest, CANDIDATE), lambda m: suspicious(m["value"])))
     return rows.select(*docs.columns, F.array_sort(F.concat("_base", added)).alias(out))
 
 

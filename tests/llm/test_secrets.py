@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+import random
 import re
+import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,5 +114,81 @@ def test_allowed_stretches_hide_nothing_beside_them(spark):
     assert {k.rstrip("=") for k in found} == {k.rstrip("=") for k in keys}
 
 
+def test_rule_spans_hide_nothing_beside_them(spark):
+    digest, key = "0123456789abcdef" * 2, "Xk29fLqP0vTz7RmW3yBnC8sDq4HjZ1cVb6NaEw5U"
+    texts = [
+        f"{digest}-{key}",
+        f"{key}_{digest}",
+        f"AKIAABCDEFGH1234{key.lower()}",
+        # What a digest shades is no part of an access key.
+        f"x oqlcnxrthjkwpvzfAKIA{'5eee7e917f55161f' * 2}",
+        # A digest whose last letter begins an assignment, and an access key whose last digits begin a digest.
+        f"{digest[:31]}api_key=abcdefgh",
+        f"AKIAABCDEFGHIJ12{digest} {key}",
+        "token=abcdefgh",
+        f"\ue041\ue061{key} {digest}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    parts = {i: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["secrets"]] for i, r in got.items()}
+    for i, r in got.items():
+        assert [tuple(s) for s in r["secrets"] if s["rank"] < 3] == base(texts[i])
+        spans = [(s["start"], s["end"]) for s in r["secrets"] if s["rank"] == 3]
+        assert not any(a < s["end"] and s["start"] < b for a, b in spans for s in r["secrets"] if s["rank"] < 3)
+    assert ("entropy", f"-{key}") in parts[0] and ("entropy", f"{key}_") in parts[1]
+    assert any(kind == "entropy" for kind, _ in parts[2])
+    assert ("entropy", "oqlcnxrthjkwpvzfAKIA") in parts[3] and ("hex", "5eee7e917f55161f" * 2) in parts[3]
+    assert [kind for kind, _ in parts[4]] == ["hex", "assign"]
+    assert ("entropy", key) in parts[5] and ("entropy", key) in parts[7]
+    assert [kind for kind, _ in parts[6]] == ["assign"]
+
+
+def test_entropy_spans_match_brute_force(spark):
+    def bits(w):
+        return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+
+    def random_looking(value):
+        if not re.search(secrets.NO_WORDS, value, re.ASCII) or any(re.search(p, value, re.ASCII) for p in secrets.ALLOWED):
+            return False
+        rest = re.sub(secrets.PLAIN, lambda m: secrets.MASK * len(m[0]), value.rstrip("="), flags=re.ASCII)
+        least = next(b for chars, b in secrets.CLASSES if re.fullmatch(chars, rest))
+        return max(bits(rest[i : i + secrets.WINDOW]) for i in range(len(rest) - secrets.WINDOW + 1)) >= least - 1e-9
+
+    rng = random.Random(7)
+    alphabets = ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJ0123456789-_", string.ascii_letters + string.digits + "+/", "ab")
+    token = lambda: "".join(rng.choices(rng.choice(alphabets), k=rng.randrange(4, 60)))
+    glue = (" ", "-", "_", "/", "=", "\n", "token=", "example", "AKIA", "word", "2024-01-01")
+    made = ["".join(token() + rng.choice(glue) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    seen = 0
+    for r in secrets.find_secrets(docs).collect():
+        text = r["text"] or ""
+        left = list(text)
+        for start, _, end, _ in base(text):
+            left[start:end] = "\n" * (end - start)
+        want = [(m.start(), 3, m.end(), "entropy") for m in re.finditer(secrets.CANDIDATE, "".join(left)) if random_looking(m[0])]
+        assert [tuple(s) for s in r["secrets"] if s["rank"] == 3] == want
+        seen += len(want)
+    assert seen > 300
+
+
+def test_work_is_linear_in_the_matches_of_one_text(spark):
+    runs = 30_000
+    text = "".join(f"{i:032x}-" for i in range(runs))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.monotonic()
+    row = secrets.find_secrets(docs).select("doc_id", F.size("secrets").alias("n"), F.element_at("secrets", -1).alias("last")).first()
+    assert row["n"] == runs and (row["last"]["start"], row["last"]["end"]) == (33 * (runs - 1), 33 * runs - 1)
+    assert time.monotonic() - begun < 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 4096, 4097, 9000])
+def test_running_sums(spark, n):
+    numbers = [i * 7 % 11 for i in range(n)]
+    got = spark.createDataFrame([(numbers,)], "x array<int>").select(secrets.running_sums(F.col("x"))).first()[0]
+    assert got == list(itertools.accumulate(numbers))
+
+
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
