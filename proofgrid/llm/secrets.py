@@ -80,8 +80,9 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
 def running_sums(numbers: Column, levels: int = LEVELS) -> Column:
     """Sums of all numbers up to each one. An array can't grow in place, so only blocks grow, and their sums are summed likewise."""
     grown = lambda part: F.aggregate(part, F.array(F.lit(0)), lambda run, n: F.array_append(run, F.element_at(run, -1) + n))
+    whole_run = lambda part: F.slice(grown(part), 2, F.size(part))
     if levels == 0:
-        return F.slice(grown(numbers), 2, F.size(numbers))
+        return whole_run(numbers)
 
     def blocks(all_numbers: Column) -> Column:
         count = F.ceil(F.size(all_numbers) / BLOCK).cast("int")
@@ -96,7 +97,8 @@ def running_sums(numbers: Column, levels: int = LEVELS) -> Column:
         )
         return F.flatten(F.filter(shifted, lambda part: part.isNotNull()))
 
-    return once(numbers, lambda held: once(blocks(held), together))
+    # One block needs no other level.
+    return once(numbers, lambda held: F.when(F.size(held) <= BLOCK, whole_run(held)).otherwise(once(blocks(held), together)))
 
 
 def placed(steps: Column) -> Column:
@@ -222,7 +224,8 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
         ).alias("_base"),
     )
     left = F.when(F.size("_base") > 0, shaded(F.col("_text"))).otherwise(F.col("_text"))
-    added = once(left, lambda rest: spans("entropy", matches(rest, CANDIDATE), lambda m: suspicious(m["value"])))
+    candidates = once(left, lambda rest: matches(rest, CANDIDATE))
+    added = once(candidates, lambda found: spans("entropy", found, lambda m: suspicious(m["value"])))
     return rows.select(*docs.columns, F.array_sort(F.concat("_base", added)).alias(out))
 
 
