@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofgrid.functions.fallible import Fallible
 from proofgrid.functions.needles import Guarded, Needles
 
 ARRAY_STEP = "[*]"
@@ -94,7 +95,7 @@ def _typed_item(column: Column, dtype: T.DataType) -> Item:
 
 def _any_of(values: Column, test: Callable[[Item], Column], item_of: Callable[[Column], Item]) -> Column:
     """Does a member of a list pass the test?"""
-    if isinstance(test, Needles):
+    if isinstance(test, (Needles, Fallible)):
         return test.among(F.transform(values, lambda x: _filled_text(item_of(x)).text))
     test = test.matcher if isinstance(test, Guarded) else test
     return F.exists(values, lambda x: test(_filled_text(item_of(x))))

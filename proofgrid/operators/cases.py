@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -58,6 +58,7 @@ def observe(
     result_cap: int | None = None,
     bucket_seconds: int = BUCKET_SECONDS,
     prune: bool = False,
+    errors: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add detection_hits, telemetry_hits, baseline_hits, first_us and truncation to cases.
 
@@ -67,7 +68,8 @@ def observe(
 
     Counts are exact. `result_cap` only sets the truncation flags that a capped search
     would have reported; nothing is dropped. `prune` reads only the time span the windows
-    cover, for cases that touch a small part of a long history.
+    cover, for cases that touch a small part of a long history. `errors` are the rules that
+    `measure_rules` left out: their cases get detection_error and no counts of hits.
     """
     keys = ["tag"] + (["owner"] if attribution else [])
     owner = {"owner": F.col(attribution)} if attribution else {}
@@ -84,7 +86,9 @@ def observe(
         return F.struct(*parts, *([key.alias("owner")] if attribution else []))
 
     own = owner.get("owner")
-    hit = code_of({r.name: f"hit:{r.name}" for r in ruleset.rules})
+    broken = errors or {}
+    hit = code_of({r.name: f"hit:{r.name}" for r in ruleset.rules if r.name not in broken})
+    probes = {name: key for name, key in probes.items() if name not in broken}
     asks = [
         ask("hit", hit, F.col("lo"), F.col("hi"), own),
         ask("probe", code_of(probes), F.col("lo"), F.col("hi"), own),
@@ -110,6 +114,9 @@ def observe(
         F.col("hits_noise").alias("baseline_hits"),
     )
     out = cases.join(seen, "case_id", "left")
+    if broken:
+        reasons = F.create_map(*[F.lit(part) for pair in broken.items() for part in pair])
+        out = out.withColumn("detection_error", F.try_element_at(reasons, F.col("rule")))
     over = (
         (lambda c: F.coalesce(F.col(c) > result_cap, F.lit(False)))
         if result_cap is not None

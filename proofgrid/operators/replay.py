@@ -31,7 +31,7 @@ def replay(
 
     `events` has test_id, offset_s and doc; `tests` test_id and duration_s. Every test is
     anchored at the start; attribution keeps the tests apart. The quiet window ends where
-    the tests begin.
+    the tests begin. Cases of a rule that can't be evaluated come out as errors with the reason.
     """
     quiet_us = started_us - int(quiet * 1e6)
     emulations = tests.select(
@@ -39,11 +39,12 @@ def replay(
     )
     anchors = emulations.select("test_id", F.col("started_us").alias("anchor_us"))
     timeline = rebase(events, anchors, F.lit(quiet_us))
-    marked = measure_rules(timeline, ruleset, fields, ["test_id", "us"])
+    errors: dict[str, str] = {}
+    marked = measure_rules(timeline, ruleset, fields, ["test_id", "us"], errors)
     cases = plan_cases(ruleset.table(events.sparkSession), tests, wanted_tests).join(emulations, "test_id", "left")
     lo, hi = search_window(F.col("started_us"), F.col("finished_us"), F.col("max_latency"), pre, post)
     cases = cases.withColumns({"lo": lo, "hi": hi})
     baseline = Baseline(F.lit(quiet_us), F.lit(started_us), F.lit(V.BASELINE_TEST))
-    seen = observe(cases, marked, ruleset, baseline, "test_id", result_cap)
+    seen = observe(cases, marked, ruleset, baseline, "test_id", result_cap, errors=errors)
     replayed = seen.withColumns({"mode": F.lit("replay"), "executed": F.lit(False)})
     return classify(replayed, strict_compat)

@@ -118,10 +118,10 @@ CASE_COLUMNS = (
 )
 
 
-def rule_structs() -> "F.Column":
+def rule_structs(ruleset: Ruleset = RULES) -> "F.Column":
     """The library as an array of structs for `inline`; it is as small as the plan itself."""
     parts = []
-    for r in RULES.rules:
+    for r in ruleset.rules:
         attack = F.array(
             *[
                 F.struct(F.lit(t).alias("technique"), F.lit(tac).cast("string").alias("tactic"))
@@ -142,12 +142,12 @@ def rule_structs() -> "F.Column":
     return F.array(*parts)
 
 
-def planned(events: DataFrame) -> DataFrame:
+def planned(events: DataFrame, ruleset: Ruleset = RULES) -> DataFrame:
     """Cases: every rule against every signup, with its search window and quiet window."""
     tests = events.filter(F.col("event_type") == "signup").select(
         F.col("event_id").alias("signup_id"), "user_id", F.col("us").alias("started_us")
     )
-    cases = tests.select("*", F.inline(rule_structs()))
+    cases = tests.select("*", F.inline(rule_structs(ruleset)))
     lo, hi = search_window(F.col("started_us"), F.col("started_us"), F.col("max_latency"))
     return cases.select(
         F.concat_ws("/", "rule", "signup_id").alias("case_id"),
