@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,13 @@ from pyspark.sql import types as T
 
 from proofgrid.functions.fallible import Fallible
 from proofgrid.functions.needles import Guarded, Needles
+from proofgrid.session import cut_lineage
 
 ARRAY_STEP = "[*]"
+# Fixed value: a name is looked for under at most so many keys. Dotted paths may be longer.
 MAX_KEYS = 7
+#: Levels of objects and lists that one pass of `discover_paths` opens.
+LEVELS = 8
 WHITESPACE = " \t\n\r\f\x0b"
 
 # The numeric spellings accepted from text: a decimal with optional digit grouping by
@@ -309,26 +314,54 @@ def json_path(path: tuple[str, ...]) -> str:
     )
 
 
-def discover_paths(df: DataFrame, document: str) -> list[tuple[str, ...]]:
-    """Every key path that occurs in a VARIANT column, from one pass over the data.
-
-    Each step opens one level of objects and lists; only the distinct paths (the shape of
-    the corpus, not its rows) reach the driver.
-    """
-    level = df.select(F.array().cast("array<string>").alias("path"), F.col(f"`{document}`").alias("node"))
-    for _ in range(2 * MAX_KEYS - 1):
-        opened = df.sparkSession.sql(
+def _opened(nodes: DataFrame) -> DataFrame:
+    """Nodes with their paths, LEVELS levels further down; what holds nothing or is no container stays as it is, without node."""
+    for _ in range(LEVELS):
+        members = nodes.sparkSession.sql(
             """
             SELECT n.path, e.pos, e.key, e.value
             FROM {nodes} n, LATERAL variant_explode_outer(n.node) AS e(pos, key, value)
             """,
-            nodes=level,
+            nodes=nodes,
         )
-        grown = F.concat(
-            F.col("path"), F.array(F.coalesce(F.col("key"), F.lit(ARRAY_STEP)))
+        grown = F.concat("path", F.array(F.coalesce("key", F.lit(ARRAY_STEP))))
+        end = F.col("pos").isNull()
+        nodes = members.select(
+            F.when(end, F.col("path")).otherwise(grown).alias("path"),
+            F.when(~end, F.col("value")).alias("node"),
         )
-        level = opened.select(
-            F.when(F.col("pos").isNull(), F.col("path")).otherwise(grown).alias("path"),
-            F.when(F.col("pos").isNull(), F.lit(None)).otherwise(F.col("value")).alias("node"),
-        )
-    return sorted(tuple(r.path) for r in level.select("path").distinct().collect() if r.path)
+    return nodes
+
+
+def _leading_to(paths: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The parts of paths, from their start, under which a lookup of the names can find a value or a list's members."""
+    asked = F.array(*map(F.lit, sorted({n.lower() for n in names}))).cast("array<string>")
+    starts = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))
+    start = paths.filter(F.size("path") > 0).select(F.explode(starts).alias("path"))
+    member = F.element_at("path", -1) == ARRAY_STEP
+    value = F.when(member, F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path"))
+    by_key = F.array_contains(asked, F.lower(F.try_element_at(value, F.lit(-1))))
+    by_path = F.array_contains(asked, F.lower(F.array_join(value, ".")))
+    return start.filter((F.size(value) > 0) & (by_key | by_path)).distinct()
+
+
+def discover_paths(df: DataFrame, document: str, names: Iterable[str] | None = None) -> list[tuple[str, ...]]:
+    """Every key path that occurs in a VARIANT column, however deep; with `names` those that lookups of them need.
+
+    A pass over the data opens LEVELS levels of objects and lists. Only where a document goes deeper, its unopened part is
+    written and taken up in a further pass. Distinct paths are found by aggregation and stay in a table; what reaches the
+    driver is the shape of the corpus or, with `names`, its part under these names, even if the data holds keys without end.
+    """
+    level = df.select(F.array().cast("array<string>").alias("path"), F.col(f"`{document}`").alias("node"))
+    tables = []
+    while True:
+        level = _opened(level)
+        container = F.coalesce(F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)<"), F.lit(False))
+        shape = cut_lineage(level.groupBy("path").agg(F.max(container).alias("unopened")))
+        tables.append(shape.select("path"))
+        if shape.filter("unopened").isEmpty():
+            break
+        level = cut_lineage(level.filter(container))
+    found = reduce(DataFrame.union, tables)
+    found = found.distinct() if names is None else _leading_to(found, names)
+    return sorted(tuple(r.path) for r in found.collect() if r.path)

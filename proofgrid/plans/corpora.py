@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofgrid.functions.predicates import selection
 from proofgrid.plans.telemetry import Query, telemetry
 from proofgrid.session import shared_folder
 from proofgrid.sources.corpus import corpus_fields, read_corpus, read_manifests, rejected_lines, write_corpus
@@ -76,7 +77,38 @@ SELECT day, line, CASE WHEN event_type = 'error' THEN 'not JSON' ELSE 'not an ob
 FROM x WHERE (event_type = 'error' AND k < 10) OR (event_type = 'purchase' AND k >= 90) OR (event_type = 'click' AND k = 0)
 """
 
+def field_resolve_discovered(spark, sf_dir):
+    """Lookup by names in documents of unknown shape: ten keys deep, lists, and a key of its own in every document."""
+    deep = F.concat(F.lit('{"L1":' + "".join(f'{{"l{i}":' for i in range(2, 11))), F.col("user_id").cast("string"), F.lit("}" * 10))
+    body = F.concat(
+        F.lit('{"own_'), F.col("event_id").cast("string"), F.lit('": {"x": 1}, "kind": {"'), F.col("event_type"), F.lit('": {"Leaf": '),
+        F.col("value").cast("string"), F.lit('}}, "list": [{"member": "'), F.col("event_type"), F.lit('"}], "tags": ["a", "'),
+        F.col("event_type"), F.lit('"], "deep": '), deep, F.lit("}"),
+    )
+    events = telemetry(spark, sf_dir).select("event_id", F.parse_json(body).alias("doc"))
+    names = ["leaf", "member", "tags", "deep.l1.l2.l3.l4.l5.l6.l7.l8.l9.l10", "kind.error.leaf", "nowhere"]
+    fields = corpus_fields(events, names=names)
+    return events.select(
+        "event_id",
+        F.lit(len(fields.paths)).alias("paths"),
+        fields.locate("leaf").item.number.alias("leaf"),
+        fields.locate("member").text.alias("member"),
+        fields.locate(names[3]).text.cast("bigint").alias("deep"),
+        fields.locate("kind.error.leaf").present.alias("dotted"),
+        fields.locate("nowhere").present.alias("nowhere"),
+        selection(fields, {"tags": "error"}).alias("tagged"),
+    )
+
+
+# Nodes on the way to: five leaves under kind (11), list's member (3), tags (2), eleven keys under deep.
+DISCOVERED_SQL = """
+SELECT event_id, 1 + 2 * (SELECT count(DISTINCT event_type) FROM events) + 3 + 2 + 11 AS paths, value AS leaf, event_type AS member,
+  user_id AS deep, event_type = 'error' AS dotted, false AS nowhere, event_type = 'error' AS tagged
+FROM events
+"""
+
 QUERIES = {
+    "field_resolve_discovered": Query(field_resolve_discovered, DISCOVERED_SQL),
     "corpus_round_trip": Query(corpus_round_trip, ROUND_TRIP_SQL),
     "corpus_rejects": Query(corpus_rejects, REJECTS_SQL),
 }

@@ -114,9 +114,14 @@ def read_corpus(
     )
 
 
-def corpus_fields(events: DataFrame, paths: Iterable[tuple[str, ...]] | None = None) -> EventFields:
-    """Field lookup for corpus events; the reserved keys are not part of the event."""
-    found = discover_paths(events, "doc") if paths is None else paths
+def corpus_fields(
+    events: DataFrame, paths: Iterable[tuple[str, ...]] | None = None, names: Iterable[str] | None = None
+) -> EventFields:
+    """Field lookup for corpus events; the reserved keys are not part of the event.
+
+    Without known `paths` they are found in the data, all of them or those of `names` (see `rules.asked_names`).
+    """
+    found = discover_paths(events, "doc", names) if paths is None else paths
     return EventFields.of(events, "doc", [p for p in found if p[0] not in RESERVED], columns=[])
 
 

@@ -7,10 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from proofgrid.functions.fields import EventFields
+from proofgrid.functions.fields import EventFields, discover_paths
 from proofgrid.functions.predicates import SelectionError, register_test
 from proofgrid.operators.replay import replay
-from proofgrid.operators.rules import Rule, Ruleset, Source, match_or_fail, match_rules, measure_rules, usable
+from proofgrid.operators.rules import Rule, Ruleset, Source, asked_names, match_or_fail, match_rules, measure_rules, usable
 from proofgrid.sources import corpus
 
 
@@ -94,3 +94,20 @@ def test_written_corpora_keep_the_name_of_their_scenario(spark, tmp_path):
     assert corpus.read_corpus(spark, str(tmp_path)).first()["scenario"] == "mine"
     assert corpus.read_manifests(spark, str(tmp_path)).first()["folder"] == "mine"
     assert corpus.read_corpus(spark, str(tmp_path), ["mine"]).count() == 1
+
+
+def test_discovery_goes_to_the_bottom_and_returns_what_is_asked(spark):
+    deep = "".join(f'{{"K{i}":' for i in range(1, 21)) + "[[1, {\"end\": 2}]]" + "}" * 20
+    documents = [deep, '{"a": {"b": 1}, "a.b": 2, "list": [{"b": [3]}], "none": null}', '{"a": 5, "e": {}, "l": []}', "7", None]
+    rows = [(d,) for d in documents] + [('{"x%d": {"y%d": 1}}' % (i, i),) for i in range(3000)]
+    df = spark.createDataFrame(rows, "j string").select(F.parse_json("j").alias("doc"))
+    keys = tuple(f"K{i}" for i in range(1, 21))
+    everything = set(discover_paths(df, "doc"))
+    assert {keys + ("[*]", "[*]"), keys + ("[*]", "[*]", "end"), ("a",), ("a", "b"), ("a.b",), ("list", "[*]", "b", "[*]"), ("e",), ("l",)} <= everything
+    assert ("x7", "y7") in everything and len([p for p in everything if len(p) == 2]) >= 3000
+    assert set(discover_paths(df, "doc", ["B", "a.b", "missing"])) == {("a", "b"), ("a.b",), ("list", "[*]", "b"), ("list", "[*]", "b", "[*]")}
+    assert discover_paths(df, "doc", [".".join(keys)]) == [keys, keys + ("[*]",)]
+    assert discover_paths(df.filter("1 = 0"), "doc") == [] and discover_paths(df, "doc", []) == []
+    library = (Rule("r", {"s": {"B|contains": "x", "k|zz": 1}, "condition": "s"}),)
+    assert asked_names(Ruleset(library, {"q": Source("q", [{"c": 1}])})) == ["B", "c", "k"]
+    assert asked_names(Ruleset((Rule("w", {"s": ["word"], "condition": "s"}),))) is None
