@@ -39,6 +39,7 @@ BATCH_POSTINGS = 2_000_000
 BATCH_TEXTS = 60_000
 STEP_BYTES = 1 << 20
 KEY_BITS = 40
+LOW_BITS, LOW = np.uint64(32), np.uint64(2**32 - 1)
 #: Rounds in which list members are checked against one of them, and the mean list length from which pairs are cheaper.
 STAR_ROUNDS = 4
 SMALL_LISTS = 8
@@ -122,13 +123,18 @@ def _numbers(data: memoryview, n: int, width: int) -> np.ndarray:
 
 
 def _packed(refs: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A row for each bucket: the sorted low bits of the keys as gaps, their texts, the texts' references, and the keys' high bits."""
+    """A row for each bucket: what the bucket leaves open of the sorted keys, as gaps, their texts, and the texts' references.
+
+    The bucket is the remainder of the key's upper half; its quotient and the lower half in one number have gaps that don't
+    grow with the number of buckets.
+    """
     key = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-    bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    low = key & np.uint64((1 << KEY_BITS) - 1)
-    order = np.lexsort((low, bucket))
-    bucket, low, doc, high = bucket[order], low[order], doc[order], key[order] >> np.uint64(KEY_BITS)
+    quotient, bucket = np.divmod(key >> LOW_BITS, np.uint64(buckets))
+    bucket = bucket.astype(np.int64)
+    left = quotient << LOW_BITS | key & LOW
+    order = np.lexsort((left, bucket))
+    bucket, left, doc = bucket[order], left[order], doc[order]
     names = np.array(refs, np.int64)
     ends = np.searchsorted(bucket, np.arange(buckets + 1))
     which, data = [], []
@@ -137,27 +143,27 @@ def _packed(refs: list[int], sets: list[np.ndarray], buckets: int) -> pa.RecordB
         if i == j:
             continue
         here, local = np.unique(doc[i:j], return_inverse=True)
-        gaps = np.diff(low[i:j], prepend=np.uint64(0))
-        head = np.array([j - i, len(here)], "<u4").tobytes()
+        gaps = np.diff(left[i:j], prepend=np.uint64(0))
+        head = np.array([j - i, len(here), b, buckets], "<u4").tobytes()
         which.append(b)
-        data.append(head + _planes(gaps, 5) + _planes(local, 2) + names[here].astype("<i8").tobytes() + _planes(high[i:j], 3))
+        data.append(head + _planes(gaps, 8) + _planes(local, 2) + names[here].astype("<i8").tobytes())
     return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(data, "<u4", 2)
-    n, m, view = int(n), int(m), memoryview(data)
-    low = np.cumsum(_numbers(view[8:], n, 5), dtype=np.uint64)
-    names = np.frombuffer(view[8 + 7 * n :], "<i8", m)
-    return low, names[_numbers(view[8 + 5 * n :], n, 2).astype(np.int64)]
+def _whole_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and their texts' references."""
+    n, m, b, buckets = (int(x) for x in np.frombuffer(data, "<u4", 4))
+    view = memoryview(data)
+    left = np.cumsum(_numbers(view[16:], n, 8), dtype=np.uint64)
+    names = np.frombuffer(view, "<i8", m, 16 + 10 * n)
+    key = ((left >> LOW_BITS) * np.uint64(buckets) + np.uint64(b)) << LOW_BITS | left & LOW
+    return key, names[_numbers(view[16 + 8 * n :], n, 2).astype(np.int64)]
 
 
-def _whole_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Like `_unpacked`, with all bits of the keys."""
-    low, refs = _unpacked(data)
-    n, m = (int(x) for x in np.frombuffer(data, "<u4", 2))
-    high = _numbers(memoryview(data)[8 + 7 * n + 8 * m :], n, 3)
-    return low + (high << np.uint64(KEY_BITS)), refs
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Like `_whole_keys`, with the low bits of the keys."""
+    key, refs = _whole_keys(data)
+    return key & np.uint64((1 << KEY_BITS) - 1), refs
 
 
 def _shared(table: pa.Table, slots: int) -> pa.Table:
@@ -249,9 +255,9 @@ def overlap_reaches(n: int, m: int, mine: np.ndarray, theirs: np.ndarray) -> boo
     return 100 * got >= PERCENT * (n + m - got)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(key, ref, n, rest, mass) for the short lists of every class: `rest` counts its keys from this one on, `mass` is the
-    mean number of classes that hold its keys."""
+def _short_lists(classes: DataFrame) -> DataFrame:
+    """(ref, n, mass, lists) of every class: its short lists as (key, rest). `rest` counts its keys from this one on, `mass`
+    is the mean number of classes that hold its keys."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -260,20 +266,21 @@ def _postings(classes: DataFrame) -> DataFrame:
                 n = part.column("n").to_numpy(zero_copy_only=False)
                 held = [_held(p) for p in part.column("keys")]
                 found = [short_lists(int(k), h) for k, h in zip(n, held, strict=True)]
-                count = [len(keys) for keys, _ in found]
+                ends = np.cumsum([0, *(len(keys) for keys, _ in found)], dtype=np.int32)
                 mass = np.array([float(h["df"].sum()) for h in held]) / n
-                yield pa.RecordBatch.from_arrays(
+                lists = pa.StructArray.from_arrays(
                     [
                         pa.array(np.concatenate([keys for keys, _ in found]).astype(np.int64), pa.int64()),
-                        pa.array(np.repeat(part.column("ref").to_numpy(zero_copy_only=False), count), pa.int64()),
-                        pa.array(np.repeat(n, count), pa.int64()),
                         pa.array(np.concatenate([rest for _, rest in found]).astype(np.int64), pa.int64()),
-                        pa.array(np.repeat(mass, count), pa.float64()),
                     ],
-                    names=["key", "ref", "n", "rest", "mass"],
+                    names=["key", "rest"],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("ref"), part.column("n"), pa.array(mass, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), lists)],
+                    names=["ref", "n", "mass", "lists"],
                 )
 
-    return classes.select("ref", "n", "keys").mapInArrow(batches, "key long, ref long, n long, rest long, mass double")
+    return classes.select("ref", "n", "keys").mapInArrow(batches, "ref long, n long, mass double, lists array<struct<key long, rest long>>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -330,29 +337,31 @@ def class_labels(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
     whole_lists = shared.groupBy("slot").applyInArrow(_gathered, "ref long, held long, keys binary")
     # T-occurrence: without so many shingles held elsewhere no partner can exist.
     near = cut_lineage(whole_lists.join(classes, "ref").where(100 * F.col("held") >= PERCENT * F.col("n")).select("ref", "n", "keys"))
-    lists = cut_lineage(_postings(near))
+    short = _short_lists(near)
     # Length bound, and positional bound: no key before the first common one is common, so from it on both texts must have
     # as many keys as the overlap of a pair of their sizes needs.
     fits = (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")) & (F.col("c") != F.col("d"))
     fits &= (100 + PERCENT) * F.least("rest", "s") >= PERCENT * (F.col("n") + F.col("m"))
     labels: DataFrame | None = None
     for turn in range(STAR_ROUNDS):
-        named = lists.withColumn("c", F.col("ref")) if labels is None else lists.join(labels, "ref", "left").withColumn("c", F.coalesce("c", "ref"))
+        # Labels come to the classes, one row each, before their lists are dealt out.
+        owned = short.withColumn("c", F.col("ref")) if labels is None else short.join(labels, "ref", "left").withColumn("c", F.coalesce("c", "ref"))
+        # Dealt by key once: what is found of a list meets its members where they are.
+        named = owned.select(*[x for x in owned.columns if x != "lists"], F.inline("lists")).where("key is not null").repartition("key")
         # First the member whose keys the most others hold, as an original among its edited copies; then any.
         most = F.struct("mass", "ref") if not turn else F.xxhash64("ref", F.lit(turn))
         star = F.max_by(F.struct(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("rest").alias("s")), most)
         # Members of one list that are still apart; without any, the list is done.
         apart = named.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("size"), star.alias("star"))
-        apart = cut_lineage(apart.where("_lo < _hi").select("key", "size", "star"))
-        size, squares = apart.agg(F.sum("size"), F.sum(F.col("size") * F.col("size"))).first()
-        if not size:
-            return labels if labels is not None else lists.sparkSession.createDataFrame([], "ref long, c long")
         # Lists that are done, or that one class holds, are gone from here on.
-        some = cut_lineage(named.join(apart.select("key"), "key", "left_semi"))
+        some = cut_lineage(named.join(apart.where("_lo < _hi").select("key", "size", "star"), "key"))
+        size, squares = some.agg(F.count("*"), F.sum("size")).first()
+        if not size:
+            return labels if labels is not None else near.sparkSession.createDataFrame([], "ref long, c long")
         if squares <= SMALL_LISTS * size or turn == STAR_ROUNDS - 1:
             break
-        lists = some.drop("c")
-        pairs = some.withColumnRenamed("ref", "a").join(apart, "key").select("a", "n", "rest", "c", "star.*").where(fits)
+        short = some.groupBy("ref", "n").agg(F.collect_list(F.struct("key", "rest")).alias("lists"))
+        pairs = some.select(F.col("ref").alias("a"), "n", "rest", "c", "star.*").where(fits)
         pairs = pairs.groupBy("a", "b", "c", "d").agg(F.count("*").alias("lists"))
         pairs = pairs.groupBy("a").agg(F.max_by(F.struct("b", "c", "d"), F.struct("lists", "b")).alias("p")).select("a", "p.*")
         labels = _joined(labels, _verified(pairs, near))

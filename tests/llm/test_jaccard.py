@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from proofgrid.llm import components, jaccard, queries
 
@@ -136,3 +137,27 @@ def test_one_template_around_the_threshold(spark, monkeypatch):
     assert 3 < len({r[2] for r in want}) < 700
     monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
     assert sorted(map(tuple, jaccard.jaccard_components(table).drop("th").collect()), key=str) == want
+
+
+def test_index_size_follows_postings_not_buckets():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 100_000, dtype=np.uint64) * np.uint64(2))
+    planes = {}
+    for buckets in (16, 2048):
+        batch = jaccard._packed([7], [keys], buckets)
+        planes[buckets] = sum(len(pa.compress(x.as_py(), "lz4", asbytes=True)) for x in batch.column("data")) - 40 * len(batch)
+    assert planes[2048] < 1.04 * planes[16]
+
+
+def test_labels_come_to_classes_not_to_their_lists(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join(edited(base, rng, 0.02))) for i in range(300)]
+    monkeypatch.setattr(jaccard, "SMALL_LISTS", 1)
+    folder = []
+    real = jaccard.cut_lineage
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df: folder.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_components(table).drop("th").collect()), key=str) == brute(docs)
+    later = [plan for plan in folder if "Join LeftOuter" in plan and "star" in plan]
+    # The lists are dealt out above the join with the labels, which then has a row for each class.
+    assert later and all(plan.index("Generate inline") < plan.index("Join LeftOuter") for plan in later)
