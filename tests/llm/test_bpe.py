@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -78,3 +79,14 @@ def test_odd_rows(spark):
     assert out.columns == ["doc_id", "text", "token_ids", "decoded"]
     assert sorted((len(r["token_ids"]), r["decoded"]) for r in out.collect()) == [(0, ""), (0, ""), (2, "x y"), (2, "x y")]
     assert bpe.encode(rows.limit(0)).collect() == []
+
+
+def test_lists_are_decoded_in_steps(monkeypatch):
+    coder = bpe.load(bpe.tokenizer_path(bpe.TOKENIZER))
+    texts = ["", "one two", "ß 漢字 🙂", "a" * 50]
+    lists = [list(np.frombuffer(coder.encode(t), np.int32)) for t in texts] + [None, [], coder.single[0xC3:0xC4], list(range(200))]
+    monkeypatch.setattr(bpe, "STEP_IDS", 5)
+    array = pa.array([[9], *lists], pa.list_(pa.int32())).slice(1)
+    # Python numbers for all ids of a step at once, not for each by itself.
+    assert coder.decode_all(array).to_pylist() == [coder.decode(x or []) for x in lists]
+    assert coder.decode_all(array.slice(0, 0)).to_pylist() == []
