@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofgrid.functions.fallible import Fallible
-from proofgrid.functions.needles import Guarded, Needles
+from proofgrid.functions.needles import Guarded, Needles, Patterns
 from proofgrid.session import cut_lineage
 
 ARRAY_STEP = "[*]"
@@ -102,7 +102,7 @@ def _any_of(values: Column, test: Callable[[Item], Column], item_of: Callable[[C
     """Does a member of a list pass the test?"""
     if isinstance(test, (Needles, Fallible)):
         return test.among(F.transform(values, lambda x: _filled_text(item_of(x)).text))
-    test = test.matcher if isinstance(test, Guarded) else test
+    test = test.matcher if isinstance(test, (Guarded, Patterns)) else test
     return F.exists(values, lambda x: test(_filled_text(item_of(x))))
 
 

@@ -37,6 +37,28 @@ def _finder(needles: tuple[str, ...], listed: bool):
     return F.pandas_udf(search, "boolean")
 
 
+def _lister(needed: tuple[tuple[str, ...], ...]):
+    """A column function: the places, from 1, of the members of which a text holds one."""
+
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        places: dict[str, list[int]] = {}
+        for place, texts in enumerate(needed, 1):
+            for text in texts:
+                places.setdefault(text, []).append(place)
+        automaton = ahocorasick.Automaton()
+        for text, of in places.items():
+            automaton.add_word(text, of)
+        automaton.make_automaton()
+        found = lambda text: sorted({place for _, of in automaton.iter(text) for place in of}) if text is not None else []
+        for batch in batches:
+            yield batch.map(found)
+
+    search.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(search, "array<int>")
+
+
 @dataclass(frozen=True)
 class Needles:
     """A matcher for the values of a field that hold one of many texts. Lower-case needles match without regard to case."""
@@ -71,4 +93,21 @@ class Guarded:
         return self.search(item) & self.matcher(item)
 
 
-__all__ = ["LIST_SIZE", "Guarded", "Needles"]
+@dataclass(frozen=True)
+class Patterns:
+    """A matcher for values that match one of many patterns, each tried only where one of its texts was found.
+
+    `needed` holds Java patterns and, for each, lower-case texts of which every match holds one. Members of lists go to the
+    matcher directly.
+    """
+
+    needed: tuple[tuple[str, tuple[str, ...]], ...]
+    matcher: Callable[..., Column]
+
+    def __call__(self, item) -> Column:
+        patterns = F.array(*[F.lit(pattern) for pattern, _ in self.needed])
+        places = _lister(tuple(texts for _, texts in self.needed))(item.lower)
+        return F.exists(places, lambda place: F.regexp_like(item.text, F.element_at(patterns, place)))
+
+
+__all__ = ["LIST_SIZE", "Guarded", "Needles", "Patterns"]

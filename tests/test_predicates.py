@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,17 @@ def test_texts_that_patterns_need():
         r"x{0,3}yy?": ("y",),
     }
     assert {p: required_texts(p) for p in table} == table
+
+
+def test_listed_patterns_are_tried_where_their_text_was_found(spark):
+    patterns = [rf"word{i:03d}\w*\s+x" for i in range(80)] + [r"(?:abcd|efgh)\d+", r"\d{7}", r"(q)?zebra(?(1)!|,)", "word001"]
+    java = [p for p in patterns if "zebra" not in p]  # Python's own patterns don't reach into lists
+    texts = ["word003abc x", "WORD079 \n X", "word003 y word004", "xABCD7", "efgh", "a 1234567", "qzebra!", "zebra!", "zebra,", "word001", "word00", "", None]
+    rows = spark.createDataFrame([(i, t, [None, t]) for i, t in enumerate(texts)], "id int, text string, many array<string>")
+    fields = EventFields.of(rows, columns=["text", "many"])
+    out = rows.select("id", selection(fields, {"text|re": patterns}).alias("one"), selection(fields, {"many|re": java}).alias("some"))
+    want = lambda among: [(i, any(re.search(p, t or "", re.IGNORECASE) for p in among)) for i, t in enumerate(texts)]
+    assert sorted((r["id"], r["one"]) for r in out.collect()) == want(patterns)
+    assert sorted((r["id"], r["some"]) for r in out.collect()) == want(java)
+    plan = out.select("one")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("rlike") + plan.count("regexp_like") < 10
