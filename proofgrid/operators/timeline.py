@@ -176,9 +176,11 @@ def count_in_windows(
     ``first_us_<label>`` (NULL for a window that was not asked).
 
     A sweep: moments, both ends of the windows and what each bucket carries over from the
-    others lie in one order per (key, bucket), where one pass up counts and one pass down
-    finds the next event. Where very many windows begin or end in one bucket of one key,
-    `spread` deals them to so many groups, each with its own copy of the bucket's moments.
+    others lie in one order per (key, bucket), where one sort serves both the running count
+    and the next event. Its rows go to all partitions of the session: they compress so well
+    that tasks put together by their bytes would hold millions of them. Where very many
+    windows begin or end in one bucket of one key, `spread` deals them to so many groups, each
+    with its own copy of the bucket's moments.
     """
     width = bucket_seconds * 1_000_000
     named = [*ids, *([label] if label else [])]
@@ -202,37 +204,38 @@ def count_in_windows(
         {_BUCKET: _bucket_of(F.col("at"), width), "rank": F.lit(1), "next_at": F.col("at")}
     )
     group = [_BUCKET, *keys]
-    # Ends add empty buckets, so that what is carried reaches them.
+    # Ends add empty buckets, so that what is carried reaches them; buckets without ends ask for nothing.
     totals = (
-        counted.select(*group, "n", "next_at")
-        .unionByName(ends.select(*group, "n", "next_at"))
+        counted.select(*group, "n", "next_at", F.lit(False).alias("_asked"))
+        .unionByName(ends.select(*group, "n", "next_at", F.lit(True).alias("_asked")))
         .groupBy(*group)
-        .agg(F.sum("n").alias("n"), F.min("next_at").alias("next_at"))
+        .agg(F.sum("n").alias("n"), F.min("next_at").alias("next_at"), F.max("_asked").alias("_asked"))
     )
-    earlier = Window.partitionBy(*keys).orderBy(F.col(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*keys).orderBy(F.col(_BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *group,
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_below"),
-        F.last("next_at", ignorenulls=True).over(later).alias("_next"),
-    ).select(
-        *group,
-        F.inline(F.array(
-            F.struct(F.col(_BUCKET).alias("at"), F.lit(-1).alias("rank"), F.col("_below").alias("n"), none.alias("next_at")),
-            F.struct((F.col(_BUCKET) + (width - 1)).alias("at"), F.lit(3).alias("rank"), F.lit(0).cast("bigint").alias("n"), F.col("_next").alias("next_at")),
-        )),
+    # The first value after a row, in the order that the running sums have.
+    following = F.expr("lead(next_at) IGNORE NULLS")
+    by_bucket = Window.partitionBy(*keys).orderBy(_BUCKET)
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        totals.select(
+            *group, "_asked", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), following.over(by_bucket).alias("_next")
+        )
+        .filter("_asked")
+        .select(*group, F.col(_BUCKET).alias("at"), F.lit(-1).alias("rank"), "n", none.alias("next_at"), "_next")
     )
-    line = counted.unionByName(carried)
+    line = counted.unionByName(carried, allowMissingColumns=True)
     if spread > 1:
         line = line.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
         ends = ends.withColumn("_slot", F.pmod(F.xxhash64(*named), F.lit(spread)).cast("int"))
         group = [*group, "_slot"]
-    line = line.unionByName(ends, allowMissingColumns=True)
-    up = Window.partitionBy(*group).orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*group).orderBy(F.desc("at"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    tasks = int(line.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = line.unionByName(ends, allowMissingColumns=True).repartition(tasks, *group)
+    by_moment = Window.partitionBy(*group).orderBy("at", "rank")
+    up = by_moment.rowsBetween(Window.unboundedPreceding, 0)
     answers = line.select(
-        *named, "rank", F.sum("n").over(up).alias("upto"), F.last("next_at", ignorenulls=True).over(down).alias("next_at")
+        *named, "rank", F.sum("n").over(up).alias("upto"),
+        F.coalesce(following.over(by_moment), F.max("_next").over(up)).alias("next_at"),
     ).filter(F.col("rank").isin(0, 2))
+    answers = answers.unionByName(nowhere)
 
     opens = F.col("rank") == 0
     picks, results = [], []
@@ -249,7 +252,7 @@ def count_in_windows(
             hits.alias(f"hits{tail}"),
             F.when(hits > 0, F.col(f"_next{tail}")).alias(f"first_us{tail}"),
         ]
-    return answers.unionByName(nowhere).groupBy(*ids).agg(*picks).select(*ids, *results)
+    return answers.groupBy(*ids).agg(*picks).select(*ids, *results)
 
 
 def first_in_windows(
