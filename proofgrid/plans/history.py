@@ -23,10 +23,12 @@ def case_history(spark: SparkSession, sf_dir: str, classified: DataFrame | None
     )
     found = (results(spark, sf_dir) if classified is None else classified).join(segments, "user_id")
     columns = ("outcome", "status", "latency", "severity", "baseline_hits", "started_us")
-    last = found.groupBy(
-        F.concat_ws("/", "profile", "day").alias("run_id"), "profile", "day", "rule", F.col("user_id").cast("string").alias("test_id")
-    ).agg(F.max_by(F.struct(*columns), F.struct("started_us", "signup_id")).alias("last"))
-    rows = last.select("run_id", "profile", F.col("day").cast("timestamp").alias("started_at"), "day", "rule", "test_id", "last.*")
+    # The host leads: it tells most groups apart, so the aggregate's sorts rarely look at the other keys.
+    last = found.groupBy("user_id", "rule", "day", "profile").agg(F.max_by(F.struct(*columns), F.struct("started_us", "signup_id")).alias("last"))
+    rows = last.select(
+        F.concat_ws("/", "profile", "day").alias("run_id"), "profile", F.col("day").cast("timestamp").alias("started_at"), "day", "rule",
+        F.col("user_id").cast("string").alias("test_id"), "last.*",
+    )
     return cut_lineage(rows)
 
 
