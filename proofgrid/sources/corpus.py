@@ -126,7 +126,11 @@ def corpus_fields(
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """scenario, recorded_at (NULL if absent), tests. One small file per scenario."""
+    """scenario, recorded_at (NULL if absent), tests. One small file per scenario.
+
+    The rows pass through the driver and their size is unknown to Spark, so joins are told to broadcast them: by scenario all
+    events of one would meet in one task.
+    """
     files = spark.read.text(f"{path.rstrip('/')}/*/{MANIFEST_FILE}", wholetext=True).select(_scenario(MANIFEST_FILE).alias("folder"), "value")
     rows = []
     for r in files.collect():
@@ -134,7 +138,7 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
         recorded = doc.get("recorded_at")
         rows.append((r.folder, str(doc.get("scenario") or r.folder), None if recorded is None else str(recorded), [str(t) for t in doc.get("tests") or []]))
     table = spark.createDataFrame(rows, "folder string, scenario string, recorded string, tests array<string>")
-    return table.select("folder", "scenario", parse_time(F.col("recorded")).alias("recorded_at"), "tests")
+    return F.broadcast(table.select("folder", "scenario", parse_time(F.col("recorded")).alias("recorded_at"), "tests"))
 
 
 def write_corpus(recorded: DataFrame, path: str, scenario: str, manifest: dict[str, Any], overwrite: bool = False) -> None:
