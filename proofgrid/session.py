@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Plans show all filters of a scan; by default they are cut after 100 characters.
+    "spark.sql.maxMetadataStringLength": "2000",
 }
 
 STREAM_STATE_STORE = (
