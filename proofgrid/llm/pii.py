@@ -46,8 +46,11 @@ LEAST_CHARS = 7
 STATES = 1 + len(KINDS)
 VOCABULARY = 131  # padding, ASCII, other letters, anything else
 BATCH_WINDOWS = 512
-#: Windows of one step of `idle`: products so small stay on one thread.
+#: Windows of one product of `gains`, which so small stays on one thread, and products of a step.
 IDLE_WINDOWS = 160
+IDLE_GROUPS = 3
+#: What rounding may take from a path's lead over the path without marks.
+ROUNDING = 0.01
 #: Windows held at a time, whatever a text's length.
 STEP_WINDOWS = 16384
 
@@ -196,41 +199,97 @@ class Tagger:
         sure = np.exp(np.take_along_axis(ahead + back, path[:, :, None].astype(np.int64), 2)[:, :, 0] - total)
         return path.T, sure.T
 
-    def idle(self, codes: np.ndarray) -> np.ndarray:
-        """Whether the best path of each window marks nothing. Runs over features by windows, so that all steps are on long rows."""
-        w, (n, steps) = self.w, codes.shape
-        # Inputs of a step: embedding, state before, one. A sigmoid is a hyperbolic tangent of half its argument.
-        half = np.ones((4 * HIDDEN, 1), np.float32)
-        half[: 3 * HIDDEN] = 0.5
-        weights = [np.ascontiguousarray(half * np.concatenate([w["wx"][d], w["wh"][d], w["b"][d]]).T) for d in (0, 1)]
-        x = np.ascontiguousarray(w["embed"].T)[:, codes.T].transpose(1, 0, 2)
-        logits = np.repeat(w["bias"][None, :, None], steps, 0) + np.zeros((1, 1, n), np.float32)
-        z, kept = np.empty((4 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
+    def _folded(self) -> np.ndarray:
+        """(direction, 1, row, input) for `idle`: four gates, then what a state gives each mark over no mark.
+
+        Inputs of a step are the embedding, half the state before, one. Signs and factors are those of 1 / (1 + exp(row)), which
+        is a sigmoid, and a hyperbolic tangent as half of itself and one half.
+        """
+        w, both = self.w, []
+        sign = np.full((4 * HIDDEN, 1), -1, np.float32)
+        sign[3 * HIDDEN :] = -2
         for d in (0, 1):
-            out = np.ascontiguousarray(w["out"][d * HIDDEN : (d + 1) * HIDDEN].T)
-            into = np.ones((EMBED + HIDDEN + 1, n), np.float32)
-            h = into[EMBED : EMBED + HIDDEN]
-            h[:] = 0
-            c = np.zeros((HIDDEN, n), np.float32)
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                into[:EMBED] = x[t]
-                np.matmul(weights[d], into, out=z)
-                np.tanh(z, out=z)
-                gates = z[: 3 * HIDDEN]
-                gates *= 0.5
-                gates += 0.5
-                c *= z[HIDDEN : 2 * HIDDEN]
-                np.multiply(z[:HIDDEN], z[3 * HIDDEN :], out=kept)
+            out = 2 * w["out"][d * HIDDEN : (d + 1) * HIDDEN].T
+            marks = np.zeros((STATES - 1, EMBED + HIDDEN + 1), np.float32)
+            marks[:, EMBED : EMBED + HIDDEN] = out[1:] - out[:1]
+            both.append(np.concatenate([sign * np.concatenate([w["wx"][d], 2 * w["wh"][d], w["b"][d]]).T, marks]))
+        return np.stack(both)[:, None].astype(np.float32)
+
+    def gains(self, codes: np.ndarray) -> np.ndarray:
+        """(time, mark, window): the logits of all marks less that of no mark.
+
+        Runs over direction, group, features and windows, so that all steps are on long rows; both directions go at once. The
+        product of a step also holds what the state before gives the marks.
+        """
+        w, (n, steps) = self.w, codes.shape
+        groups = -(-n // IDLE_WINDOWS)
+        lanes = np.zeros((groups * IDLE_WINDOWS, steps), codes.dtype)
+        lanes[:n] = codes
+        lanes = np.ascontiguousarray(lanes.reshape(groups, IDLE_WINDOWS, steps).transpose(2, 0, 1))
+        x = np.ascontiguousarray(w["embed"].T)[:, lanes].transpose(1, 2, 0, 3)  # time, group, embedding, window
+        weights = self._folded()
+        into = np.ones((2, groups, EMBED + HIDDEN + 1, IDLE_WINDOWS), np.float32)
+        h = into[:, :, EMBED : EMBED + HIDDEN]
+        h[:] = 0
+        z = np.empty((2, groups, 4 * HIDDEN + STATES - 1, IDLE_WINDOWS), np.float32)
+        gates, marks = z[:, :, : 4 * HIDDEN], z[:, :, 4 * HIDDEN :]
+        i, f, o, g = (z[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        c = np.zeros((2, groups, HIDDEN, IDLE_WINDOWS), np.float32)  # half the cell
+        kept = np.empty_like(c)
+        out = np.empty((steps, groups, STATES - 1, IDLE_WINDOWS), np.float32)
+        out[:] = (w["bias"][1:] - w["bias"][0])[:, None]
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the limit
+            for t in range(steps + 1):
+                if t < steps:
+                    into[0, :, :EMBED] = x[t]
+                    into[1, :, :EMBED] = x[steps - 1 - t]
+                np.matmul(weights, into, out=z)
+                if t:
+                    out[t - 1] += marks[0]
+                    out[steps - t] += marks[1]
+                if t == steps:
+                    break
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                g -= 0.5
+                c *= f
+                np.multiply(i, g, out=kept)
                 c += kept
-                np.tanh(c, out=kept)
-                np.multiply(kept, z[2 * HIDDEN : 3 * HIDDEN], out=h)
-                logits[t] += out @ h
-        move = np.ascontiguousarray(w["move"][:, :, None])
-        best, plain = logits[0], logits[0, 0]
+                np.multiply(c, -4, out=kept)
+                np.exp(kept, out=kept)
+                kept += 1
+                np.reciprocal(kept, out=kept)
+                kept -= 0.5
+                np.multiply(kept, o, out=h)
+        return out.transpose(0, 2, 1, 3).reshape(steps, STATES - 1, -1)[:, :, :n]
+
+    def idle(self, codes: np.ndarray) -> np.ndarray:
+        """Whether the best path of each window marks nothing.
+
+        A path's lead over the one without marks is at most that of two states, marked or not, with the best mark of each place and
+        the best moves; only windows in which that may be positive need all states.
+        """
+        gains, steps = self.gains(codes), codes.shape[1]
+        move = self.w["move"] - self.w["move"][0, 0]
+        begin, stay, stop = move[0, 1:].max(), move[1:, 1:].max(), move[1:, 0].max()
+        most = gains.max(1)
+        here = most[0].copy()
+        lead = here.copy()
         for t in range(1, steps):
-            best = (best[:, None] + move).max(0) + logits[t]
-            plain = plain + move[0, 0] + logits[t, 0]
-        return plain >= best.max(0)
+            np.maximum(here + stay, begin, out=here)
+            here += most[t]
+            np.maximum(lead, here, out=lead)
+        out = np.ones(len(codes), bool)
+        some = np.flatnonzero(lead + max(stop, 0) > -ROUNDING)
+        if len(some):
+            part = np.zeros((steps, STATES, len(some)), np.float32)
+            part[:, 1:] = gains[:, :, some]
+            best = part[0]
+            for t in range(1, steps):
+                best = (best[:, None] + move[:, :, None]).max(0) + part[t]
+            out[some] = best.max(0) <= 0
+        return out
 
     def gradient(self, codes: np.ndarray, states: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of labelled windows and its slope in every weight."""
@@ -378,8 +437,8 @@ def learned_spans(texts: list[str], tagger: Tagger | None) -> list[list[tuple[in
         doc = np.repeat([d for d, _, _ in held], [len(c) for _, _, c in held])
         start = np.concatenate([s + STRIDE * np.arange(len(c)) for _, s, c in held])
         _, first, which = np.unique(codes.view(f"V{WINDOW}").ravel(), return_index=True, return_inverse=True)
-        unique = codes[first]
-        busy = np.flatnonzero(~np.concatenate([tagger.idle(unique[i : i + IDLE_WINDOWS]) for i in range(0, len(unique), IDLE_WINDOWS)]))
+        unique, per = codes[first], IDLE_GROUPS * IDLE_WINDOWS
+        busy = np.flatnonzero(~np.concatenate([tagger.idle(unique[i : i + per]) for i in range(0, len(unique), per)]))
         place = np.full(len(unique), -1)
         place[busy] = np.arange(len(busy))
         paths = [tagger.decode(unique[busy[i : i + BATCH_WINDOWS]]) for i in range(0, len(busy), BATCH_WINDOWS)]

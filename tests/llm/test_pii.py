@@ -139,6 +139,20 @@ def test_idle_windows_are_those_without_a_marked_path():
     assert idle.tolist() == (~tagger.decode(codes)[0].any(1)).tolist()
 
 
+@pytest.mark.parametrize("n", [1, pii.IDLE_WINDOWS, 3 * pii.IDLE_WINDOWS + 7])
+def test_gains_are_differences_of_logits_and_decide_as_decoding_does(n):
+    r = np.random.default_rng(n)
+    tagger = pii.Tagger.fresh(5)
+    tagger.w = {k: x * (r.normal(1, 0.5, x.shape).astype(np.float32) + (k == "out")) for k, x in tagger.w.items()}
+    codes = r.integers(0, pii.VOCABULARY, (n, pii.WINDOW)).astype(np.uint8)
+    logits = tagger.logits(codes).transpose(0, 2, 1)
+    assert np.abs(tagger.gains(codes) - (logits[:, 1:] - logits[:, :1])).max() < 1e-4
+    for lean in (-3, -0.5, 0, 0.5, 3):
+        tagger.w["bias"] = np.array([-lean, 0, 0, 0, 0], np.float32)
+        tagger.w["move"] = r.normal(0, 1, (pii.STATES, pii.STATES)).astype(np.float32)
+        assert tagger.idle(codes).tolist() == (~tagger.decode(codes)[0].any(1)).tolist()
+
+
 def test_query_and_odd_rows(spark, learned, tmp_path):
     docs, tagger = learned
     rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(ODD)] + [(None, None, None), (0, "", "x"), (9, ODD[2] * 3000, "y")], "doc_id long, text string, personal string")
