@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.llm.components import components
 from proofgrid.llm.texts import whole
-from proofgrid.session import cut_lineage
+from proofgrid.session import cut_lineage, dealt_out
 
 SHINGLE = 5
 #: Similar: PERCENT of the union is shared.
@@ -189,7 +189,7 @@ def _shared(table: pa.Table, slots: int) -> pa.Table:
     entries["key"] = key[keep]
     entries["df"] = df[keep]
     ref = ref[keep]
-    slot = (ref.view(np.uint64) % np.uint64(slots)).astype(np.int64)
+    slot = ref % slots
     order = np.lexsort((ref, slot))
     entries, ref, slot = entries[order], ref[order], slot[order]
     which, starts = np.unique(slot, return_index=True)
@@ -200,9 +200,9 @@ def _shared(table: pa.Table, slots: int) -> pa.Table:
     return pa.table({"slot": pa.array(which, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def _gathered(table: pa.Table) -> pa.Table:
-    """Of one slot: every text with all its keys that others hold."""
-    refs, entries = [], []
+def _near(table: pa.Table, classes: pa.Table) -> pa.Table:
+    """Of one slot: every text with all its keys that others hold, if those are enough for a partner to exist."""
+    refs, entries = [np.zeros(0, np.int64)], [np.zeros(0, ENTRY)]
     for row in table.column("data"):
         data = row.as_buffer()
         m = int(np.frombuffer(data, "<u4", 1)[0])
@@ -212,10 +212,15 @@ def _gathered(table: pa.Table) -> pa.Table:
     ref, entry = np.concatenate(refs), np.concatenate(entries)
     order = np.argsort(ref, kind="stable")
     ref, entry = ref[order], entry[order]
-    names, starts = np.unique(ref, return_index=True)
-    ends = np.append(starts, len(ref))
+    names, held = np.unique(ref, return_counts=True)
+    known, first = np.unique(classes.column("ref").to_numpy(), return_index=True)
+    n = classes.column("n").to_numpy()[first][np.searchsorted(known, names)]
+    # T-occurrence: without so many shingles held elsewhere no partner can exist.
+    enough = 100 * held >= PERCENT * n
+    entry = entry[np.repeat(enough, held)]
+    ends = np.append(0, np.cumsum(held[enough]))
     buffers = [None, pa.py_buffer((ends * ENTRY.itemsize).astype(np.int32).tobytes()), pa.py_buffer(entry.tobytes())]
-    return pa.table({"ref": pa.array(names, pa.int64()), "held": pa.array(np.diff(ends), pa.int64()), "keys": pa.Array.from_buffers(pa.binary(), len(names), buffers)})
+    return pa.table({"ref": pa.array(names[enough], pa.int64()), "n": pa.array(n[enough], pa.int64()), "keys": pa.Array.from_buffers(pa.binary(), int(enough.sum()), buffers)})
 
 
 def _held(keys: pa.Scalar) -> np.ndarray:
@@ -334,9 +339,10 @@ def class_labels(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 
     packed = docs.select(whole(F.col(text)).alias("t")).mapInArrow(index, "bucket int, data binary")
     shared = packed.groupBy("bucket").applyInArrow(lambda table: _shared(table, buckets), "slot int, data binary")
-    whole_lists = shared.groupBy("slot").applyInArrow(_gathered, "ref long, held long, keys binary")
-    # T-occurrence: without so many shingles held elsewhere no partner can exist.
-    near = cut_lineage(whole_lists.join(classes, "ref").where(100 * F.col("held") >= PERCENT * F.col("n")).select("ref", "n", "keys"))
+    sized = classes.withColumn("slot", F.pmod("ref", F.lit(buckets)).cast("int"))
+    near = shared.groupBy("slot").cogroup(sized.groupBy("slot")).applyInArrow(_near, "ref long, n long, keys binary")
+    # Pairs come to these lists, which are long, in every round.
+    near = dealt_out(near, "ref", buckets)
     short = _short_lists(near)
     # Length bound, and positional bound: no key before the first common one is common, so from it on both texts must have
     # as many keys as the overlap of a pair of their sizes needs.

@@ -62,3 +62,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/proofgrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt_out(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Like `cut_lineage`, in buckets by `key`, at least `parts`: joins by that column read them as they lie, without a shuffle."""
+    spark, name = df.sparkSession, f"proofgrid_{uuid.uuid4().hex}"
+    # Fewer buckets than a shuffle has partitions would be dealt out again.
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = f"{shared_folder(spark).rstrip('/')}/proofgrid/{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    # The rows stay in the shared folder, as `out` knows; only the name goes.
+    spark.sql(f"DROP TABLE {name}")
+    return out

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from proofgrid.llm import components, jaccard, queries
+from proofgrid.session import dealt_out
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -161,3 +162,46 @@ def test_labels_come_to_classes_not_to_their_lists(spark, monkeypatch):
     later = [plan for plan in folder if "Join LeftOuter" in plan and "star" in plan]
     # The lists are dealt out above the join with the labels, which then has a row for each class.
     assert later and all(plan.index("Generate inline") < plan.index("Join LeftOuter") for plan in later)
+
+
+def test_pairs_come_to_the_key_lists(spark, monkeypatch):
+    docs = [(i, f"a b c d e f g h {i % 3} i j k l m n o p q r s t u v w x y z {i // 3}") for i in range(30)]
+    kept, plans = [], []
+    deal, verify = jaccard.dealt_out, jaccard._verified
+    monkeypatch.setattr(jaccard, "dealt_out", lambda df, *where: kept.append(deal(df, *where)) or kept[-1])
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, near: plans.append((pairs, near)) or verify(pairs, near))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.createDataFrame(docs, "doc_id long, text string")
+        assert sorted(map(tuple, jaccard.jaccard_components(table).drop("th").collect()), key=str) == brute(docs)
+        assert len(kept) == 1 and plans and all(near is kept[0] for _, near in plans)
+        pairs = spark.range(5).selectExpr("id a", "id + 1 b", "id c", "id + 1 d")
+        # Pairs move to the first list and with it to the second; the lists are read where they lie.
+        plan = verify(pairs, kept[0])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dealt_out_rows_are_whole_and_leave_no_name(spark):
+    rows = spark.createDataFrame([(i % 7 or None, f"t{i}") for i in range(200)], "ref long, t string")
+    names = len(spark.catalog.listTables())
+    out = dealt_out(rows, "ref", 5)
+    assert sorted(out.collect(), key=str) == sorted(rows.collect(), key=str)
+    assert len(spark.catalog.listTables()) == names
+
+
+def test_only_texts_that_can_have_partners_stay():
+    """Of two texts with ten keys each, the one of which others hold eight."""
+    def shared(ref, keys):
+        entries = np.zeros(len(keys), jaccard.ENTRY)
+        entries["key"], entries["df"] = keys, 2
+        return np.array([1], "<u4").tobytes() + np.array([ref], "<i8").tobytes() + np.array([len(keys)], "<u4").tobytes() + entries.tobytes()
+
+    table = pa.table({"slot": pa.array([1, 1, 1], pa.int32()), "data": pa.array([shared(-7, range(5)), shared(9, range(7)), shared(-7, [7, 8, 9])], pa.binary())})
+    classes = pa.table({"ref": pa.array([9, -7, 17], pa.int64()), "n": pa.array([10, 10, 3], pa.int64())})
+    got = jaccard._near(table, classes)
+    assert (got["ref"].to_pylist(), got["n"].to_pylist()) == ([-7], [10])
+    assert jaccard._held(got["keys"][0])["key"].tolist() == [0, 1, 2, 3, 4, 7, 8, 9]
+    assert len(jaccard._near(table.slice(0, 0), classes)) == 0
