@@ -45,17 +45,29 @@ def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
 def _select(words: np.ndarray, before: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
     """The position of the one (zero, if `flip`) with each rank; `before` counts them before each word."""
     word = np.searchsorted(before, rank.astype(before.dtype), side="right") - 1
-    left = rank - before[word].astype(np.int64)
+    left = (rank - before[word].astype(np.int64)).astype(np.uint8)  # below 64, as are the bits
     here = ~words[word] if flip else words[word]
-    bit = np.zeros(len(rank), np.int64)
+    bit = np.zeros(len(rank), np.uint8)
     for width in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count((here >> bit.astype(U)) & U((1 << width) - 1)).astype(np.int64)
+        count = np.bitwise_count(here & U((1 << width) - 1))
         up = left >= count
-        left -= np.where(up, count, 0)
-        bit += np.where(up, width, 0)
+        left -= count * up
+        step = up * np.uint8(width)
+        bit += step
+        here >>= step.astype(U)
     return (word << 6) + bit
 
 
+def _next(words: np.ndarray, before: np.ndarray, position: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
+    """The position of the one (zero, if `flip`) that follows the one of each rank, which is at `position`."""
+    word = position >> 6
+    rest = (~words[word] if flip else words[word]) >> (position & 63).astype(U) >> U(1)
+    out = position + 1 + np.bitwise_count((rest & (~rest + U(1))) - U(1))
+    far = np.flatnonzero(rest == 0)  # in a later word
+    out[far] = _select(words, before, rank[far] + 1, flip)
+    return out
+
+
 class Sequence:
     """Queries on the sections that `build` made."""
 
@@ -77,13 +89,26 @@ class Sequence:
         top = (_select(self.high, self.ones, i, False) - i).astype(U)
         return (top << U(self.low_bits)) | self._rest(i)
 
+    def spans(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at some indices and at the indices after them; an index that repeats its neighbour is looked up once."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.zeros(0, U), np.zeros(0, U)
+        runs = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        times, i = np.diff(np.append(runs, len(i))), i[runs]
+        one = _select(self.high, self.ones, i, False)
+        following = _next(self.high, self.ones, one, i, False)
+        found = [(top.astype(U) << U(self.low_bits)) | self._rest(k) for top, k in ((one - i, i), (following - i - 1, i + 1))]
+        return np.repeat(found[0], times), np.repeat(found[1], times)
+
     def find(self, value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The index in [first, last) of each value, -1 where there is none: the successor by high part, then low bits."""
         value = value.astype(U)
         top = (value >> U(self.low_bits)).astype(np.int64)
         below = np.maximum(top - 1, 0)
-        a = np.where(top > 0, _select(self.high, self.zeros, below, True) - below, 0)
-        b = _select(self.high, self.zeros, top, True) - top
+        zero = _select(self.high, self.zeros, below, True)
+        a = np.where(top > 0, zero - below, 0)
+        b = np.where(top > 0, _next(self.high, self.zeros, zero, below, True), zero) - top
         a, b = np.maximum(a, first), np.minimum(b, last)
         end, want = b.copy(), value & U((1 << self.low_bits) - 1)
         while True:

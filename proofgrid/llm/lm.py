@@ -213,7 +213,7 @@ class Part:
     def placed(self, context: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same, and the pairs' places (-1: no such pair)."""
         value = context.astype(np.uint64) * np.uint64(size) + np.maximum(after, 0).astype(np.uint64)
-        first, last = (self.pointer.get(context + k).astype(np.int64) for k in (0, 1))
+        first, last = (x.astype(np.int64) for x in self.pointer.spans(context))
         at = self.successor.find(value, first, np.where(after < 0, first, last))
         p = np.full(len(at), np.nan)
         p[at >= 0] = self.book[self.code[at[at >= 0]]]
@@ -265,8 +265,9 @@ class Model:
         inner[np.concatenate([[0], np.cumsum(lengths)[:-1]])[: len(lengths)]] = False
         inner = np.flatnonzero(inner)
         if self.deep and len(inner):
-            _, one, again = np.unique(which[inner - 1] * len(unique) + at[inner], return_index=True, return_inverse=True)
-            one = inner[one]
+            _, again = np.unique(which[inner - 1] * len(unique) + at[inner], return_inverse=True)
+            one = np.empty(again.max() + 1, np.int64)
+            one[again] = inner  # any place of a triple stands for it; first places would ask for a stable sort
             q, back, _ = self.look_up(self.deep, self.pair_offsets, place[which[one - 1]], ids[at[one]])
             probability[inner] = np.where(np.isnan(q), back + p[which[one]], q)[again]
         n = len(texts)

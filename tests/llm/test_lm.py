@@ -54,6 +54,20 @@ def test_elias_fano_gets_and_finds(values, more):
         assert (i >= 0 and values[i] == q) if q in have else i == -1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([0, 1, 2, 3, 70, 200, 5000, 40_000]), min_size=2, max_size=400), st.integers(0, 10**6))
+def test_elias_fano_gives_neighbours(values, more):
+    values = np.sort(np.cumsum(np.array(values, np.uint64)) // np.uint64(3))
+    s = elias_fano.Sequence(elias_fano.build(values, int(values.max()) + 1 + more))
+    asked = np.repeat(np.arange(len(values) - 1), 2)
+    asked = np.concatenate([asked, asked[::-1]])
+    first, last = s.spans(asked)
+    assert first.tolist() == values[asked].tolist() and last.tolist() == values[asked + 1].tolist()
+    at = s.find(values, np.zeros(len(values), np.int64), np.full(len(values), len(values)))
+    assert values[at].tolist() == values.tolist()
+    assert [len(x) for x in s.spans(asked[:0])] == [0, 0]
+
+
 def test_elias_fano_searches_inside_a_range():
     values = np.array([1, 4, 4, 9, 12, 700, 701], np.uint64)
     s = elias_fano.Sequence(elias_fano.build(values, 10_000))
