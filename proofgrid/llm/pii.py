@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.llm.texts import whole
+from proofgrid.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = tuple(f"learned_{k}" for k in KINDS)
@@ -381,9 +382,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Tagger
     """A tagger from at most TRAIN_WINDOWS windows of at most TRAIN_DOCS texts, those that hash lowest."""
     # Only keys are ordered; all samples are bounded by their parameters.
     known = docs.select(whole(F.col(text)).alias("t"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_k"))
-    keys = known.select("_k", F.col("t").rlike(LABELLED.pattern).alias("_l")).distinct()
+    # Kept, as both orders and both samples would read all texts again.
+    keys = cut_lineage(known.select("_k", F.col("t").rlike(LABELLED.pattern).alias("_l")).distinct())
     ids = keys.where("_l").orderBy("_k").limit(TRAIN_DOCS - TRAIN_DOCS // OTHERS).union(keys.where("not _l").orderBy("_k").limit(TRAIN_DOCS // OTHERS))
-    rows = known.join(F.broadcast(ids.select("_k")), "_k").dropDuplicates(["_k"])
+    rows = cut_lineage(known.join(F.broadcast(ids.select("_k")), "_k").dropDuplicates(["_k"]))
 
     def windows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:

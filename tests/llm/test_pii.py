@@ -153,6 +153,23 @@ def test_gains_are_differences_of_logits_and_decide_as_decoding_does(n):
         assert tagger.idle(codes).tolist() == (~tagger.decode(codes)[0].any(1)).tolist()
 
 
+def test_training_reads_the_texts_twice(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(pii, "fit", lambda codes, states: (codes, states))
+    texts = [None, "", *(f"Please write to user{i}@example.com or wait, {i} of them may answer." for i in range(28))]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    codes, states = pii.train(made.mapInArrow(counted, "doc_id long, text string"))
+    assert seen.value == 2 * len(texts)
+    # Windows of all texts, and those with an address rewritten too.
+    assert len(codes) == len(states) > 28 * (1 + pii.REWRITTEN) and set(states[states > 0]) == {1}
+
+
 def test_query_and_odd_rows(spark, learned, tmp_path):
     docs, tagger = learned
     rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(ODD)] + [(None, None, None), (0, "", "x"), (9, ODD[2] * 3000, "y")], "doc_id long, text string, personal string")
